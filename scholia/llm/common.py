@@ -170,9 +170,9 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     place = np.arange(begin[-1]) - np.repeat(begin[:-1], n) + np.repeat(first[:-1], n)
     out = rolled[place]
     for d in np.flatnonzero((counts > 0) & (counts < width)):
-        h = np.uint64(counts[d])
-        for w in words[first[d] : first[d + 1]]:
-            h = h * np.uint64(_P) + w
+        h = int(counts[d])
+        for w in words[first[d] : first[d + 1]].tolist():
+            h = (h * _P + w) % (1 << 64)
         out[begin[d]] = mix(np.array([h], np.uint64))[0]
     return out, begin
 

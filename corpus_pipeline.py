@@ -1,8 +1,73 @@
-"""The corpus pipeline."""
+"""From raw documents to packed training sequences, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage's rows as Parquet to the
+folder that all executors share and reads them again as the next stage's documents.  A stage decides about all that
+its predecessor kept, and all but the last return whole rows of documents with the columns they came with.
+
+Rows are told apart by doc_id: an id is taken out when all its rows are rejected, and rows without an id stay.
+Ids to take out are sent to every task only if there are at most ``SENT_IDS``; more are joined by a shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scholia.llm import bm25_wand, common, langid, packing, probminhash, site_bayes
+
+SENT_IDS = 2_000_000
+
+
+def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """docs without the ids of which every row in ``decided`` (doc_id, out) is out."""
+    out = decided.where("doc_id is not null").groupBy("doc_id").agg(F.min("out").alias("out")).where("out").select("doc_id")
+    out = common.save(out, "rejected").withColumnRenamed("doc_id", "rejected_id")
+    return docs.join(common.small_or_shuffled(out, SENT_IDS), docs["doc_id"] == F.col("rejected_id"), "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go."""
+    return _without(docs, langid.identify(docs).select("doc_id", F.col("rejected").alias("out")))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior quality is too low go."""
+    judged = site_bayes.quality(docs, common.table(spark, sf_dir, "labels"))
+    return _without(docs, judged.select("doc_id", (~F.col("keep")).alias("out")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near copies stays."""
+    classes = probminhash.classes(docs)
+    kept = _without(docs, classes.select("doc_id", (F.col("class_id") != F.col("doc_id")).alias("out")))
+    repeated = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(kept.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    hits = bm25_wand.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    return _without(docs, hits.select("doc_id", F.lit(True).alias("out")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left as pieces of sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packed)]
+
+#: No SQL gives these rows: they rest on learned models, hashed sketches and a tokeniser.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if stage is not packed:
+            docs = common.save(docs, name)
+    return docs

@@ -15,6 +15,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrapper import extract
+
+    return extract(common.table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .site_bayes import quality
 
@@ -51,8 +57,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert_ann import search
+
+    return search(common.table(spark, sf_dir, "embeddings"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bm25_wand import contaminated
+
+    return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_quality, op4_licenses, op5_langid, op6_url_filter, op7_near_duplicates, op8_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_quality, op4_licenses, op5_langid, op6_url_filter, op7_near_duplicates, op8_packing, op9_neighbours, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

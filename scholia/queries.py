@@ -1,10 +1,6 @@
-"""One entry per query key, with the SQL that gives the same rows."""
+"""All query keys: importing the plan modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import aggregates, filters, joins, layout, retrieval, review, sources, streams, texts, windows  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401

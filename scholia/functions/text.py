@@ -48,9 +48,11 @@ def hash_of_key(c: Column) -> Column:
 
 def grams(c: Column, n: int, step: int = 1) -> Column:
     """All runs of n characters at every ``step``; none if the text is shorter."""
-    last = F.length(c) - n + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(step)), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(last >= 1, runs).otherwise(F.array().cast("array<string>"))
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    at = lambda ch: F.sequence(F.lit(1), F.greatest(F.size(ch) - n + 1, F.lit(1)), F.lit(step))
+    # the characters are bound to a variable, so that they are cut once and not for every run
+    runs = F.transform(F.array(chars), lambda ch: F.when(F.size(ch) >= n, F.transform(at(ch), lambda i: F.array_join(F.slice(ch, i, n), ""))).otherwise(F.array().cast("array<string>")))
+    return F.get(runs, F.lit(0))
 
 
 def bigrams(c: Column) -> Column:

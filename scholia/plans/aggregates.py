@@ -155,14 +155,14 @@ def quota_usage(t: Tables):
 @query(
     "quota_decide",
     """WITH u AS (SELECT o_custkey AS user_id, count(*) AS n, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS b, CASE WHEN o_custkey % 3 = 0 THEN 'anonymous' ELSE 'free' END AS tier FROM orders GROUP BY 1), q AS (SELECT *, CASE tier WHEN 'anonymous' THEN 2000000 ELSE 4000000 END AS qb, CASE tier WHEN 'anonymous' THEN 10 ELSE 300 END AS qc FROM u)
-    SELECT user_id, CASE WHEN b + 1000 > qb THEN 'QUOTA_BYTES' WHEN n + 1 > qc THEN 'QUOTA_COUNT' ELSE '' END AS code, round(least(100.0, greatest(0.0, 100.0 * b / qb)), 4) AS pct FROM q""",
+    SELECT user_id, CASE WHEN b + 1000 > qb THEN 'QUOTA_BYTES' WHEN n + 1 > qc THEN 'QUOTA_COUNT' ELSE '' END AS code, round(least(100.0, greatest(0.0, 100.0 * b / qb)), 6) AS pct FROM q""",
 )
 def quota_decide(t: Tables):
     tier = F.when(F.col("o_custkey") % 3 == 0, "anonymous").otherwise("free")
     u = t.orders.groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n"), F.sum(F.floor("o_totalprice")).alias("b"), F.first(tier).alias("tier"))
     limits = {"anonymous": (2_000_000, 10), "free": (4_000_000, 300)}
     code, pct = S.decide(F.col("b"), F.col("n"), F.col("tier"), F.lit(1000), limits)
-    return u.select("user_id", code.alias("code"), F.round(pct, 4).alias("pct"))
+    return u.select("user_id", code.alias("code"), F.round(pct, 6).alias("pct"))
 
 
 @query("blob_stats", "SELECT count(*) AS objects, count(*) FILTER (WHERE n > 0) AS active_objects, CAST(sum(p_size) AS BIGINT) AS total_bytes FROM (SELECT p_size, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45) AS n FROM part)")

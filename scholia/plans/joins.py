@@ -54,13 +54,13 @@ def anti_multi(t: Tables):
 
 @query(
     "attach_figures",
-    """SELECT o_orderkey, count(l_orderkey) AS figures, coalesce(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey), '') AS seqs FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey <= 2000 GROUP BY 1""",
+    """SELECT o_orderkey, count(l_orderkey) AS figures, coalesce(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey), '') AS seqs FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""",
 )
 def attach_figures(t: Tables):
     seq = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
-    figs = t.lineitem.where("l_orderkey <= 2000").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), seq.alias("s"))
+    figs = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), seq.alias("s"))
     seqs = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), ",")
-    return t.orders.where("o_orderkey <= 2000").select("o_orderkey").join(figs, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("figures"), F.coalesce(seqs, F.lit("")).alias("seqs"))
+    return t.orders.select("o_orderkey").join(figs, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("figures"), F.coalesce(seqs, F.lit("")).alias("seqs"))
 
 
 @query(
@@ -79,13 +79,13 @@ def child_brief(t: Tables):
 
 @query(
     "range_join",
-    """WITH u AS (SELECT p_partkey AS unit_id, p_size * 100 AS y0, p_size * 100 + 60 AS y1 FROM part WHERE p_partkey <= 50), q AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity * 100 AS INTEGER) + l_linenumber * 7 AS y FROM lineitem WHERE l_orderkey <= 500)
-    SELECT l_orderkey, l_linenumber, y, unit_id FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, y ORDER BY CASE WHEN y BETWEEN y0 AND y1 THEN 0 ELSE 1 END, greatest(y0 - y, y - y1, 0), unit_id) AS r FROM q JOIN u ON y BETWEEN y0 - 30 AND y1 + 30) WHERE r = 1""",
+    """WITH u AS (SELECT DISTINCT p_size AS unit_id, p_size * 100 AS y0, p_size * 100 + 60 AS y1 FROM part), q AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity * 100 AS INTEGER) + l_linenumber * 7 AS y FROM lineitem)
+    SELECT l_orderkey, l_linenumber, y, unit_id FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, y ORDER BY CASE WHEN y BETWEEN y0 AND y1 THEN 0 ELSE 1 END, greatest(y0 - y, y - y1, 0), unit_id) AS r FROM q JOIN u ON y BETWEEN y0 - 30 AND y1 + 30) WHERE r = 1""",
 )
 def range_join(t: Tables):
-    units = t.part.where("p_partkey <= 50").select(F.col("p_partkey").alias("unit_id"), (F.col("p_size") * 100).alias("y0"), (F.col("p_size") * 100 + 60).alias("y1"))
-    points = t.lineitem.where("l_orderkey <= 500").select("l_orderkey", "l_linenumber", ((F.col("l_quantity") * 100).cast("int") + F.col("l_linenumber") * 7).alias("y"))
-    return L.containing(points, units, ["l_orderkey", "l_linenumber", "y"], "y", "y0", "y1", "unit_id", snap=30, bin_size=200).select("l_orderkey", "l_linenumber", "y", "unit_id")
+    units = t.part.select(F.col("p_size").alias("unit_id"), (F.col("p_size") * 100).alias("y0"), (F.col("p_size") * 100 + 60).alias("y1")).distinct()
+    points = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", ((F.col("l_quantity") * 100).cast("int") + F.col("l_linenumber") * 7).alias("y"))
+    return L.containing(points, units, ["l_orderkey", "l_linenumber", "l_partkey", "y"], "y", "y0", "y1", "unit_id", snap=30, bin_size=200).select("l_orderkey", "l_linenumber", "y", "unit_id")
 
 
 _BOXES = """box(page, id, src, x0, y0, x1, y1) AS (SELECT p_partkey // 20, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'local' ELSE 'model' END, p_size % 7 * 10, p_size // 7 * 10, p_size % 7 * 10 + 14, p_size // 7 * 10 + 12 FROM part)"""
@@ -137,12 +137,12 @@ def attribute_best(t: Tables):
 
 @query(
     "dict_match",
-    """WITH term AS (SELECT DISTINCT p_type AS w FROM part UNION SELECT DISTINCT string_split(p_type, ' ')[1] FROM part), hit AS (SELECT p_partkey, w, instr(p_type, w) AS pos, row_number() OVER (PARTITION BY p_partkey ORDER BY length(w) DESC, instr(p_type, w), w) AS r FROM part JOIN term ON length(w) >= 2 AND instr(p_type, w) > 0 WHERE p_partkey <= 200)
+    """WITH term AS (SELECT DISTINCT p_type AS w FROM part UNION SELECT DISTINCT string_split(p_type, ' ')[1] FROM part), hit AS (SELECT p_partkey, w, instr(p_type, w) AS pos, row_number() OVER (PARTITION BY p_partkey ORDER BY length(w) DESC, instr(p_type, w), w) AS r FROM part JOIN term ON length(w) >= 2 AND instr(p_type, w) > 0)
     SELECT p_partkey, r AS rank, w AS tag, CAST(pos AS BIGINT) AS pos FROM hit WHERE r <= 3""",
 )
 def dict_match(t: Tables):
     terms = t.part.select(F.explode(F.array("p_type", F.split("p_type", " ")[0])).alias("w")).distinct()
-    return retrieval.dictionary(t.part.where("p_partkey <= 200"), "p_partkey", "p_type", terms, "w", top=3).select("p_partkey", F.col("rank").cast("long").alias("rank"), F.col("w").alias("tag"), F.col("pos").cast("long").alias("pos"))
+    return retrieval.dictionary(t.part, "p_partkey", "p_type", terms, "w", top=3).select("p_partkey", F.col("rank").cast("long").alias("rank"), F.col("w").alias("tag"), F.col("pos").cast("long").alias("pos"))
 
 
 @query("update_from", "SELECT c.c_custkey, coalesce(v.c_mktsegment, c.c_mktsegment) AS c_mktsegment FROM customer c LEFT JOIN (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'moved' END AS c_mktsegment FROM customer WHERE c_custkey % 5 = 0) v USING (c_custkey)")
@@ -163,12 +163,12 @@ def pending_sources(t: Tables):
 
 @query(
     "similar_items",
-    """WITH d AS (SELECT doc_id, list_distinct(list_transform(range(1, length(k)), lambda i: substring(k, i, 2))) AS g FROM (SELECT doc_id, substring(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 400) AS k FROM documents) WHERE length(k) >= 2),
+    """WITH d AS (SELECT doc_id, list_distinct(list_transform(range(1, length(k)), lambda i: substring(k, i, 2))) AS g FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS k FROM documents) WHERE length(k) >= 2),
     q AS (SELECT g FROM d WHERE doc_id = (SELECT min(doc_id) FROM d))
     SELECT doc_id, round(2.0 * len(list_intersect(d.g, q.g)) / (len(d.g) + len(q.g)), 6) AS dice FROM d, q WHERE round(2.0 * len(list_intersect(d.g, q.g)) / (len(d.g) + len(q.g)), 6) >= 0.6""",
 )
 def similar_items(t: Tables):
-    k = F.substring(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 1, 400)
+    k = F.regexp_replace(F.lower("text"), "[^a-z]", "")
     d = t.documents.select("doc_id", text.bigrams(k).alias("g")).where(F.size("g") > 0)
     target = d.join(F.broadcast(d.agg(F.min("doc_id").alias("doc_id"))), "doc_id").select(F.col("g").alias("q")).limit(1)
     dice = F.round(text.dice(F.col("g"), F.col("q")), 6)

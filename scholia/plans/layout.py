@@ -33,12 +33,12 @@ def shape_class(t: Tables):
 
 @query(
     "components",
-    f"""WITH RECURSIVE {_KINDS}, b AS (SELECT * FROM k WHERE kind <> 'underline' AND page < 12), e AS (SELECT p.page, p.id AS u, q.id AS v FROM b p JOIN b q ON p.page = q.page AND p.x0 - 10 <= q.x1 AND q.x0 - 10 <= p.x1 AND p.y0 - 10 <= q.y1 AND q.y0 - 10 <= p.y1),
+    f"""WITH RECURSIVE {_KINDS}, b AS (SELECT * FROM k WHERE kind <> 'underline'), e AS (SELECT p.page, p.id AS u, q.id AS v FROM b p JOIN b q ON p.page = q.page AND p.x0 - 10 <= q.x1 AND q.x0 - 10 <= p.x1 AND p.y0 - 10 <= q.y1 AND q.y0 - 10 <= p.y1),
     reach(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON e.u = r.v), c AS (SELECT u AS id, min(v) AS cluster FROM reach GROUP BY 1)
     SELECT page, cluster, count(*) AS parts, CAST(sum(n) AS BIGINT) AS ink, CAST(min(x0) AS BIGINT) AS x0, CAST(max(y1) AS BIGINT) AS y1 FROM b JOIN c USING (id) GROUP BY 1, 2 HAVING count(*) >= 3 AND sum(n) >= 320""",
 )
 def components(t: Tables):
-    return layout.clusters(_kinds(t).where("page < 12"), "page", 5, 3, 320).select("page", "cluster", "parts", "ink", "x0", "y1")
+    return layout.clusters(_kinds(t), "page", 5, 3, 320).select("page", "cluster", "parts", "ink", "x0", "y1")
 
 
 @query(
@@ -92,10 +92,10 @@ def verdict_rules(t: Tables):
 
 @query(
     "tree_closure",
-    """WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey <= 1 THEN NULL ELSE p_partkey // 2 END AS parent FROM part WHERE p_partkey <= 300), up(node, ancestor, depth) AS (SELECT id, id, 0 FROM n UNION ALL SELECT node, n.parent, depth + 1 FROM up JOIN n ON n.id = up.ancestor WHERE n.parent IS NOT NULL)
+    """WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey <= 1 THEN NULL ELSE p_partkey // 2 END AS parent FROM part), up(node, ancestor, depth) AS (SELECT id, id, 0 FROM n UNION ALL SELECT node, n.parent, depth + 1 FROM up JOIN n ON n.id = up.ancestor WHERE n.parent IS NOT NULL)
     SELECT node, ancestor, depth FROM up""",
 )
 def tree_closure(t: Tables):
     k = F.col("p_partkey")
-    n = t.part.where("p_partkey <= 300").select(k.alias("id"), F.when(k > 1, F.floor(k / 2)).alias("parent"))
+    n = t.part.select(k.alias("id"), F.when(k > 1, F.floor(k / 2)).alias("parent"))
     return graph.closure(n, "id", "parent")

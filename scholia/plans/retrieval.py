@@ -10,7 +10,7 @@ from ..operators import retrieval as Q
 from ..registry import Tables, query
 
 _KEYS = """k AS (SELECT item_id AS question, unnest(list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) >= 9 AND NOT regexp_matches(w, '[^a-z]')))[1:6]) AS k FROM benchmark),
-hit AS (SELECT question, doc_id, count(*) FILTER (WHERE contains(left(text, 60), k)) AS name_hits, count(*) FILTER (WHERE contains(text, k)) AS text_hits FROM documents JOIN k ON contains(text, k) GROUP BY 1, 2),
+hit AS (SELECT question, doc_id, count(*) FILTER (WHERE contains(string_split(text, chr(10))[1], k)) AS name_hits, count(*) FILTER (WHERE contains(text, k)) AS text_hits FROM documents JOIN k ON contains(text, k) GROUP BY 1, 2),
 sized AS (SELECT question, count(*) AS n FROM k GROUP BY 1), scored AS (SELECT question, doc_id, name_hits, text_hits, name_hits + 2 * text_hits AS key_hits, round((name_hits + 2 * text_hits) / (3.0 * n), 3) AS score, row_number() OVER (PARTITION BY question ORDER BY name_hits + 2 * text_hits DESC, text_hits DESC, doc_id) AS rank FROM hit JOIN sized USING (question))"""
 
 _KEYS = _KEYS.replace("list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) >= 9 AND NOT regexp_matches(w, '[^a-z]')))[1:6]", "list_sort(list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) >= 9 AND NOT regexp_matches(w, '[^a-z]'))))[1:6]")
@@ -19,7 +19,7 @@ _KEYS = _KEYS.replace("list_distinct(list_filter(string_split(text, ' '), lambda
 def _recalled(t: Tables, top: int):
     words = F.slice(F.array_sort(F.array_distinct(F.filter(F.split("text", " "), lambda w: (F.length(w) >= 9) & ~w.rlike("[^a-z]")))), 1, 6)
     keys = t.benchmark.select(F.col("item_id").alias("question"), F.explode(words).alias("k"), F.lit(True).alias("in_name"), F.lit(True).alias("in_text"))
-    docs = t.documents.select("doc_id", F.left("text", F.lit(60)).alias("name"), "text")
+    docs = t.documents.select("doc_id", F.split("text", "\n")[0].alias("name"), "text")
     return Q.recall(keys, docs, "name", "text", "doc_id", top)
 
 
@@ -35,7 +35,7 @@ def recall_topn(t: Tables):
 
 @query(
     "references_topk",
-    """WITH w AS (SELECT doc_id, lang, n_chars, list_distinct(list_filter(string_split(text, ' '), lambda x: length(x) >= 8))[1:40] AS s0, list_distinct(list_filter(string_split(text, ' '), lambda x: length(x) >= 8)) AS s FROM documents WHERE n_chars >= 60), b AS (SELECT item_id, list_distinct(list_filter(string_split(text, ' '), lambda x: length(x) >= 8)) AS q, text FROM benchmark),
+    """WITH w AS (SELECT doc_id, lang, n_chars, list_distinct(list_filter(string_split(text, ' '), lambda x: length(x) >= 8)) AS s FROM documents WHERE n_chars >= 60), b AS (SELECT item_id, list_distinct(list_filter(string_split(text, ' '), lambda x: length(x) >= 8)) AS q, text FROM benchmark),
     p AS (SELECT item_id, doc_id, lang, n_chars, len(list_intersect(q, s)) AS shared FROM b JOIN w ON TRUE), r AS (SELECT *, row_number() OVER (PARTITION BY item_id, lang ORDER BY shared DESC, n_chars DESC, doc_id) AS a FROM p WHERE shared >= 3), m AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, n_chars DESC, doc_id) AS rank FROM r WHERE a <= 3)
     SELECT item_id, rank, doc_id, CAST(shared AS BIGINT) AS shared FROM m WHERE rank <= 3""",
 )
@@ -90,7 +90,7 @@ def keyword_tags(t: Tables):
     return hit.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("doc_id", "tag", "rank")
 
 
-_JUDGED = """j AS (SELECT l_orderkey AS question, l_linenumber AS object_id, CAST(l_quantity AS INTEGER) % 9 + 2 AS total, l_partkey % 9 AS hit0, CAST(l_extendedprice AS INTEGER) % 7000 AS stem_chars, CASE l_suppkey % 4 WHEN 0 THEN 'conflict' WHEN 1 THEN 'unknown' ELSE 'same' END AS ask, l_linestatus = 'F' AND l_partkey % 5 = 0 AS crosses, l_returnflag <> 'R' AS has_solution, CAST(l_quantity AS INTEGER) % 30 AS solution_chars FROM lineitem),
+_JUDGED = """j AS (SELECT l_orderkey AS question, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS object_id, CAST(l_quantity AS INTEGER) % 9 + 2 AS total, l_partkey % 9 AS hit0, CAST(l_extendedprice AS INTEGER) % 7000 AS stem_chars, CASE l_suppkey % 4 WHEN 0 THEN 'conflict' WHEN 1 THEN 'unknown' ELSE 'same' END AS ask, l_linestatus = 'F' AND l_partkey % 5 = 0 AS crosses, l_returnflag <> 'R' AS has_solution, CAST(l_quantity AS INTEGER) % 30 AS solution_chars FROM lineitem),
 g AS (SELECT *, least(hit0, total) AS hit, round(least(hit0, total) / CAST(total AS DOUBLE), 6) AS ratio FROM j), r AS (SELECT *, CASE WHEN total < 3 THEN 'few_anchors' WHEN stem_chars > 6000 THEN 'too_long' WHEN ask = 'conflict' THEN 'ask_conflict' WHEN hit < 3 OR hit / CAST(total AS DOUBLE) < CASE WHEN ask = 'same' THEN 0.4 ELSE 0.55 END THEN 'low_hits' WHEN crosses THEN 'crosses_boundary' WHEN NOT has_solution OR solution_chars < 8 THEN 'no_solution' ELSE '' END AS reason FROM g)"""
 
 
@@ -101,7 +101,7 @@ def _judged(t: Tables):
     ask = F.when(c("l_suppkey") % 4 == 0, "conflict").when(c("l_suppkey") % 4 == 1, "unknown").otherwise("same")
     q = c("l_quantity").cast("int")
     j = t.lineitem.select(
-        c("l_orderkey").alias("question"), c("l_linenumber").alias("object_id"), (q % 9 + 2).alias("total"), (c("l_partkey") % 9).alias("hit0"), (price % 7000).alias("stem_chars"), ask.alias("ask"),
+        c("l_orderkey").alias("question"), (c("l_partkey") * 100000 + c("l_suppkey") * 10 + c("l_linenumber")).alias("object_id"), (q % 9 + 2).alias("total"), (c("l_partkey") % 9).alias("hit0"), (price % 7000).alias("stem_chars"), ask.alias("ask"),
         ((c("l_linestatus") == "F") & (c("l_partkey") % 5 == 0)).alias("crosses"), (c("l_returnflag") != "R").alias("has_solution"), (q % 30).alias("solution_chars"),
     )
     j = j.withColumn("hit", F.least("hit0", c("total").cast("long"))).withColumn("ratio", F.round(c("hit") / c("total"), 6))
@@ -146,12 +146,12 @@ def answer_cascade(t: Tables):
 
 @query(
     "validate_rows",
-    """WITH s AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'v0' ELSE 'v1' END AS engine, CASE WHEN doc_id % 13 = 0 THEN 'rejected' ELSE 'ok' END AS status, CASE WHEN doc_id % 11 = 0 THEN 'old' ELSE md5(text) END AS revision, md5(text) AS now_rev, CASE WHEN doc_id % 7 = 0 THEN '' ELSE left(text, 30) END AS stem, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE 0 END AS c0, n_chars AS c1, CASE WHEN doc_id % 3 = 0 THEN n_chars + 5 ELSE 30 END AS s1 FROM documents)
+    """WITH s AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'v0' ELSE 'v1' END AS engine, CASE WHEN doc_id % 13 = 0 THEN 'rejected' ELSE 'ok' END AS status, CASE WHEN doc_id % 11 = 0 THEN 'old' ELSE md5(text) END AS revision, md5(text) AS now_rev, CASE WHEN doc_id % 7 = 0 THEN '' ELSE string_split(text, chr(10))[1] END AS stem, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE 0 END AS c0, n_chars AS c1, CASE WHEN doc_id % 3 = 0 THEN n_chars + 5 ELSE 30 END AS s1 FROM documents)
     SELECT doc_id, CASE WHEN engine <> 'v1' THEN 'engine' WHEN status <> 'ok' THEN 'status' WHEN revision <> now_rev THEN 'revision' WHEN trim(stem) = '' THEN 'stem' WHEN c0 < 0 OR c1 <= c0 THEN 'range' WHEN s1 < c0 OR s1 > c1 THEN 'stem_range' ELSE '' END AS reason FROM s""",
 )
 def validate_rows(t: Tables):
     i, n = F.col("doc_id"), F.col("n_chars")
-    stem = F.when(i % 7 == 0, "").otherwise(F.left("text", F.lit(30)))
+    stem = F.when(i % 7 == 0, "").otherwise(F.split("text", "\n")[0])
     c0, s1 = F.when(i % 5 == 0, -1).otherwise(0), F.when(i % 3 == 0, n + 5).otherwise(30)
     rev = F.when(i % 11 == 0, "old").otherwise(F.md5("text"))
     reason = F.when(i % 17 == 0, "engine").when(i % 13 == 0, "status").when(rev != F.md5("text"), "revision").when(F.trim(stem) == "", "stem").when((c0 < 0) | (n <= c0), "range").when((s1 < c0) | (s1 > n), "stem_range").otherwise("")

@@ -149,40 +149,40 @@ def seq_spec(t: Tables):
 
 @query(
     "dice",
-    """WITH k AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS k FROM documents), g AS (SELECT doc_id, list_distinct(list_transform(range(1, least(length(k), 300)), lambda i: substring(k, i, 2))) AS g FROM k WHERE length(k) > 300)
+    """WITH k AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS k FROM documents), g AS (SELECT doc_id, list_distinct(list_transform(range(1, length(k)), lambda i: substring(k, i, 2))) AS g FROM k WHERE length(k) > 1)
     SELECT a.doc_id, round(2.0 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)), 6) AS dice FROM g a JOIN g b ON b.doc_id = a.doc_id + 1""",
 )
 def dice(t: Tables):
     k = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    g = t.documents.where(F.length(k) > 300).select("doc_id", text.bigrams(F.substring(k, 1, 300)).alias("g"))
+    g = t.documents.where(F.length(k) > 1).select("doc_id", text.bigrams(k).alias("g"))
     o = g.select((F.col("doc_id") - 1).alias("doc_id"), F.col("g").alias("h"))
     return g.join(o, "doc_id").select("doc_id", F.round(text.dice(F.col("g"), F.col("h")), 6).alias("dice"))
 
 
 @query(
     "coverage",
-    """WITH q AS (SELECT item_id, list_distinct(list_transform(range(1, length(k)), lambda i: substring(k, i, 2))) AS q FROM (SELECT item_id, regexp_replace(text, '[^一-龥A-Za-z0-9]', '', 'g') AS k FROM benchmark)), d AS (SELECT doc_id, list_distinct(list_transform(range(1, length(k)), lambda i: substring(k, i, 2))) AS g FROM (SELECT doc_id, regexp_replace(text, '[^一-龥A-Za-z0-9]', '', 'g') AS k FROM documents WHERE doc_id < 60))
-    SELECT doc_id, item_id, round(len(list_intersect(q, g)) / len(q), 6) AS coverage FROM d JOIN q ON q.item_id % 20 = d.doc_id % 20""",
+    """WITH q AS (SELECT item_id, list_distinct(list_transform(range(1, length(k)), lambda i: substring(k, i, 2))) AS q FROM (SELECT item_id, regexp_replace(text, '[^一-龥A-Za-z0-9]', '', 'g') AS k FROM benchmark)), d AS (SELECT doc_id, list_distinct(list_transform(range(1, length(k)), lambda i: substring(k, i, 2))) AS g FROM (SELECT doc_id, regexp_replace(text, '[^一-龥A-Za-z0-9]', '', 'g') AS k FROM documents))
+    SELECT doc_id, item_id, round(len(list_intersect(q, g)) / len(q), 6) AS coverage FROM d JOIN q ON q.item_id = d.doc_id""",
 )
 def coverage(t: Tables):
     q = t.benchmark.select("item_id", text.bigrams(text.normalised(F.col("text"))).alias("q"))
-    d = t.documents.where("doc_id < 60").select("doc_id", text.bigrams(text.normalised(F.col("text"))).alias("g"))
-    return d.join(q, F.col("item_id") % 20 == F.col("doc_id") % 20).select("doc_id", "item_id", F.round(text.coverage(F.col("q"), F.col("g")), 6).alias("coverage"))
+    d = t.documents.select("doc_id", text.bigrams(text.normalised(F.col("text"))).alias("g"))
+    return d.join(F.broadcast(q), F.col("item_id") == F.col("doc_id")).select("doc_id", "item_id", F.round(text.coverage(F.col("q"), F.col("g")), 6).alias("coverage"))
 
 
 @query(
     "phrase_relevance",
     """WITH q AS (SELECT item_id, list_distinct(list_transform(range(1, length(s) - 2, greatest(1, length(s) // 40)), lambda i: substring(s, i, 4))[1:40]) AS p FROM (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS s FROM benchmark))
-    SELECT doc_id, item_id, round(len(list_filter(p, lambda x: contains(d.k, x))) / len(p), 6) AS relevance FROM q JOIN (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS k FROM documents WHERE doc_id < 60) d ON item_id % 20 = doc_id % 20""",
+    SELECT doc_id, item_id, round(len(list_filter(p, lambda x: contains(d.k, x))) / len(p), 6) AS relevance FROM q JOIN (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS k FROM documents) d ON item_id = doc_id""",
 )
 def phrase_relevance(t: Tables):
     s = F.regexp_replace("text", r"\s+", "")
     step = F.greatest(F.lit(1), F.floor(F.length(s) / 40).cast("int"))
     at = F.slice(F.sequence(F.lit(1), F.length(s) - 3, step), 1, 40)
     q = t.benchmark.select("item_id", F.array_distinct(F.transform(at, lambda i: F.substring(s, i, F.lit(4)))).alias("p"))
-    d = t.documents.where("doc_id < 60").select("doc_id", s.alias("k"))
+    d = t.documents.select("doc_id", s.alias("k"))
     hit = F.size(F.filter("p", lambda x: F.contains(F.col("k"), x)))
-    return d.join(q, F.col("item_id") % 20 == F.col("doc_id") % 20).select("doc_id", "item_id", F.round(hit / F.size("p"), 6).alias("relevance"))
+    return d.join(F.broadcast(q), F.col("item_id") == F.col("doc_id")).select("doc_id", "item_id", F.round(hit / F.size("p"), 6).alias("relevance"))
 
 
 @query("cer", "SELECT c_custkey, round(levenshtein(c_name, n_name) / greatest(length(n_name), 1), 6) AS cer FROM customer JOIN nation ON n_nationkey = c_nationkey")

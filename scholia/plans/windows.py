@@ -60,15 +60,14 @@ def latest_by_hash(t: Tables):
 
 @query(
     "split_segments",
-    """WITH m AS (SELECT doc_id, unnest(list_filter(range(1, length(t) + 1), lambda i: substring(t, i, 1) = chr(10))) AS pos, length(t) AS len FROM (SELECT doc_id, substring(text, 1, 3000) AS t FROM documents WHERE doc_id < 300))
-    SELECT doc_id, CAST(pos AS BIGINT) AS start_at, CAST(coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), len) AS BIGINT) AS end_at FROM m""",
+    """WITH l AS (SELECT doc_id, length(text) AS len, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents), m AS (SELECT doc_id, len, k, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) AS pos FROM l)
+    SELECT doc_id, CAST(pos AS BIGINT) AS start_at, CAST(coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY k), len) AS BIGINT) AS end_at FROM (SELECT * FROM m WHERE pos <= len)""",
 )
 def split_segments(t: Tables):
-    x = F.substring("text", 1, 3000)
-    d = t.documents.where("doc_id < 300").select("doc_id", x.alias("t"), F.length(x).alias("len"))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.col("len"), F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(1)) == "\n")
-    m = d.select("doc_id", "len", F.explode(at).alias("pos"))
-    end = F.coalesce(F.lead("pos").over(Window.partitionBy("doc_id").orderBy("pos")), F.col("len"))
+    lines = t.documents.select("doc_id", F.length("text").alias("len"), F.posexplode(F.split("text", "\n")).alias("k", "line")).select("doc_id", "len", "k", (F.length("line") + 1).alias("step"))
+    w = Window.partitionBy("doc_id").orderBy("k")
+    m = lines.withColumn("pos", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("pos <= len")
+    end = F.coalesce(F.lead("pos").over(w), F.col("len"))
     return m.select("doc_id", F.col("pos").cast("long").alias("start_at"), end.cast("long").alias("end_at"))
 
 

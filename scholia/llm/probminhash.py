@@ -8,11 +8,11 @@ the probability that is their probability Jaccard similarity.
 1. Exact copies: texts of equal words are one class, named by its smallest id.  Only class representatives go on.
 2. ``BANDS`` bands of ``ROWS`` registers put them into buckets.  A bucket's members are paired with its leader
    alone (in one of three orders, by band), never with each other.  Pairs whose signatures agree enough are
-   verified on the shingles themselves; links have a Jaccard or probability Jaccard similarity of ``LEAST``.
+   verified on the shingles of their whole texts; links have a Jaccard similarity of at least ``LEAST``.
 3. Connected components of the links.
-4. The rest, exactly: in each bucket that still holds more than one component, all pairs of different components
-   are compared by signature, in pairs of blocks of bounded size, and verified if they aren't yet.  So no pair
-   that shares a bucket is left out, and pairs inside a component, which can't change a class, cost nothing.
+4. The rest, exactly: in each bucket that still holds more than one component, members of different components
+   are compared on their shingles inside pairs of blocks of bounded size, which give only links that join
+   components.  So no pair that shares a bucket is left out, and none inside a component is looked at again.
 
 Defined cases: texts without a word are in a class of their own each; texts of fewer than five words have one
 shingle of all their words; rows that share an id are one document; rows without an id have a null class; an
@@ -37,7 +37,8 @@ BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 #: Pairs whose signatures agree in a smaller share of registers aren't verified: 0.8 less more than four standard errors.
 AGREE = 0.65
-BLOCK = 256
+#: Rows of a block of a bucket's members; a group of two blocks is what one task holds.
+BLOCK = 1024
 #: At most so many ids go to every task; more are joined by a shuffle.
 SENT_IDS = 2_000_000
 
@@ -74,22 +75,52 @@ def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, m: int
     return who.reshape(n, m)
 
 
-def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """The larger of Jaccard and probability Jaccard of two sorted sets with weights."""
-    both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if not len(both):
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets."""
+    if not len(a) or not len(b):
         return 0.0
-    union = len(a) + len(b) - len(both)
-    plain = len(both) / union
-    # sum over common d of 1 / sum over d' of max(wa' / wa, wb' / wb), by the order of wb / wa
-    x, y = wa[ia], wb[ib]
-    only_b = wb.sum() - y.sum()
-    only_a = wa.sum() - x.sum()
-    by = np.argsort(y / x, kind="stable")
-    x, y = x[by], y[by]
-    below = only_a + np.concatenate([[0.0], np.cumsum(x)[:-1]])
-    above = only_b + np.cumsum(y[::-1])[::-1]
-    return max(plain, float((1 / (below / x + above / y)).sum()))
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def links_between(key: int, left: dict, right: dict, same: bool) -> list[tuple[int, int]]:
+    """Links that join components of one bucket's two blocks: rep, comp, s (sorted sets), bands.
+
+    Intersections with all of the right block are counted at once along its inverted lists.  A pair that shares an
+    earlier band is left to that band's bucket, and only links that join what isn't joined yet are kept.
+    """
+    sizes = np.array([len(x) for x in right["s"]])
+    flat, row = np.concatenate(right["s"]), np.repeat(np.arange(len(sizes)), sizes)
+    by = np.argsort(flat, kind="stable")
+    flat, row = flat[by], row[by]
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for k, mine in enumerate(left["s"]):
+        lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(row[at], minlength=len(sizes))
+        linked = (both >= LEAST * (len(mine) + sizes - both)) & (right["comp"] != left["comp"][k])
+        if same:
+            linked &= right["rep"] > left["rep"][k]
+        found = np.flatnonzero(linked)
+        if not len(found):
+            continue
+        band = int(np.flatnonzero(left["bands"][k] == key)[0])
+        found = found[~(right["bands"][found, :band] == left["bands"][k][:band]).any(axis=1)]
+        for j in found.tolist():
+            x, y = top(int(left["comp"][k])), top(int(right["comp"][j]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                r, o = int(left["rep"][k]), int(right["rep"][j])
+                out.append((min(r, o), max(r, o)))
+    return out
 
 
 SIGNED = "doc_id long, h1 long, h2 long, n int, bands array<long>, sig binary"
@@ -138,32 +169,31 @@ def _agree(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(look, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs a, b that are links, by the shingles of their whole texts."""
+def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and s, the sorted set of 32-bit shingle hashes, of the whole texts of some documents (column doc_id)."""
 
     def shingle(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(rows):
-            doc, h, count = weighted(*common.word_hashes(*common.utf8(b.column(1))))
+            doc, h, _ = weighted(*common.word_hashes(*common.utf8(b.column(1))))
             low = (h >> np.uint64(32)).astype("<u4")  # in order of h, and so in order
             ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            spans = list(zip(ends[:-1], ends[1:], strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([low[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([np.minimum(count[i:j], 65535).astype("<u2").tobytes() for i, j in spans], pa.binary())], ["doc_id", "s", "c"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(low[i:j]).tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "s"])
+
+    common.arrow_rows(docs.sparkSession, 500)
+    return common.save(docs.join(common.small_or_shuffled(ids, SENT_IDS), "doc_id", "left_semi").mapInArrow(shingle, "doc_id long, s binary"), "shingles")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs a, b that are links, by the shingles of their whole texts."""
 
     def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(rows):
-            sim = []
-            for sa, ca, sb, cb in zip(*(b.column(k) for k in range(2, 6)), strict=True):
-                x, i = np.unique(np.frombuffer(sa.as_buffer(), "<u4"), return_index=True)
-                y, j = np.unique(np.frombuffer(sb.as_buffer(), "<u4"), return_index=True)
-                sim.append(similarity(x, 1 + np.log(np.frombuffer(ca.as_buffer(), "<u2")[i]), y, 1 + np.log(np.frombuffer(cb.as_buffer(), "<u2")[j])))
+            sim = [jaccard(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")) for x, y in zip(b.column(2), b.column(3), strict=True)]
             ok = pa.array(np.array(sim) >= LEAST)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-    pairs = common.save(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    common.arrow_rows(docs.sparkSession, 500)
-    sets = common.save(docs.join(common.small_or_shuffled(ids, SENT_IDS), "doc_id", "left_semi").mapInArrow(shingle, "doc_id long, s binary, c binary"), "shingles")
-    both = pairs.join(sets.toDF("a", "sa", "ca"), "a").join(sets.toDF("b", "sb", "cb"), "b").select("a", "b", "sa", "ca", "sb", "cb")
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return common.save(both.mapInArrow(compare, "a long, b long"), "links")
 
 
@@ -182,36 +212,32 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label
 
 
-def _rest(nodes: DataFrame, buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and whose signatures agree."""
+def _rest(nodes: DataFrame, buckets: DataFrame, comp: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between different components that share a bucket, verified on whole texts."""
     member = nodes.select("rep", F.explode("bands").alias("key")).join(buckets.select("key"), "key")
     member = member.join(comp.toDF("rep", "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     member = common.save(member, "members")
-    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    mixed = common.save(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-    # a bucket of many members is cut into blocks; each pair of blocks is a group of at most about 2 * BLOCK rows
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    row = member.join(mixed, "key").withColumn("mine", mine).join(nodes.select("rep", "n", "sig"), "rep")
-    row = row.select("key", "rep", "comp", "n", "sig", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    row = row.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    mixed = member.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("comps")).where("comps > 1")
+    # pairs inside a bucket's largest component aren't needed: its blocks (the first ones) meet those of the rest only
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = common.save(mixed.select("key", F.col("most.comp").alias("main"), blocks(F.col("most.n")).alias("mains"), blocks(F.col("size") - F.col("most.n")).alias("others")), "mixed")
+    member = common.save(member.join(mixed, "key"), "mixed-members")
+    sets = _sets(member.select(F.col("rep").alias("doc_id")).distinct(), docs)
+    in_main = F.col("comp") == F.col("main")
+    of = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    row = member.withColumn("mine", F.when(in_main, of(F.col("mains"))).otherwise(F.col("mains") + of(F.col("others"))))
+    row = row.join(sets.withColumnRenamed("doc_id", "rep"), "rep").join(nodes.select("rep", "bands"), "rep")
+    met = F.explode(F.sequence(F.when(in_main, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1))
+    row = row.select("key", "rep", "comp", "s", "bands", "mine", met.alias("met")).withColumn("i", F.least("mine", "met")).withColumn("j", F.greatest("mine", "met"))
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        side = lambda p: {"rep": p["rep"].to_numpy(), "comp": p["comp"].to_numpy(), "s": [np.frombuffer(x, "<u4") for x in p["s"]], "bands": np.stack(p["bands"].to_numpy())}
         x, y = pdf[pdf["mine"] == i], pdf[pdf["mine"] == j]
-        out = []
-        if len(x) and len(y):
-            sx, sy = (np.frombuffer(b"".join(p["sig"]), "<u2").reshape(-1, M) for p in (x, y))
-            for k in range(len(x)):
-                n, c, r = (x[name].iloc[k] for name in ("n", "comp", "rep"))
-                ny = y["n"].to_numpy()
-                ok = (y["comp"].to_numpy() != c) & (np.minimum(n, ny) >= 0.7 * np.maximum(n, ny))
-                ok &= y["rep"].to_numpy() > r if i == j else True
-                at = np.flatnonzero(ok)
-                at = at[(sy[at] == sx[k]).mean(axis=1) >= AGREE]
-                out += [(min(r, o), max(r, o)) for o in y["rep"].to_numpy()[at]]
+        out = links_between(int(pdf["key"].iloc[0]), side(x), side(y), i == j) if len(x) and len(y) else []
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return row.groupBy("key", "i", "j").applyInPandas(look, "a long, b long").distinct()
+    return row.select("key", "i", "j", "mine", "rep", "comp", "s", "bands").groupBy("key", "i", "j").applyInPandas(look, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,12 +253,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     buckets = placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("leader"), F.count("*").alias("size")).where("size > 1")
     buckets = common.save(buckets.select("key", F.col("leader.rep").alias("leader")), "buckets")
     star = placed.join(buckets, "key").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    tried = common.save(_agree(star, nodes), "tried")
-    links = _verified(tried, docs)
+    links = _verified(common.save(_agree(star, nodes), "pairs"), docs)
     comp = components(links)
-    rest = common.save(_rest(nodes, buckets, comp).join(tried, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        more = _verified(rest, docs)
+    more = common.save(_rest(nodes, buckets, comp, docs), "rest")
+    if more.limit(1).count():
         comp = components(links.unionByName(more))
 
     whole = nodes.select("h1", "h2", "rep")

@@ -6,9 +6,8 @@ words, and one threshold ``THRESHOLD`` fits all items.  Items are in blocks, and
 impact in each block.
 
 Passages are runs of ``2 * S`` words at every S words, where S is the length of the longest item, so every
-occurrence of an item is inside one passage.  For a whole Arrow batch the block maxima of all passages are summed
-at once; passages none of whose blocks can reach the threshold are dropped.  WAND with block maxima runs on
-the others and returns every item at or above the threshold.  A hit is verified on the text: of the words of the
+occurrence of an item is inside one passage.  WAND runs over all passages of an Arrow batch at once and returns
+every item at or above the threshold.  A hit is verified on the text: of the words of the
 item's question and of its answer (text after ``Answer:``, else its second half) the shares that lie in runs of
 five words that the passage shares must both be at least ``OVERLAP``.
 
@@ -37,6 +36,8 @@ OVERLAP = 0.5
 WIDTH = 5
 SHARD = 20_000
 BLOCK_ITEMS, MAX_BLOCKS = 16, 64
+#: Cells of the table of passages by items that one step fills.
+DENSE = 4 << 20
 ANSWER = re.compile(r"(?i)\banswer\s*:")
 
 
@@ -50,6 +51,7 @@ class Index:
                 m = ANSWER.search(text)
                 cut = len(self.words(text[: m.end()])) if m else 0
                 held.append((item, words, cut if 0 < cut < len(words) else len(words) // 2))
+        held.sort(key=lambda h: len(h[1]))  # items of a block have like impacts, so that block maxima are tight
         self.items = [h[0] for h in held]
         self.cuts = [h[2] for h in held]
         n = len(held)
@@ -76,6 +78,7 @@ class Index:
         self.at = np.concatenate([[0], np.cumsum(df)])
         self.item, self.weight = item[by], weight[by]
         self.list_max = np.maximum.reduceat(self.weight, self.at[:-1]) if v else np.empty(0)
+        self.block_of = np.arange(n) // self.size
 
     @staticmethod
     def words(text: str) -> np.ndarray:
@@ -86,52 +89,53 @@ class Index:
     def shingles(words: np.ndarray, width: int) -> np.ndarray:
         return common.shingle_hashes(words, np.array([0, len(words)]), width)[0]
 
-    def wand(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All items whose score for the distinct terms is at least the threshold, by document-at-a-time block-max WAND."""
-        lists = [(self.item[self.at[t] : self.at[t + 1]].tolist(), self.weight[self.at[t] : self.at[t + 1]].tolist(), float(self.list_max[t]), self.block_max[t]) for t in terms.tolist()]
-        place = [0] * len(lists)
-        live = list(range(len(lists)))
-        out = []
-        slack = threshold - 1e-6  # block maxima are single-precision
-        while live:
-            live.sort(key=lambda k: lists[k][0][place[k]])
-            bound, pivot = 0.0, -1
-            for j, k in enumerate(live):
-                bound += lists[k][2]
-                if bound >= slack:
-                    pivot = j
-                    break
-            if pivot < 0:
-                return out
-            d = lists[live[pivot]][0][place[live[pivot]]]
-            while pivot + 1 < len(live) and lists[live[pivot + 1]][0][place[live[pivot + 1]]] == d:
-                pivot += 1
-            block = d // self.size
-            if sum(float(lists[k][3][block]) for k in live[: pivot + 1]) >= slack:
-                if lists[live[0]][0][place[live[0]]] == d:
-                    score = 0.0
-                    for k in live[: pivot + 1]:
-                        score += lists[k][1][place[k]]
-                        place[k] += 1
-                    if score >= threshold - 1e-12:
-                        out.append((d, score))
-                    upto = None
-                else:
-                    upto = d
-            else:
-                # nothing before the end of this block, or before the next list's item, can reach the threshold
-                upto = (block + 1) * self.size
-                if pivot + 1 < len(live):
-                    upto = min(upto, lists[live[pivot + 1]][0][place[live[pivot + 1]]])
-                upto = max(upto, d + 1)
-            if upto is not None:
-                for k in live[: pivot + 1]:
-                    items, p = lists[k][0], place[k]
-                    while p < len(items) and items[p] < upto:
-                        p += 1
-                    place[k] = p
-            live = [k for k in live if place[k] < len(lists[k][0])]
-        return out
+    def wand(self, win: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All (passage, item, score) at or above the threshold; win, term: distinct pairs in order.
+
+        Block-max WAND for many passages at once.  In each passage, terms by their largest impact: as long as the sum
+        stays below the threshold no item can reach it by these terms, so an item must hold a term from the pivot on,
+        and only the lists of those name candidates.  A candidate is bounded by the largest impacts in its block;
+        passages without a candidate whose bound reaches the threshold are dropped, the others scored in full.
+        """
+        n, slack = len(self.items), threshold - 1e-4  # block maxima are single-precision
+        begin = np.flatnonzero(np.concatenate([[True], win[1:] != win[:-1]]))
+        ends = np.append(begin[1:], len(win))
+        step = max(1, DENSE // max(n, self.blocks))
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for k in range(0, len(begin), step):
+            lo, hi = begin[k], ends[min(k + step, len(begin)) - 1]
+            t, m = term[lo:hi], np.diff(np.append(begin[k : k + step], hi))
+            first = begin[k : k + step] - lo
+            row = np.repeat(np.arange(len(m)), m)
+            bound = np.add.reduceat(self.block_max[t], first, axis=0) >= slack
+            live = bound.any(axis=1)
+            if not live.any():
+                continue
+            most = self.list_max[t]
+            by = np.lexsort((most, row))
+            total = np.cumsum(most[by])
+            pivots = by[(total - np.repeat(total[first] - most[by][first], m) >= slack) & live[row[by]]]
+            marked = np.zeros((len(m), n), bool)
+            owner, lists = self._lists(t[pivots])
+            marked[row[pivots][owner], self.item[lists]] = True
+            marked &= bound[:, self.block_of]
+            some = np.flatnonzero(marked.any(axis=1))
+            if not len(some):
+                continue
+            place = np.full(len(m), -1)
+            place[some] = np.arange(len(some))
+            own = np.flatnonzero(place[row] >= 0)
+            owner, lists = self._lists(t[own])
+            score = np.bincount(place[row[own]][owner] * n + self.item[lists], self.weight[lists], len(some) * n)
+            hit = np.flatnonzero(marked[some].ravel() & (score >= threshold - 1e-12))
+            out.append((win[begin[k + some[hit // n]]], hit % n, score[hit]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def _lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the terms' postings, and which term each belongs to."""
+        size = self.at[terms + 1] - self.at[terms]
+        owner = np.repeat(np.arange(len(terms)), size)
+        return owner, np.arange(len(owner)) + np.repeat(self.at[terms] - np.cumsum(size) + size, size)
 
     def overlap(self, item: int, passage: np.ndarray) -> tuple[float, float]:
         """Shares of the words of question and answer in runs that the passage shares."""
@@ -160,32 +164,17 @@ class Index:
         base = np.concatenate([[0], np.cumsum(segs)])
         doc = np.repeat(np.arange(len(n_words)), n_words)[at]
         seg = base[doc] + (at - first[doc]) // self.span
-        pairs = np.unique(seg * v + k[at])
-        seg, term = pairs // v, pairs % v
-        begin = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-        bound = np.zeros((base[-1] + 1, self.blocks), np.float32)
-        step = max(1, (4 << 20) // self.blocks)
-        lo = 0
-        while lo < len(begin):  # whole segments, about ``step`` pairs at a time
-            hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + step)))
-            end = begin[hi] if hi < len(begin) else len(seg)
-            bound[seg[begin[lo:hi]]] = np.add.reduceat(self.block_max[term[begin[lo] : end]], begin[lo:hi] - begin[lo], axis=0)
-            lo = hi
+        # a passage is a segment and the next one of its text
+        again = seg > base[doc]
+        pairs = np.unique(np.concatenate([seg * v + k[at], seg[again] * v - v + k[at][again]]))
         owner = np.repeat(np.arange(len(n_words)), segs)
-        both = bound[:-1].copy()
-        same = np.flatnonzero(owner[1:] == owner[:-1])
-        both[same] += bound[same + 1]
-        edge = np.searchsorted(seg, np.arange(base[-1] + 2))
-        for s in np.flatnonzero(both.max(axis=1) >= threshold - 1e-4).tolist():
+        for s, item, score in zip(*(x.tolist() for x in self.wand(pairs // v, pairs % v, threshold)), strict=True):
             d = int(owner[s])
-            last = s + 1 if s + 1 < base[d + 1] else s
-            terms = np.unique(term[edge[s] : edge[last + 1]])
             a = first[d] + (s - base[d]) * self.span
             passage = words[a : min(first[d + 1], a + 2 * self.span)]
-            for item, score in self.wand(terms, threshold):
-                q, r = self.overlap(item, passage)
-                if q >= overlap and r >= overlap:
-                    out[d, item] = max(out.get((d, item), (0.0, 0.0, 0.0)), (score, q, r))
+            q, r = self.overlap(item, passage)
+            if q >= overlap and r >= overlap:
+                out[d, item] = max(out.get((d, item), (0.0, 0.0, 0.0)), (score, q, r))
         return out
 
 

@@ -28,8 +28,8 @@ from . import common, tokens
 
 #: Ids of a block.
 BLOCK_IDS = 1 << 17
-#: The separator: one past the vocabulary's ordinary ids, so that no text can hold it.
-END_OF_DOCUMENT = 50256
+#: The separator: beyond the vocabulary, so that no text can hold it.
+END_OF_DOCUMENT = 0xFFFF
 
 BLOCKS = "file string, block long, payload binary"
 WRITTEN = "file string, block long, payload binary, doc_ids array<long>"

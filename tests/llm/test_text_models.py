@@ -46,7 +46,7 @@ def test_language(spark, tables):
     docs = tables("documents")
     got = langid.identify(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas())
     assert len(got) == docs.count() and (got.lang == got.lang_pred)[got.held_out].mean() > 0.95 and got.rejected.mean() < 0.02
-    held = duckdb.sql(f"select count(*) from '{SMALL}/documents.parquet'").fetchone()[0]
+    held = duckdb.sql(f"select count(*) from '{SMALL}/documents.parquet'").fetchall()[0][0]
     assert len(got) == held and 0.1 < got.held_out.mean() < 0.45
 
 

@@ -89,14 +89,15 @@ def otsu(hist: DataFrame, groups: list[str], level: str, count: str) -> DataFram
 
 
 def rows_of_lines(boxes: DataFrame, page: str, share: float = 0.6) -> DataFrame:
-    """Visual rows: boxes by middle height join the row whose head is near enough, else begin one; inside a row by x."""
+    """Visual rows: boxes by middle height join the row whose head is near enough (a share of the page's median
+    height, or their own if that is less), else begin one; inside a row by x."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(cy=(pdf["y0"] + pdf["y1"]) / 2, h=pdf["y1"] - pdf["y0"]).sort_values(["cy", "x0", "id"])
-        row, head, out = -1, None, []
+        pdf = pdf.assign(cy=(pdf["y0"] + pdf["y1"]) / 2, h=(pdf["y1"] - pdf["y0"]).clip(lower=1)).sort_values(["cy", "x0", "id"])
+        row, head, out, usual = -1, None, [], pdf["h"].median()
         for cy, h in zip(pdf["cy"], pdf["h"], strict=True):
-            if head is None or abs(cy - head[0]) > share * min(h, head[1]):
-                row, head = row + 1, (cy, h)
+            if head is None or abs(cy - head) > share * min(h, usual):
+                row, head = row + 1, cy
             out.append(row)
         pdf = pdf.assign(row=out).sort_values(["row", "x0", "id"])
         return pdf.assign(place=range(len(pdf)))[[page, "id", "row", "place"]]

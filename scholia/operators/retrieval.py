@@ -123,6 +123,13 @@ def unique(judged: DataFrame, question: str) -> DataFrame:
     return x.withColumn("reason", F.when(tie, "not_unique").otherwise(F.col("reason"))).withColumn("exact", F.col("reason") == "").drop("r", "n")
 
 
+def stored_or_live(stored: DataFrame, live: DataFrame, question: str, strict: bool = False) -> DataFrame:
+    """Judgements of valid stored objects; questions that have none fall back to the live split, unless strict."""
+    if strict:
+        return stored
+    return stored.unionByName(live.join(stored.select(question).distinct(), question, "left_anti"))
+
+
 # Starts of questions and marks of solutions.
 START = r"(?:^|\n)[ \t]*((?:【\s*例\s*\d+\s*】)|(?:【\s*练习\s*\d+\s*】)|(?:(?:问题|演练)\s*[一二三四五六七八九十\d]+\s*[:：.．]?)|(?:\d{1,3}\s*(?:[．、]|\.(?!\d))))"
 MARK = r"【(?:答案|解析|详解|解答|分析|解)】|(?:^|\n)\s*(?:答案|解析|详解|解答|解)\s*[:：]"

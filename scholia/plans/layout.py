@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import graph, layout
+from ..operators import graph, layout, pages
 from ..registry import Tables, query
 
 _MARKS = """m AS (SELECT CAST(p_partkey // 40 AS BIGINT) AS page, p_partkey AS id, p_size % 8 * 40 AS x0, p_size // 8 * 40 AS y0, p_size % 8 * 40 + p_partkey % 37 + 3 AS x1, p_size // 8 * 40 + p_partkey % 23 + 2 AS y1, CAST(p_partkey % 320 AS BIGINT) AS n FROM part)"""
@@ -57,6 +57,20 @@ def row_cluster(t: Tables):
     return layout.rows_of_lines(_marks(t), "page")
 
 
+@query("reading_order")
+def reading_order(t: Tables):
+    return pages.reading_order(_marks(t), "page")
+
+
+QUESTIONS = ["三、阅读下面短文，完成1-2题", "1. 甲", "2. 乙", "3. 丙", "四、实验题", "17. 某实验", "（1）步骤", "（2）结论", "五、按要求回答", "无号一", "无号二", ""]
+
+
+@query("hierarchy")
+def hierarchy(t: Tables):
+    rows = t.literal("page long, place long, body string", [(1, k, q) for k, q in enumerate(QUESTIONS)] + [(2, 0, "1. 材料"), (2, 1, "①甲"), (2, 2, "②乙"), (2, 3, "④丁")])
+    return pages.hierarchy(rows, "page", "place", "body")
+
+
 @query("pack_pages")
 def pack_pages(t: Tables):
     m = _marks(t).select("page", "id", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholia.functions import geometry, text
-from scholia.operators import graph, layout, relational, retrieval, review, simhash, storage
+from scholia.operators import graph, layout, pages, relational, retrieval, review, simhash, storage
 from scholia.sources import snapshots
 from scholia.streaming import rules
 
@@ -174,3 +174,32 @@ def test_windows_and_sessions(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     assert rules.windowed(e, "1 hour").agg(F.sum("n")).first()[0] == e.count()
     assert rules.sessions(e, "30 minutes").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_hierarchy(spark):
+    from scholia.queries import QUERIES
+
+    got = {(r["page"], r["place"]): r for r in QUERIES["hierarchy"](spark, "").collect()}
+    up = {k: r["parent_place"] for k, r in got.items()}
+    assert [up[1, k] for k in range(12)] == [None, 0, 0, None, None, 4, 4, 6, None, 8, 8, 8]
+    assert [up[2, k] for k in range(4)] == [None, 0, 0, None]
+    assert got[1, 7]["full"] == "四、实验题\n（1）步骤\n（2）结论" and got[1, 7]["level"] == 2
+
+
+def test_reading_order_takes_columns_first(spark):
+    rows = [(1, k, 0 if k < 3 else 100, (k % 3) * 20 + (1 if k == 4 else 0), 80 if k < 3 else 180, (k % 3) * 20 + 10) for k in range(6)]
+    got = pages.reading_order(spark.createDataFrame(rows, "page long, id long, x0 int, y0 int, x1 int, y1 int"), "page").collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == [0, 1, 2, 3, 4, 5]
+
+
+def test_stored_before_live(spark):
+    a, b = (spark.createDataFrame(x, "q int, origin string") for x in ([(1, "stored")], [(1, "live"), (2, "live")]))
+    assert sorted(map(tuple, retrieval.stored_or_live(a, b, "q").collect())) == [(1, "stored"), (2, "live")]
+    assert retrieval.stored_or_live(a, b, "q", strict=True).count() == 1
+
+
+def test_two_sinks(spark, tmp_path):
+    src = tmp_path / "in"
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(1).write.parquet(str(src))
+    rules.dual_write(rules.read_events(spark, str(src)), str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "cp")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "a")).count() == spark.read.parquet(str(tmp_path / "b")).count() == 1000

@@ -8,6 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a join without an equality sends to every task at once.
+SENT_ROWS = 100_000
+
+
+def join_small(df: DataFrame, small: DataFrame, on: Column, rows: int | None = None) -> DataFrame:
+    """A join on a condition that has no equality: ``small`` goes to every task, in parts of about ``rows`` rows.
+
+    The size is looked at first; a larger side is cut by hash, and ``df`` is read once for each part.
+    """
+    parts = max(1, -(-small.count() // (rows or SENT_ROWS)))
+    cut = [small if parts == 1 else small.where(F.pmod(F.xxhash64(*small.columns), F.lit(parts)) == k) for k in range(parts)]
+    return reduce(DataFrame.unionByName, [df.join(F.broadcast(p), on) for p in cut])
+
+
 def any_contains(columns: list[Column], keyword: str) -> Column:
     """Case-insensitive substring search over several columns; a null column doesn't match."""
     return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lit(keyword.lower())), F.lit(False)) for c in columns])

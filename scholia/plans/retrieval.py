@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import relational as R
 from ..operators import retrieval as Q
 from ..registry import Tables, query
 
@@ -44,7 +45,7 @@ def references_topk(t: Tables):
     q = t.benchmark.select("item_id", F.explode(long_words).alias("w"))
     # the shared words are found by a join on the word, not by comparing every question with every document
     d = t.documents.where("n_chars >= 60").select("doc_id", "lang", "n_chars", F.explode(long_words).alias("w"))
-    p = d.join(F.broadcast(q), "w").groupBy("item_id", "doc_id", "lang", "n_chars").agg(F.count("*").alias("shared")).where("shared >= 3")
+    p = d.join(q, "w").groupBy("item_id", "doc_id", "lang", "n_chars").agg(F.count("*").alias("shared")).where("shared >= 3")
     order = [F.desc("shared"), F.desc("n_chars"), F.col("doc_id")]
     r = p.withColumn("a", F.row_number().over(Window.partitionBy("item_id", "lang").orderBy(*order))).where("a <= 3")
     return r.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*order)).cast("long")).where("rank <= 3").select("item_id", "rank", "doc_id", "shared")
@@ -138,7 +139,7 @@ def link_confidence(t: Tables):
     f AS (SELECT item_id, origin, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY tier, doc_id) AS r FROM c) SELECT b.item_id, coalesce(f.origin, 'none') AS origin, f.doc_id FROM benchmark b LEFT JOIN f ON f.item_id = b.item_id AND f.r = 1""",
 )
 def answer_cascade(t: Tables):
-    held = t.documents.select("doc_id", "source", F.col("text").alias("body")).join(F.broadcast(t.benchmark), F.expr("contains(body, text)"))
+    held = R.join_small(t.documents.select("doc_id", "source", F.col("text").alias("body")), t.benchmark, F.expr("contains(body, text)"))
     own = F.col("source").isin("src0", "src1", "src2")
     best = held.groupBy("item_id").agg(F.min(F.struct(F.when(own, 1).otherwise(2).alias("tier"), "doc_id")).alias("x"))
     return t.benchmark.select("item_id").join(best, "item_id", "left").select("item_id", F.when(F.col("x").isNull(), "none").when(F.col("x.tier") == 1, "own").otherwise("shared").alias("origin"), F.col("x.doc_id").alias("doc_id"))

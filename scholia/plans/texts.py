@@ -167,7 +167,7 @@ def dice(t: Tables):
 def coverage(t: Tables):
     q = t.benchmark.select("item_id", text.bigrams(text.normalised(F.col("text"))).alias("q"))
     d = t.documents.select("doc_id", text.bigrams(text.normalised(F.col("text"))).alias("g"))
-    return d.join(F.broadcast(q), F.col("item_id") == F.col("doc_id")).select("doc_id", "item_id", F.round(text.coverage(F.col("q"), F.col("g")), 6).alias("coverage"))
+    return d.join(q, F.col("item_id") == F.col("doc_id")).select("doc_id", "item_id", F.round(text.coverage(F.col("q"), F.col("g")), 6).alias("coverage"))
 
 
 @query(
@@ -182,7 +182,7 @@ def phrase_relevance(t: Tables):
     q = t.benchmark.select("item_id", F.array_distinct(F.transform(at, lambda i: F.substring(s, i, F.lit(4)))).alias("p"))
     d = t.documents.select("doc_id", s.alias("k"))
     hit = F.size(F.filter("p", lambda x: F.contains(F.col("k"), x)))
-    return d.join(F.broadcast(q), F.col("item_id") == F.col("doc_id")).select("doc_id", "item_id", F.round(hit / F.size("p"), 6).alias("relevance"))
+    return d.join(q, F.col("item_id") == F.col("doc_id")).select("doc_id", "item_id", F.round(hit / F.size("p"), 6).alias("relevance"))
 
 
 @query("cer", "SELECT c_custkey, round(levenshtein(c_name, n_name) / greatest(length(n_name), 1), 6) AS cer FROM customer JOIN nation ON n_nationkey = c_nationkey")

@@ -203,3 +203,12 @@ def test_two_sinks(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(1).write.parquet(str(src))
     rules.dual_write(rules.read_events(spark, str(src)), str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "a")).count() == spark.read.parquet(str(tmp_path / "b")).count() == 1000
+
+
+def test_small_sides_go_in_parts(spark):
+    docs = spark.createDataFrame([(1, "ab cd"), (2, "cd ef"), (3, "")], "doc long, body string")
+    keys = spark.createDataFrame([("ab",), ("cd",), ("ef",), ("zz",)], "k string")
+    want = [(1, "ab"), (1, "cd"), (2, "cd"), (2, "ef")]
+    for rows in (1, 3, 100):
+        got = relational.join_small(docs, keys, F.expr("contains(body, k)"), rows)
+        assert sorted((r["doc"], r["k"]) for r in got.collect()) == want

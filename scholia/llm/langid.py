@@ -104,7 +104,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = EPOCHS, seed: int = 5) -> Model:
-    """x: each row's share of every bucket; y: index into langs."""
+    """x: each row's share of every bucket (half precision will do); y: index into langs."""
     rng = np.random.default_rng(seed)
     k = len(langs)
     order = rng.permutation(len(x))
@@ -118,16 +118,17 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = EPOCHS,
         rate = np.float32(0.5 * (1 - e / epochs))
         for i in range(0, len(own), size):
             rows = own[np.arange(i, min(i + size, len(own)))]
-            mean = (x[rows] @ emb) * scale
+            own_x = x[rows].astype(np.float32)
+            mean = (own_x @ emb) * scale
             g = (softmax(mean @ w + bias) - np.eye(k, dtype=np.float32)[y[rows]]).astype(np.float32) / len(rows)
             dw, dm = mean.T @ g, (g @ w.T) * scale
             w -= rate * dw
             bias -= rate * g.sum(axis=0)
-            emb -= rate * (x[rows].T @ dm)
+            emb -= rate * (own_x.T @ dm)
         own = rng.permutation(own)
     table = np.vstack([(emb @ w) * scale, np.zeros((1, k), np.float32)]).astype(np.float32)
     v = held if len(held) else own
-    z, t = x[v] @ table[:-1] + bias, y[v]
+    z, t = x[v].astype(np.float32) @ table[:-1] + bias, y[v]
     temperature = min(np.geomspace(0.2, 5, 33), key=lambda T: -np.log(np.maximum(softmax(z / T)[np.arange(len(v)), t], 1e-12)).sum())
     p = softmax(z / temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == t]
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                 for d, lo, hi in zip(docs_, begin, [*begin[1:], len(buckets_)], strict=True):
                     sums[d] += np.bincount(buckets_[lo:hi], minlength=BUCKETS + 1)
             sums = sums[:, :-1] / np.maximum(gram_counts(at), 1)[:, None].astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.astype("<f4").tobytes() for r in sums], pa.binary())], ["doc_id", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.astype("<f2").tobytes() for r in sums], pa.binary())], ["doc_id", "lang", "x"])
 
     common.arrow_rows(docs.sparkSession, 500)
     rows = own.where(chosen).select("doc_id", "text", "lang").mapInArrow(count, "doc_id long, lang string, x binary").collect()
@@ -168,7 +169,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             kept.append(r)
     langs = sorted(counts)
     y = np.array([langs.index(r["lang"]) for r in kept])
-    return train(np.stack([np.frombuffer(r["x"], "<f4") for r in kept]), y, langs)
+    x = np.empty((len(kept), BUCKETS), np.float16)
+    for k, r in enumerate(kept):
+        x[k] = np.frombuffer(r["x"], "<f2")
+    del rows, kept
+    return train(x, y, langs)
 
 
 def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -130,10 +130,14 @@ def best(ids: np.ndarray, own: np.ndarray, x: np.ndarray, q: np.ndarray, top: in
 def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, top: int = TOP, recall: float = RECALL) -> DataFrame:
     """Queries are the rows whose id is divisible by ``every``: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
+    single = vectors.schema[vec_col].dataType.elementType.typeName() == "float"
+    if not single:
+        rows = rows.withColumn("v", F.col("v").cast("array<double>"))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).orderBy(F.desc("n"), "d").limit(1).collect()
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("longest")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n, longest = sizes[0]["d"], sizes[0]["n"], float(np.sqrt(sizes[0]["longest"]))
@@ -159,8 +163,10 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     curves = Curves(sample, longest, blocks, recall=recall, top=top)
     shared = spark.sparkContext.broadcast(curves)
 
+    kept = np.dtype("<f4" if single else "<f8")  # vectors move in the precision they came in
+
     def pack(v: np.ndarray) -> list[bytes]:
-        return [r.tobytes() for r in v]
+        return [r.tobytes() for r in v.astype(kept)]
 
     def place(batches):
         for pdf in batches:
@@ -178,12 +184,12 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
                 lo, hi = np.maximum(own - curves.half, 0), np.minimum(own + curves.half, blocks - 1)
                 at = np.repeat(np.arange(len(x)), hi - lo + 1)
                 block = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)])
-                yield pd.DataFrame({"curve": c, "block": block, "cls": pdf["cls"].to_numpy()[at], "v": [r.tobytes() for r in x[at]]})
+                yield pd.DataFrame({"curve": c, "block": block, "cls": pdf["cls"].to_numpy()[at], "v": pack(x[at])})
 
     def window(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "found": pd.Series(dtype=object)})
-        x, q = (np.frombuffer(b"".join(p["v"]), float).reshape(-1, d) for p in (left, right))
+        x, q = (np.frombuffer(b"".join(p["v"]), kept).astype(float).reshape(-1, d) for p in (left, right))
         got = best(left["cls"].to_numpy(), right["cls"].to_numpy(), x, q, top)
         return pd.DataFrame({"q": right["cls"].to_numpy(), "found": [[{"score": float(s), "cls": int(c)} for c, s in zip(*g, strict=True)] for g in got]})
 
@@ -197,8 +203,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     near = common.save(merged.select("q", F.slice(F.array_sort(order), 1, top).alias("near")), "near")
 
     # a query's own class follows by itself; every class gives its ids
-    dot = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    own = asked.where(F.size("ids") > 1).select(F.col("cls").alias("q"), "cls", dot.alias("score"))
+    own = asked.where(F.size("ids") > 1).select(F.col("cls").alias("q"), "cls", square.alias("score"))
     pairs = near.select("q", F.explode("near").alias("x")).select("q", F.col("x.cls").alias("cls"), (-F.col("x.s")).alias("score")).unionByName(own)
     hits = pairs.join(classes.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("vec_id"))
     first = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")

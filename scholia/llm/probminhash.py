@@ -38,7 +38,7 @@ M = BANDS * ROWS
 #: Pairs whose signatures agree in a smaller share of registers aren't verified: 0.8 less more than four standard errors.
 AGREE = 0.65
 #: Rows of a block of a bucket's members; a group of two blocks is what one task holds.
-BLOCK = 1024
+BLOCK = 512
 #: At most so many ids go to every task; more are joined by a shuffle.
 SENT_IDS = 2_000_000
 

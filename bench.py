@@ -1,7 +1,7 @@
 """Times the headline queries; prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) is read by local[BENCH_CPUS]; each query runs once to warm up and then
-BENCH_RUNS times (default 3); its time is the median.  Results go to the noop sink, so all columns are computed.
+BENCH_RUNS times (default 2); its time is the median.  Results go to the noop sink, so all columns are computed.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ HEADLINE = [
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    cpus, runs = os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "3"))
+    cpus, runs = os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "2"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "16m").getOrCreate()

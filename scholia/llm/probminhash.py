@@ -1,9 +1,10 @@
-"""Near-duplicates by ProbMinHash: probability Jaccard of weighted five-word shingles, banding, verification.
+"""Near-duplicates by ProbMinHash: probability Jaccard of five-word shingles, banding, verification.
 
-Every shingle of a text is a Poisson process whose rate is its weight (1 + ln of its count); each arrival falls
-into one of ``M`` registers at random, and a register keeps the shingle that arrives first.  A process stops as
-soon as its next arrival is later than all registers' (early termination).  Two texts agree in a register with
-the probability that is their probability Jaccard similarity.
+Every shingle of a text is a Poisson process whose rate is its weight; each arrival falls into one of ``M``
+registers at random, and a register keeps the shingle that arrives first.  A process stops as soon as its next
+arrival is later than all registers' (early termination).  Two texts agree in a register with the probability
+that is their probability Jaccard similarity.  Links are decided by the sets of shingles, so here every shingle
+weighs the same, however often it repeats: the probability Jaccard similarity is then that of the sets.
 
 1. Exact copies: texts of equal words are one class, named by its smallest id.  Only class representatives go on.
 2. ``BANDS`` bands of ``ROWS`` registers put them into buckets.  A bucket's members are paired with its leader
@@ -135,7 +136,7 @@ def signed(docs: DataFrame) -> DataFrame:
             words, first = common.word_hashes(*common.utf8(b.column(1)))
             doc, h, count = weighted(words, first)
             n = np.bincount(doc, minlength=k)
-            sig = signatures(doc, h, count, k)
+            sig = signatures(doc, h, np.ones_like(count), k)
             band = np.zeros((k, BANDS), np.uint64)
             for r in range(ROWS):
                 band = common.mix(band * np.uint64(31) + sig[:, r::ROWS])

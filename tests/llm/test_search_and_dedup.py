@@ -77,6 +77,16 @@ def test_no_documents(spark):
     assert probminhash.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_copies_that_differ_in_how_often_a_line_repeats(spark):
+    rows = []
+    for k in range(40):
+        text, line = " ".join(f"w{k}x{i}" for i in range(60)), " ".join(f"l{k}x{i}" for i in range(10))
+        rows += [(2 * k, f"{text} {line}"), (2 * k + 1, f"{text} " + f"{line} " * 200)]
+        assert len(shingles(rows[-2][1]) & shingles(rows[-1][1])) > 0.9 * len(shingles(rows[-2][1]) | shingles(rows[-1][1]))
+    got = probminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_registers_estimate_probability_jaccard():
     rnd = np.random.default_rng(0)
     h = common.mix(np.arange(1, 400, dtype=np.uint64))

@@ -7,8 +7,9 @@ pages and was the same in ``CONSTANT`` of them is template, the others are slots
 host and element before they are shuffled, so a host with a third of all pages is no heavier than another.
 
 Slots also hold what isn't the article: menus, adverts, comments and footers vary as well.  They are told by their
-elements and the words of their classes and ids, and where the page marks its article only that is kept.  Blocks of
-text in a marked article are never template: an article's line may be the same on many pages.
+elements and the words of their classes and ids, and where the page has main or article elements only those are kept,
+all of them and whole; on other pages roles and template alone decide.  Blocks of text in an article element (in main,
+if it has none) are never template: an article's line may be the same on many pages.
 
 Blocks are elements that stand on lines of their own; table rows are one block each, and a line break is white
 space.
@@ -94,30 +95,24 @@ def text_size(n: Node) -> int:
     return size
 
 
-def regions(root: Node) -> tuple[list[Node], bool]:
-    """The parts of the page that hold its article, and whether the page itself marks them."""
-    found: dict[int, list[Node]] = {3: [], 2: [], 1: []}
-    stack = [root]
+def regions(root: Node) -> tuple[list[Node], list[Node]]:
+    """The parts of the page that hold its content (main and article elements that have text, else the whole page), and those that are its own articles."""
+    tops, articles = [], []
+    stack = [(root, False)]
     while stack:
-        n = stack.pop()
-        k = is_article(n)
+        n, below = stack.pop()
         if n is not root and dropped(n, False):
             continue
-        if k:
-            found[k].append(n)
+        k = is_article(n)
+        if k >= 2 and (below or text_size(n)):
+            if not below:
+                tops.append(n)
+            if k == 3:
+                articles.append(n)
+            below = True
         if k < 3:  # an article inside an article is part of it
-            stack.extend(reversed(n.kids))
-    for k in (3, 2):
-        if found[k]:
-            sizes = [text_size(n) for n in found[k]]
-            if max(sizes):
-                keep = [n for n, s in zip(found[k], sizes, strict=True) if s >= 0.3 * max(sizes)]
-                return [n for n in keep if not any(n in _below(m) for m in keep if m is not n)], True
-    body = max((text_size(n), n.index, n) for n in found[1])[2] if found[1] else None
-    whole = text_size(root)
-    if body is not None and text_size(body) >= 0.3 * whole:
-        return [body], False
-    return [root], False
+            stack.extend((x, below) for x in reversed(n.kids))
+    return tops or [root], [n for n in articles if text_size(n)] or tops
 
 
 class Block:
@@ -131,23 +126,23 @@ def blocks(root: Node) -> list[Block]:
     """Blocks of text in page order, but those in dropped elements: the element each stands in, whether it is a marked
     article's own (never template), and whether it is inside the article."""
     out: list[Block] = []
-    tops, marked = regions(root)
-    entered = {id(n) for n in tops}
+    tops, articles = regions(root)
+    entered, owners = {id(n) for n in tops}, {id(n) for n in articles}
     buffer: list[str] = []
     link = 0
 
-    def flush(n: Node, inside: bool) -> None:
+    def flush(n: Node, inside: bool, marked: bool) -> None:
         nonlocal link
         text = clean(buffer)
-        own = marked and inside and n.tag not in ("div", "section", "span", "ul", "ol", "article", "main")
+        own = marked and n.tag not in ("div", "section", "span", "ul", "ol", "article", "main")
         if text and (own or link <= 0.6 * len(text)):
             out.append(Block(n.index, text, own, inside))
         buffer.clear()
         link = 0
 
-    stack: list[tuple[Node, int, bool, bool]] = [(root, 0, False, id(root) in entered)]
+    stack: list[tuple[Node, int, bool, bool, bool]] = [(root, 0, False, id(root) in entered, False)]
     while stack:
-        n, k, anchor, inside = stack.pop()
+        n, k, anchor, inside, marked = stack.pop()
         article = inside and tops[0] is not root
         while k < len(n.parts):
             p = n.parts[k]
@@ -160,15 +155,15 @@ def blocks(root: Node) -> list[Block]:
             out_of_text = dropped(p, article) or p.tag == "header" and not any(x.tag in HEADINGS for x in _below(p))
             if p.tag in ("br", "td", "th"):
                 buffer.append(" ")
-            elif p.tag in BLOCK or id(p) in entered:
-                flush(n, inside)
+            elif p.tag in BLOCK or id(p) in entered or id(p) in owners:
+                flush(n, inside, marked)
             if not out_of_text:
-                stack.append((n, k, anchor, inside))
-                stack.append((p, 0, anchor or p.tag == "a", inside or id(p) in entered))
+                stack.append((n, k, anchor, inside, marked))
+                stack.append((p, 0, anchor or p.tag == "a", inside or id(p) in entered, marked or id(p) in owners))
                 break
         else:
-            if n.tag in BLOCK or n is root or id(n) in entered:
-                flush(n, inside)
+            if n.tag in BLOCK or n is root or id(n) in entered or id(n) in owners:
+                flush(n, inside, marked)
     return out
 
 

@@ -235,6 +235,16 @@ def test_page_by_hand(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<div class=text>{'a' * 60}</div><div class=text>{'b' * 40}</div>", ["a" * 60, "b" * 40]),
+    (f"<h1>T</h1><div class=post-body>{'a' * 60}</div><p>tail", ["T", "a" * 60, "tail"]),
+    (f"<article>{'a' * 90}</article><article>short</article>", ["a" * 90, "short"]),
+    ("<p>out<main><h1>Title</h1><article><p>one</article><p>two</main>", ["Title", "one", "two"]),
+])
+def test_all_content_regions_stay(page, want):
+    assert wrapper.aligned(page, None)[0] == want
+
+
 def test_references_may_be_joined_instead_of_sent(spark, monkeypatch):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     a = {r["page_id"]: r["text"] for r in wrapper.extract(pages).collect()}

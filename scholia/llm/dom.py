@@ -17,7 +17,7 @@ _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'
 
 
 class Node:
-    __slots__ = ("attrs", "index", "kids", "label", "parts", "tag", "up")
+    __slots__ = ("attrs", "holds", "index", "kids", "label", "parts", "size", "tag", "up")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
         self.tag, self.attrs, self.up = tag, attrs, up
@@ -25,6 +25,7 @@ class Node:
         self.kids: list[Node] = []
         self.label = tag + "." + attrs.get("class", "")
         self.index = -1
+        self.holds = self.size = 0  # for wrapper.measure
 
 
 def parse(page: str) -> Node:

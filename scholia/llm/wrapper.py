@@ -11,6 +11,11 @@ elements and the words of their classes and ids, and where the page has main or
 all of them and whole; on other pages roles and template alone decide.  Blocks of text in an article element (in main,
 if it has none) are never template: an article's line may be the same on many pages.
 
+An element with such a word goes unless it holds content: an element with one of ``LAYOUT``'s words or a form stays if
+it has a content region of any kind below it, or half of the text of a page without any.  Blocks with over 60 % link
+text go where they stand outside all content regions of a page that has some.  If nothing is left of a page, only
+tags, roles and the template decide.
+
 Blocks are elements that stand on lines of their own; table rows are one block each, and a line break is white
 space.
 
@@ -37,7 +42,7 @@ CONSTANT = 0.9
 #: References of at most so many hosts and characters are sent to all tasks; more are joined by host.
 SENT_HOSTS, SENT_CHARS = 4000, 16 << 20
 
-DROPPED = frozenset("head nav footer aside form button select menu dialog input label".split())
+DROPPED = frozenset("head nav footer aside button select menu dialog input label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar status".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot adsense sponsor sponsored sponsors promo promoted promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
@@ -45,6 +50,10 @@ WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login signin share sharing social follow "
     "toolbar pagination pager copyright legal disclaimer skip search hidden paywall".split()
 )
+#: Of these, the ones that also name layouts, which may wrap the page's content.
+LAYOUT = frozenset("banner nav navbar navigation menu header masthead topbar footer foot sidebar aside rail widget widgets share sharing social follow toolbar copyright legal disclaimer skip search overlay modal".split())
+#: A class that begins so says what else the page has; a header of one of these is a title.
+HAS, TITLED = frozenset("has no with without".split()), frozenset("post entry article story title".split())
 ARTICLE = frozenset("article content main post entry story body text".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -63,15 +72,50 @@ def is_article(n: Node) -> int:
     return int(n.tag in ("div", "section", "td") and bool(words_of(n) & ARTICLE))
 
 
-def dropped(n: Node, inside: bool) -> bool:
-    """Whether an element and all in it isn't part of the article; inside: it is in one."""
+def boilerplate(n: Node) -> set[str]:
+    """The words of its classes and ids that name what isn't the article."""
+    out: set[str] = set()
+    for key in ("class", "id"):
+        for token in n.attrs.get(key, "").split():
+            words = [w.lower() for w in _WORD.findall(token)]
+            if words and words[0] not in HAS:
+                out |= WORDS.intersection(words) - ({"header"} if TITLED.intersection(words) else set())
+    return out
+
+
+def measure(root: Node) -> bool:
+    """Sets size (characters that aren't links') and holds (the highest is_article below, but that of boilerplate) of all elements.
+
+    On a page without any content region, elements with half of its text or more count as holding one.
+    Gives whether the page has a region.
+    """
+    order = number(root)
+    for n in reversed(order):
+        n.size = 0 if n.tag == "a" else sum(len(p.strip()) if isinstance(p, str) else p.size for p in n.parts)
+        n.holds = 0
+        for x in n.kids:
+            k = is_article(x)
+            n.holds = max(n.holds, x.holds, 0 if k == 1 and (not x.size or boilerplate(x)) else k)
+    if root.holds:
+        return True
+    for n in order:
+        n.holds = int(0 < n.size and 2 * n.size >= root.size)
+    return False
+
+
+def dropped(n: Node, inside: bool, words: bool = True) -> bool:
+    """Whether an element and all in it isn't part of the article; inside: it is in one; words: not by its tag and role alone."""
     a = n.attrs
     if n.tag in DROPPED or a.get("role") in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
         return True
     if n.tag == "header" and not inside:
         return True
-    if ("class" in a or "id" in a) and n.tag not in ("html", "body", "article", "main") and n.tag not in HEADINGS and words_of(n) & WORDS:
-        return not any(is_article(x) >= 2 for x in _below(n))
+    if not words:
+        return False
+    if n.tag == "form" and not n.holds:
+        return True
+    if ("class" in a or "id" in a) and n.tag not in ("html", "body", "article", "main") and n.tag not in HEADINGS and (found := boilerplate(n)):
+        return n.holds < (1 if found <= LAYOUT else 2)
     return n.tag in ("article", "section") and bool(words_of(n) & {"comment", "comments", "reply", "replies", "related"})
 
 
@@ -124,25 +168,33 @@ class Block:
 
 def blocks(root: Node) -> list[Block]:
     """Blocks of text in page order, but those in dropped elements: the element each stands in, whether it is a marked
-    article's own (never template), and whether it is inside the article."""
+    article's own (never template), and whether it is inside the article.  Where that leaves nothing, words of classes
+    and forms drop nothing."""
+    out = _blocks(root, True)
+    return out if any(b.inside for b in out) else _blocks(root, False)
+
+
+def _blocks(root: Node, words: bool) -> list[Block]:
     out: list[Block] = []
-    tops, articles = regions(root)
+    regional = measure(root) and words
+    tops, articles = regions(root) if words else ([root], [])
     entered, owners = {id(n) for n in tops}, {id(n) for n in articles}
     buffer: list[str] = []
     link = 0
 
-    def flush(n: Node, inside: bool, marked: bool) -> None:
+    def flush(n: Node, inside: bool, marked: bool, content: bool) -> None:
         nonlocal link
         text = clean(buffer)
         own = marked and n.tag not in ("div", "section", "span", "ul", "ol", "article", "main")
-        if text and (own or link <= 0.6 * len(text)):
+        # lists of links aren't content where the page has regions of content and they stand outside them
+        if text and (own or content or not regional or link <= 0.6 * len(text)):
             out.append(Block(n.index, text, own, inside))
         buffer.clear()
         link = 0
 
-    stack: list[tuple[Node, int, bool, bool, bool]] = [(root, 0, False, id(root) in entered, False)]
+    stack: list[tuple[Node, int, bool, bool, bool, bool]] = [(root, 0, False, id(root) in entered, False, False)]
     while stack:
-        n, k, anchor, inside, marked = stack.pop()
+        n, k, anchor, inside, marked, content = stack.pop()
         article = inside and tops[0] is not root
         while k < len(n.parts):
             p = n.parts[k]
@@ -152,18 +204,18 @@ def blocks(root: Node) -> list[Block]:
                 if anchor:
                     link += len(p.strip())
                 continue
-            out_of_text = dropped(p, article) or p.tag == "header" and not any(x.tag in HEADINGS for x in _below(p))
+            out_of_text = dropped(p, article, words) or p.tag == "header" and not any(x.tag in HEADINGS for x in _below(p))
             if p.tag in ("br", "td", "th"):
                 buffer.append(" ")
             elif p.tag in BLOCK or id(p) in entered or id(p) in owners:
-                flush(n, inside, marked)
+                flush(n, inside, marked, content)
             if not out_of_text:
-                stack.append((n, k, anchor, inside, marked))
-                stack.append((p, 0, anchor or p.tag == "a", inside or id(p) in entered, marked or id(p) in owners))
+                stack.append((n, k, anchor, inside, marked, content))
+                stack.append((p, 0, anchor or p.tag == "a", inside or id(p) in entered, marked or id(p) in owners, content or bool(is_article(p))))
                 break
         else:
             if n.tag in BLOCK or n is root or id(n) in entered or id(n) in owners:
-                flush(n, inside, marked)
+                flush(n, inside, marked, content)
     return out
 
 

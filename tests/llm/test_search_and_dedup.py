@@ -245,6 +245,22 @@ def test_all_content_regions_stay(page, want):
     assert wrapper.aligned(page, None)[0] == want
 
 
+BODY = "<div class=post-body><p>the body</div>"
+
+
+@pytest.mark.parametrize("page, want", [
+    *((f'<div class="{c}">{BODY}</div>', ["the body"]) for c in ("layout has-sidebar", "no-sidebar", "search", "legal", "share", "with-header")),
+    (f"<div class=post-header><h1>Title</h1></div>{BODY}", ["Title", "the body"]),
+    ("<form><article><p>one</article><input></form>", ["one"]),
+    ("<form id=aspnetForm><p>all of it</form>", ["all of it"]),
+    ("<h2>References</h2><ul><li><a href=1>A book</a><li><a href=2>Another</a></ul>", ["References", "A book", "Another"]),
+    ("<div class=notice><p>nothing but this</div>", ["nothing but this"]),
+    (f"<div class=comments><div class=text>me too</div></div><div class=sidebar>side</div><form>Search</form>{BODY}<div><a href=1>More like this</a></div>", ["the body"]),
+])
+def test_wrappers_of_content_stay(page, want):
+    assert wrapper.aligned(page, None)[0] == want
+
+
 def test_references_may_be_joined_instead_of_sent(spark, monkeypatch):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     a = {r["page_id"]: r["text"] for r in wrapper.extract(pages).collect()}

@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction over the pages of one host.
 
-Every page's element tree is aligned with its host's reference page (the page with the smallest hash of its id) by
-simple tree matching.  Over all pages of the host it is counted how often each element of the reference was
+Every page's element tree is aligned with its host's reference page (of its pages that aren't
+blank, the one with the smallest hash of its id) by simple tree matching.  Over all pages of the host it is counted how often each element of the reference was
 aligned and how often the aligned block had the same text; an element that was aligned in at least ``PAGES`` other
 pages and was the same in ``CONSTANT`` of them is template, the others are slots of content.  Counts are summed by
 host and element before they are shuffled, so a host with a third of all pages is no heavier than another.
@@ -259,7 +259,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), parts(F.col(url_col))[0].alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    first = F.struct(F.xxhash64("page_id").alias("o"), F.col("page_id"), F.col("html"))
+    first = F.struct((~F.col("html").rlike(r"\S")).alias("blank"), F.xxhash64("page_id").alias("o"), F.col("page_id"), F.col("html"))
     refs = common.save(rows.groupBy("host").agg(F.min(first).alias("r")).select("host", F.col("r.html").alias("ref"), F.col("r.page_id").alias("ref_id")), "references")
     sent = None
     hosts, size = refs.agg(F.count("*"), F.coalesce(F.sum(F.length("ref")), F.lit(0))).first()

@@ -261,6 +261,12 @@ def test_wrappers_of_content_stay(page, want):
     assert wrapper.aligned(page, None)[0] == want
 
 
+def test_blank_pages_are_no_reference(spark):
+    rows = [(k, f"<div class=k1><p>Always here</div><p>Page {k}" if k < 8 else None if k % 2 else " \n", f"Page {k}" if k < 8 else "") for k in range(200)]
+    pages = spark.createDataFrame([(k, f"http://hot.example/{k}", t) for k, t, _ in rows], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrapper.extract(pages).collect()} == {k: w for k, _, w in rows}
+
+
 def test_references_may_be_joined_instead_of_sent(spark, monkeypatch):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     a = {r["page_id"]: r["text"] for r in wrapper.extract(pages).collect()}

@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes e
 folder that all executors share and reads them again as the next stage's documents.  A stage decides about all that
 its predecessor kept, and all but the last return whole rows of documents with the columns they came with.
 
-Rows are told apart by doc_id: an id is taken out when all its rows are rejected, and rows without an id stay.
-Ids to take out are sent to every task only if there are at most ``SENT_IDS``; more are joined by a shuffle.
+Every stage writes its input with a key of each row and decides about rows, whatever their ids.  Of near copies one
+row stays, that of the smallest id; of copies without an id one stays as well, even beside one with an id.
+Keys to take out are sent to every task only if there are at most ``SENT_IDS``; more are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -18,39 +19,49 @@ from scholia.llm import bm25_wand, common, langid, packing, probminhash, site_ba
 SENT_IDS = 2_000_000
 
 
-def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """docs without the ids of which every row in ``decided`` (doc_id, out) is out."""
-    out = decided.where("doc_id is not null").groupBy("doc_id").agg(F.min("out").alias("out")).where("out").select("doc_id")
-    out = common.save(out, "rejected").withColumnRenamed("doc_id", "rejected_id")
-    return docs.join(common.small_or_shuffled(out, SENT_IDS), docs["doc_id"] == F.col("rejected_id"), "left_anti")
+ROW = "scholia_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, fixed by writing them."""
+    return common.save(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, out: DataFrame) -> DataFrame:
+    """rows (of _numbered) without those whose keys ``out`` holds in its only column."""
+    out = common.save(out.toDF("rejected_row").distinct(), "rejected")
+    return rows.join(common.small_or_shuffled(out, SENT_IDS), rows[ROW] == F.col("rejected_row"), "left_anti").drop(ROW)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go."""
-    return _without(docs, langid.identify(docs).select("doc_id", F.col("rejected").alias("out")))
+    rows = _numbered(docs)
+    return _without(rows, langid.identify(rows, row_col=ROW).where("rejected").select("doc_id"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is too low go."""
-    judged = site_bayes.quality(docs, common.table(spark, sf_dir, "labels"))
-    return _without(docs, judged.select("doc_id", (~F.col("keep")).alias("out")))
+    rows = _numbered(docs)
+    judged = site_bayes.quality(rows, common.table(spark, sf_dir, "labels"), row_col=ROW)
+    return _without(rows, judged.where(~F.col("keep")).select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies stays."""
-    classes = probminhash.classes(docs)
-    kept = _without(docs, classes.select("doc_id", (F.col("class_id") != F.col("doc_id")).alias("out")))
-    repeated = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where("doc_id is null"))
+    """The row of the smallest id of each group of near copies stays, and one of those without an id."""
+    rows = _numbered(docs)
+    ids = rows.select(ROW, F.col("doc_id").cast("long").alias("id"), F.col("doc_id").isNull().alias("unnamed"))
+    group = ["class_id", "unnamed"]
+    member = common.save(probminhash.classes(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), "class_id").join(ids, ROW), "copies")
+    kept = member.groupBy(*group).agg(F.min(F.struct("id", ROW))[ROW].alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = common.save(kept, "kept")
+    return _without(rows, member.join(common.small_or_shuffled(kept, SENT_IDS), group).where(F.col(ROW) != F.col("kept")).select(ROW))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
-    hits = bm25_wand.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
-    return _without(docs, hits.select("doc_id", F.lit(True).alias("out")))
+    rows = _numbered(docs)
+    hits = bm25_wand.contaminated(rows, common.table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return _without(rows, hits.select("doc_id"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,10 +187,10 @@ def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, rejected."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = fit(docs, sample)
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id (what ``row_col`` holds, if it is given), held_out, lang_pred, score, rejected."""
+    docs = docs.select(F.col(row_col or id_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    model = fit(docs.drop("row"), sample)
 
     def predict(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(rows):
@@ -207,4 +207,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     common.arrow_rows(docs.sparkSession, 500)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("row").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

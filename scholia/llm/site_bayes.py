@@ -135,14 +135,14 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, own_score, host_posterior, path_posterior, score, keep.
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, keep: float = KEEP, sample: int = SAMPLE, row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id (what ``row_col`` holds, if it is given), own_score, host_posterior, path_posterior, score, keep.
 
     ``host`` and ``path`` default to the columns source and lang: a source's documents of one language are a path of it.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
+    docs = docs.select(F.col(row_col or id_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
     common.arrow_rows(docs.sparkSession, 500)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     model = fit(docs.select("doc_id", "text"), labels, sample)
@@ -152,7 +152,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             z = model.logit(features(*common.utf8(b.column(3))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(z, pa.float64())], ["doc_id", "host", "path", "z"])
 
-    scored = common.save(docs.select("doc_id", "host", "path", "text").mapInArrow(score, "doc_id long, host string, path string, z double"), "quality")
+    scored = common.save(docs.select(F.col("row").alias("doc_id"), "host", "path", "text").mapInArrow(score, "doc_id long, host string, path string, z double"), "quality")
     p = 1 / (1 + F.exp(-F.col("z")))
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"))
     paths = common.save(paths, "sites")

@@ -30,6 +30,16 @@ def test_repeated_rows_and_missing_ids(spark):
     assert sorted((r["doc_id"] or 0) for r in corpus_pipeline.language(spark, docs, SMALL).collect()) == [0, 1, 1, 2]
 
 
+def test_rows_are_judged_whatever_their_ids(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("text is not null").orderBy("item_id").first()["text"]
+    a, b = ("one two three four five six seven eight nine ten", "an entirely different text that nobody would ever call a copy of it")
+    docs = lambda rows: spark.createDataFrame([(*r, "en", "s", 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda stage, rows: sorted((r["doc_id"] or 0, r["text"] or "") for r in stage(spark, docs(rows), SMALL).collect())
+    assert left(corpus_pipeline.language, [(None, None), (None, a), (7, a), (7, None)]) == [(0, a), (7, a)]
+    assert left(corpus_pipeline.near_duplicates, [(5, a), (5, b), (None, b), (None, b), (4, a + " "), (9, None), (None, None)]) == sorted([(4, a + " "), (5, b), (0, b), (9, ""), (0, "")])
+    assert left(corpus_pipeline.decontamination, [(None, item), (None, a), (7, item), (7, a)]) == [(0, a), (7, a)]
+
+
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_no_documents(spark, stage):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")

@@ -185,7 +185,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """One row per document and test item that it holds: HITS."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    common.arrow_rows(docs.sparkSession, 500)
+    common.arrow_bytes(docs.sparkSession)
     n = items.count()
     shards = max(1, -(-n // SHARD))
     out = None
@@ -194,7 +194,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         index = Index(sorted(((r["item_id"], r["text"]) for r in shard.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
 
         def probe(rows: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in common.batches(rows):
+            for b in common.batches(rows, 1000):
                 words, first = common.word_hashes(*common.utf8(b.column(1)))
                 ids, best = b.column(0).to_pylist(), {}
                 for (d, item), hit in index.search(words, first, threshold, overlap).items():

@@ -16,23 +16,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch, and bytes of text that one vectorised step looks at.
-ARROW_ROWS = 2000
+#: Bytes of one Arrow batch that a Python worker gets, and bytes of text that one vectorised step looks at.
+ARROW_BYTES = 8 << 20
 STEP_BYTES = 2 << 20
+_BATCH_BYTES, _AS_IT_COMES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+_own_scratch: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own if it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    If that is unset, a local session (as in tests) gets a folder of its own; a cluster is refused, since its machines
+    wouldn't see each other's files.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="scholia-")
-        spark.conf.set("spark.checkpoint.dir", there)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        there = _own_scratch.setdefault(context.applicationId, "")
+        if not there:
+            there = _own_scratch[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="scholia-")
     return there.rstrip("/")
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keeps Arrow batches of whole texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_bytes(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session does already.
+
+    Every operator asks for the same bound, so none changes another's; rows stay as the session has them.
+    """
+    if spark.conf.get(_BATCH_BYTES) == _AS_IT_COMES:
+        spark.conf.set(_BATCH_BYTES, str(ARROW_BYTES))
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
@@ -40,7 +54,16 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/scholia-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``save`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,5 +200,6 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     return out, begin
 
 
-def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in rows if b.num_rows)
+def batches(rows: Iterator[pa.RecordBatch], most: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Batches that aren't empty, in parts of at most so many rows."""
+    return (b.slice(k, most) for b in rows for k in range(0, b.num_rows, most))

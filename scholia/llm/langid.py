@@ -149,7 +149,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         chosen = chosen | ((F.col("lang") == lang) & (of < min(1_000_000, int(1_300_000 * each / n) + 1)))
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.batches(rows):
+        for b in common.batches(rows, 1000):
             data, at = common.utf8(b.column(1))
             sums = np.zeros((b.num_rows, BUCKETS + 1), np.float32)
             for _, begin, docs_, buckets_ in grams(data, at, 1 << 18):
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             sums = sums[:, :-1] / np.maximum(gram_counts(at), 1)[:, None].astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.astype("<f2").tobytes() for r in sums], pa.binary())], ["doc_id", "lang", "x"])
 
-    common.arrow_rows(docs.sparkSession, 500)
+    common.arrow_bytes(docs.sparkSession)
     rows = own.where(chosen).select("doc_id", "text", "lang").mapInArrow(count, "doc_id long, lang string, x binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
     taken: dict[str, int] = {}
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = fit(docs.drop("row"), sample)
 
     def predict(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.batches(rows):
+        for b in common.batches(rows, 1000):
             data, at = common.utf8(b.column(2))
             letter = has_letter(data, at)
             if model is None:
@@ -205,6 +205,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 rejected = ~letter | (best < model.threshold)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(best, pa.float64()), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    common.arrow_rows(docs.sparkSession, 500)
+    common.arrow_bytes(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return docs.select(F.col("row").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

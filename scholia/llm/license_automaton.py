@@ -208,5 +208,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             columns = [b.column(0), pa.array(np.diff(first)), pa.array(places), pa.array(low, mask=none), pa.array(high, mask=none), pa.array([",".join(sorted(x)) for x in base], pa.string()), pa.array([",".join(sorted(x)) for x in labels], pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
-    common.arrow_rows(docs.sparkSession, 500)
+    common.arrow_bytes(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(look, SCHEMA)

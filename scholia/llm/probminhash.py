@@ -131,7 +131,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to SIGNED; n is the number of distinct shingles."""
 
     def sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.batches(rows):
+        for b in common.batches(rows, 1000):
             k = b.num_rows
             words, first = common.word_hashes(*common.utf8(b.column(1)))
             doc, h, count = weighted(words, first)
@@ -152,7 +152,7 @@ def signed(docs: DataFrame) -> DataFrame:
             sigs = [s.astype("<u2").tobytes() for s in sig]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole[0]), pa.array(whole[1]), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "h1", "h2", "n", "bands", "sig"])
 
-    common.arrow_rows(docs.sparkSession, 500)
+    common.arrow_bytes(docs.sparkSession)
     return common.save(docs.mapInArrow(sign, SIGNED), "signed")
 
 
@@ -162,7 +162,7 @@ def _agree(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = pairs.join(sig.toDF("a", "na", "sa"), "a").join(sig.toDF("b", "nb", "sb"), "b").where(F.least("na", "nb") >= 0.7 * F.greatest("na", "nb"))
 
     def look(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.batches(rows):
+        for b in common.batches(rows, 1000):
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, M) for k in (2, 3))
             ok = pa.array((x == y).mean(axis=1) >= AGREE)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
@@ -174,13 +174,13 @@ def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id and s, the sorted set of 32-bit shingle hashes, of the whole texts of some documents (column doc_id)."""
 
     def shingle(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.batches(rows):
+        for b in common.batches(rows, 1000):
             doc, h, _ = weighted(*common.word_hashes(*common.utf8(b.column(1))))
             low = (h >> np.uint64(32)).astype("<u4")  # in order of h, and so in order
             ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(low[i:j]).tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "s"])
 
-    common.arrow_rows(docs.sparkSession, 500)
+    common.arrow_bytes(docs.sparkSession)
     return common.save(docs.join(common.small_or_shuffled(ids, SENT_IDS), "doc_id", "left_semi").mapInArrow(shingle, "doc_id long, s binary"), "shingles")
 
 
@@ -188,7 +188,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs a, b that are links, by the shingles of their whole texts."""
 
     def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.batches(rows):
+        for b in common.batches(rows, 1000):
             sim = [jaccard(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")) for x, y in zip(b.column(2), b.column(3), strict=True)]
             ok = pa.array(np.array(sim) >= LEAST)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])

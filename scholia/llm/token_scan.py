@@ -70,7 +70,7 @@ def write_tokens(docs: DataFrame, json_path: str | None = None, block_ids: int =
         if held or names:
             yield out(bytes(held))
 
-    common.arrow_rows(docs.sparkSession)
+    common.arrow_bytes(docs.sparkSession)
     return common.save(docs.mapInArrow(write, WRITTEN), "tokens")
 
 

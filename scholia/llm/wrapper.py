@@ -290,7 +290,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             kind = pa.list_(pa.struct([("host", pa.string()), ("element", pa.int32()), ("aligned", pa.int64()), ("same", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(texts, pa.list_(pa.string())), pa.array(slots, pa.list_(pa.int32())), pa.array(counts, kind)], ["page_id", "url", "host", "texts", "slots", "counts"])
 
-    common.arrow_rows(spark, 500)
+    common.arrow_bytes(spark)
     columns = ["page_id", "url", "host", "html"] + ["ref"] * (sent is None)
     found = common.save(rows.select(*columns).mapInArrow(look, BLOCKS + ", counts array<struct<host: string, element: int, aligned: long, same: long>>"), "blocks")
     counts = found.select(F.inline("counts")).groupBy("host", "element").agg(F.sum("aligned").alias("aligned"), F.sum("same").alias("same"))

@@ -5,10 +5,12 @@ documents begin.  Files are looked at in blocks of a fixed number of ids that ig
 Each block is searched for the separator in one vectorised comparison, which gives the lengths of the
 documents that begin and end inside it, the ids before its first separator and those after its last.
 A prefix scan over the blocks of each file stitches documents that go over block ends: a running count of
-separators numbers the documents, and the ids since the last separator are carried forward.
+separators numbers the documents, and the ids since the last separator are carried forward.  It has two levels,
+inside spans of ``SPAN`` blocks and over a file's spans, so a file of a terabyte is no long single task.
 
 ``scan`` works on any table of blocks; ``file_blocks`` makes one from real flat files and ``write_tokens``
-from documents.  Blocks are rows, so one huge file is as many tasks as it has blocks.
+from documents.  ``file_blocks`` reads byte ranges: every block is a row that a task reads by its offset, so one huge
+file is read by as many tasks as its blocks are dealt to, and never held whole.
 
 Defined cases: a null or empty text is a document of no tokens (its separator only); repeated rows are
 documents of their own; ids after the last separator of a file are an unfinished document and counted as
@@ -28,6 +30,8 @@ from . import common, tokens
 
 #: Ids of a block.
 BLOCK_IDS = 1 << 17
+#: Blocks of a span.
+SPAN = 4096
 #: The separator: beyond the vocabulary, so that no text can hold it.
 END_OF_DOCUMENT = 0xFFFF
 
@@ -74,15 +78,28 @@ def write_tokens(docs: DataFrame, json_path: str | None = None, block_ids: int =
     return common.save(docs.mapInArrow(write, WRITTEN), "tokens")
 
 
-def file_blocks(spark: SparkSession, path: str, item_bytes: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Flat files of little-endian ids, each of at most 2 GiB (Spark's limit for one binary value), as BLOCKS."""
+def file_blocks(spark: SparkSession, path: str, item_bytes: int = 2, block_ids: int = BLOCK_IDS, tasks: int | None = None) -> DataFrame:
+    """Flat files of little-endian ids as BLOCKS, read by byte ranges through Arrow's file systems (local, HDFS, object stores)."""
     step = item_bytes * block_ids
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length", "content")
-    n = F.expr(f"explode(sequence(0L, (length - 1) div {step}L))").alias("block")
-    return files.select("file", n, "content").select("file", "block", F.expr(f"substring(content, cast(block * {step} + 1 as int), {step})").alias("payload"))
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length")  # contents aren't read here
+    ranges = files.select("file", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {step}L)")).alias("block"))
+    ranges = ranges.repartition(tasks, "file", "block") if tasks else ranges.repartition("file", "block")
 
+    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-def scan(blocks: DataFrame, separator: int = END_OF_DOCUMENT, item_bytes: int = 2) -> DataFrame:
+        for b in common.batches(rows, 16):
+            payload = []
+            for file, length, block in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                store, name = fs.FileSystem.from_uri(file)
+                with store.open_input_file(name) as f:
+                    payload.append(f.read_at(min(step, length - block * step), block * step))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(payload, pa.binary())], ["file", "block", "payload"])
+
+    return ranges.select("file", "length", "block").mapInArrow(read, BLOCKS)
+
+
+def scan(blocks: DataFrame, separator: int = END_OF_DOCUMENT, item_bytes: int = 2, span: int = SPAN) -> DataFrame:
     """BLOCKS to one row a document: file, ordinal (from 0), n_tokens, closed."""
     kind = {2: "<u2", 4: "<u4"}[item_bytes]
 
@@ -92,32 +109,35 @@ def scan(blocks: DataFrame, separator: int = END_OF_DOCUMENT, item_bytes: int =
             for payload in b.column(2):
                 ids = np.frombuffer(payload.as_buffer(), kind)
                 ends = np.flatnonzero(ids == separator)
-                inside = np.diff(ends) - 1
                 head = int(ends[0]) if len(ends) else len(ids)
-                tail = len(ids) - 1 - int(ends[-1]) if len(ends) else len(ids)
-                out.append((len(ends), head, tail, inside))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.string()), b.column(1).cast(pa.int64()), *(pa.array([o[k] for o in out], pa.int64()) for k in range(3)), pa.array([o[3] for o in out], pa.list_(pa.int64()))],
-                ["file", "block", "ends", "head", "tail", "inside"],
-            )
-
-    found = blocks.select("file", "block", "payload").mapInArrow(look, "file string, block long, ends long, head long, tail long, inside array<long>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # runs of blocks without a separator hand on what came before them: ids so far, less those up to the last separator
-    ids = F.when(F.col("ends") == 0, F.col("head")).otherwise(F.col("head") + 1 + F.coalesce(F.aggregate("inside", F.lit(0).cast("long"), lambda a, x: a + x + 1), F.lit(0)) + F.col("tail"))
-    stitched = (
-        found.withColumn("ids", ids)
-        .withColumn("first", F.coalesce(F.sum("ends").over(before), F.lit(0)))
-        .withColumn("ids_before", F.coalesce(F.sum("ids").over(before), F.lit(0)))
-        .withColumn("last_end", F.coalesce(F.max(F.when(F.col("ends") > 0, F.col("ids_before") + F.col("ids") - F.col("tail"))).over(before), F.lit(0)))
-        .withColumn("carried", F.col("ids_before") - F.col("last_end"))
-        .withColumn("is_last", F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull())
-    )
+                out.append((len(ids), len(ends), head, len(ids) - 1 - int(ends[-1]) if len(ends) else len(ids), np.diff(ends) - 1))
+            counts = [pa.array([o[k] for o in out], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.int64()), *counts, pa.array([o[4] for o in out], pa.list_(pa.int64()))], ["file", "block", "ids", "ends", "head", "tail", "inside"])
+
+    found = common.save(blocks.select("file", "block", "payload").mapInArrow(look, "file string, block long, ids long, ends long, head long, tail long, inside array<long>"), "ends")
+
+    # for every block of a span: the separators and ids before it, and where its last separator before the block ends
+    so_far = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = Window.partitionBy("file", "span").orderBy("block")
+    small = found.select("file", "block", F.floor(F.col("block") / span).alias("span"), "ids", "ends", "tail")
+    small = small.withColumn("first_in", so_far(inside, "ends")).withColumn("ids_in", so_far(inside, "ids"))
+    small = small.withColumn("end", F.when(F.col("ends") > 0, F.col("ids_in") + F.col("ids") - F.col("tail")))
+    small = small.withColumn("end_in", F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    # the same for the spans of a file
+    over = Window.partitionBy("file").orderBy("span")
+    spans = small.groupBy("file", "span").agg(F.sum("ends").alias("ends"), F.sum("ids").alias("ids"), F.max("end").alias("end"), F.max("block").alias("last_block"))
+    spans = spans.withColumn("first", so_far(over, "ends")).withColumn("ids_before", so_far(over, "ids"))
+    spans = spans.withColumn("end_before", F.coalesce(F.max(F.col("ids_before") + F.col("end")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    spans = spans.select("file", "span", "first", "ids_before", "end_before", F.max("last_block").over(Window.partitionBy("file")).alias("last_block"))
+
+    last_end = F.coalesce(F.col("ids_before") + F.col("end_in"), F.col("end_before"))
+    before = small.join(spans, ["file", "span"]).select("file", "block", (F.col("first") + F.col("first_in")).alias("first"), (F.col("ids_before") + F.col("ids_in") - last_end).alias("carried"), (F.col("block") == F.col("last_block")).alias("is_last"))
+    stitched = found.join(before, ["file", "block"])
     whole = F.when(F.col("ends") > 0, F.concat(F.array(F.col("carried") + F.col("head")), F.col("inside"))).otherwise(F.array().cast("array<long>"))
     rest = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carried") + F.col("head"))
-    closed = stitched.select("file", "first", F.posexplode(whole).alias("k", "n_tokens")).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "n_tokens", F.lit(True).alias("closed"))
-    open_ = stitched.where("is_last").select("file", (F.col("first") + F.col("ends")).alias("ordinal"), rest.alias("n_tokens"), F.lit(False).alias("closed")).where("n_tokens > 0")
-    return closed.unionByName(open_)
+    closed = F.transform(whole, lambda n, k: F.struct((F.col("first") + k).alias("ordinal"), n.alias("n_tokens"), F.lit(True).alias("closed")))
+    open_ = F.when(F.col("is_last") & (rest > 0), F.array(F.struct((F.col("first") + F.col("ends")).alias("ordinal"), rest.alias("n_tokens"), F.lit(False).alias("closed"))))
+    return stitched.select("file", F.inline(F.concat(closed, F.coalesce(open_, F.array().cast("array<struct<ordinal: bigint, n_tokens: bigint, closed: boolean>>")))))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", json_path: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:

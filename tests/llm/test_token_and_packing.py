@@ -39,7 +39,8 @@ def test_counts_are_exact_for_any_block(docs, reference, block):
     assert got == sorted((r["doc_id"], len(reference(r["text"]))) for r in docs.collect())
 
 
-def test_flat_files(spark, tmp_path):
+@pytest.mark.parametrize("span", [1, 3, token_scan.SPAN])
+def test_flat_files(spark, tmp_path, span):
     rnd = np.random.default_rng(1)
     want = []
     for f in range(3):
@@ -48,7 +49,7 @@ def test_flat_files(spark, tmp_path):
         (tmp_path / f"{f}.bin").write_bytes(ids.tobytes())
         want += [(int(n), True) for n in lengths] + [(3, False)]
     (tmp_path / "empty.bin").write_bytes(b"")
-    got = token_scan.scan(token_scan.file_blocks(spark, str(tmp_path), 4, 11), separator=0, item_bytes=4)
+    got = token_scan.scan(token_scan.file_blocks(spark, str(tmp_path), 4, 11), separator=0, item_bytes=4, span=span)
     assert sorted((r["n_tokens"], r["closed"]) for r in got.collect()) == sorted(want)
 
 

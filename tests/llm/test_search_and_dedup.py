@@ -274,6 +274,57 @@ def test_references_may_be_joined_instead_of_sent(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in wrapper.extract(pages).collect()} == a
 
 
+PLAIN = """<body><div class=k1><ul><li><a href=1>Start</a><li><a href=2>Contact us</a></ul></div><table><tr><td class=q><h1>{t}</h1><p>{a}<p>{b}</td></tr></table>
+<div class=k2>You read this because we are read by all.</div><div class=k3><a href=3>{x}</a> <a href=4>{y}</a></div><div class=k4><p>All rights are ours</div></body>"""
+ERROR = "<body><center><hr><tt>Not here</tt><blockquote>{a}</blockquote><blockquote>Go back to the start.</blockquote></center></body>"
+
+
+def plain_pages(spark, n=40):
+    rnd = random.Random(6)
+    say = lambda k: " ".join(rnd.choice(["one", "two", "three", "four", "five", "six"]) for _ in range(k))
+    rows, want = [], {}
+    for k in range(n):
+        v = {"t": say(4), "a": say(30), "b": say(20), "x": say(3), "y": say(3)}
+        if k % 3 == 0:
+            rows.append((k, "http://plain.example/", ERROR.format(a=v["a"])))
+            want[k] = v["a"]
+        else:
+            rows.append((k, "http://plain.example/", PLAIN.format(**v)))
+            want[k] = "\n\n".join((v["t"], v["a"], v["b"]))
+    return spark.createDataFrame(rows, "page_id long, url string, html string"), want
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_the_template_decides_without_marks(spark, monkeypatch, sent):
+    """No article element, no telling names, two layouts on one host: constant nodes and menus go, varying slots stay."""
+    if not sent:
+        monkeypatch.setattr(wrapper, "SENT_HOSTS", 0)
+        monkeypatch.setattr(wrapper, "HOST_PAGES", 7)
+        monkeypatch.setattr(wrapper, "SENT_TEMPLATES", 0)
+    pages, want = plain_pages(spark)
+    assert {r["page_id"]: r["text"] for r in wrapper.extract(pages).collect()} == want
+    without = {r["page_id"]: r["text"] for r in wrapper.extract(pages, template=False).collect()}
+    assert all("All rights are ours" in without[k] and "Contact us" in without[k] for k in want if k % 3)
+
+
+def test_constant_lines_of_articles_need_more_pages(spark):
+    page = "<article><h1>Title {k}</h1><p>Text of page {k}.<p>Written for you by our staff</article>"
+    for n, gone in ((10, False), (wrapper.MARKED_PAGES + 1, True)):
+        pages = spark.createDataFrame([(k, "http://a.example/", page.format(k=k)) for k in range(n)] + [(100, "http://b.example/", page.format(k=1))] * 30, "page_id long, url string, html string")
+        got = wrapper.extract(pages).toPandas()
+        assert (got.loc[got.page_id < 100, "text"].str.contains("staff") == (not gone)).all()
+        assert got.loc[got.page_id == 100, "text"].str.contains("staff").all()  # copies tell nothing
+
+
+def test_deep_and_long_pages_are_read_in_linear_time():
+    import time
+
+    for page in ('<div class="content">' * 20_000 + "x", "<article>" * 5000 + "<header>" * 5000, "<p>a<br>b</p></x>" * 20_000, "<main></main><div>" * 8000, "<ul><li>" * 8000 + "y"):
+        began = time.perf_counter()
+        wrapper.aligned(page, None)
+        assert time.perf_counter() - began < 3
+
+
 def test_articles_of_the_tables(spark):
     import html
 

@@ -1,19 +1,24 @@
 """URL filter: gradient-boosted trees on lexical features of URLs, under fixed host and path rules.
 
 Features: lengths of URL, host and path, depth, digit ratio, entropy of the host's and path's bytes, parameters,
-hyphens, labels of the host, and statistics of the host's suffix: how many labelled URLs end in it over all rows,
-and the smoothed share of blocked ones among them.  Boosting fits histogram trees of depth ``DEPTH`` to the
-gradient of the log loss, in numpy, on a bounded sample of labelled URLs (``SAMPLE``, by hash of the URL).
+hyphens, labels of the host, and statistics of the host's suffixes: how many labelled URLs end in the same two and
+three labels, and the smoothed share of blocked ones among them; and the same for the words of the host's name (the
+largest share).  A labelled URL's own host is left out of its statistics.  Boosting fits histogram trees of depth
+``DEPTH`` to the gradient of the log loss, in numpy.
 
-Labelled URLs are those that a rule decides, and ``EXAMPLES``.  Rules always decide the rows they fit.
+Labelled URLs are a table (url, blocked), of which a bounded sample is taken: at most ``SAMPLE`` distinct URLs, those
+of the smallest hashes.  Without a table they are ``made_up`` ones: URLs of our own making, of unwanted and of harmless
+sites, whose paths and suffixes tell nothing.  The rules' verdicts are no labels; rules always decide the URLs they fit.
+``Filter.auc`` is the area under the curve over the hosts of every fifth hash, by trees that didn't see them.
 
-Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed unless
-the trees block it; repeated rows give repeated rows; without labels of both kinds the trees allow; an empty
-table gives an empty table.
+Defined cases: a null URL or one without ``://`` has an empty host and path and fits no rule; URLs of any length are
+whole; repeated rows give repeated rows; without labels of both kinds the trees allow; an empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,21 +31,48 @@ from . import common
 # The rules, as host and path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
-#: Labelled URLs of our own: 1 is block.
-EXAMPLES = [
-    ("http://www.buy-cheap-pills-online.example/p?id=8831&aff=29&ref=x", 1), ("http://casino-win-big.example/slots/play?bonus=500", 1), ("http://free-bets-now.example/signup?utm_source=mail", 1),
-    ("http://ads-track.example/c?u=1&v=2&w=3&x=4", 1), ("http://spam-farm.example/a1b2c3d4e5f6", 1), ("http://x9k2-loans-fast.example/apply?id=77", 1), ("http://win-prize-2024.example/claim?token=8f7e6d5c", 1),
-    ("http://cheap-replica-watches.example/sale/9981", 1), ("http://online-poker-bonus.example/join?ref=123456", 1), ("http://best-seo-links.example/buy?plan=3&coupon=99", 1),
-    ("https://docs.library.example/guide/start", 0), ("https://www.museum.example/en/collection/paintings", 0), ("https://news.city.example/culture/article", 0), ("https://school.example/lessons/algebra", 0),
-    ("https://blog.garden.example/2019/spring", 0), ("https://wiki.example/history/rome", 0), ("https://university.example/research/papers", 0), ("https://recipes.example/soup", 0),
-    ("https://weather.example/fr/paris", 0), ("https://books.example/novels/index.html", 0),
-]
+# Words of the names of made-up sites, and of their paths.
+UNWANTED = (
+    "casino poker bet bets slots jackpot win winner bonus prize lottery gamble loan loans credit cash payday debt pills viagra pharma meds cheap replica watches outlet discount deal deals free gift "
+    "offer promo seo links traffic clicks ads ad track tracker tracking popup banner affiliate spam farm scam hack crack warez torrent adult xxx x sex cam cams porn escort dating hot girls crypto coin forex"
+).split()
+HARMLESS = (
+    "library museum school college news times post journal garden kitchen recipes weather history science music theatre city river lake forest mountain travel books authors press letters daily open "
+    "data code docs guide health clinic family village north south saint new old green blue house home studio art gallery sport league club radio town county state union centre research review world"
+).split()
+SYLLABLES = "th er an in on re ti es st en at nd or ea ng al is ar ed le te se ve co de ra ro li ri io ne me na to ma".split()
+PLACES = "en de fr es it news blog articles shop page wiki about view item topics archive".split()
+MADE_UP = 4000
+
+
+def made_up(n: int = MADE_UP, seed: int = 6) -> list[tuple[str, int]]:
+    """n labelled URLs: 1 is block."""
+    rng = np.random.default_rng(seed)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    word = lambda: "".join(pick(SYLLABLES) for _ in range(int(rng.integers(2, 5))))
+    out = []
+    for k in range(n):
+        blocked, r = k % 2, rng.random()
+        if blocked:
+            first, second = pick(UNWANTED), pick(UNWANTED)
+            name = f"{first}-{second}" if r < 0.6 else f"{first}{second}" if r < 0.7 else f"{first}-{word()}" if r < 0.8 else f"{first}-{second}-{pick(UNWANTED)}" if r < 0.9 else f"{word()}-{second}{rng.integers(1, 999)}"
+        else:
+            name = word() if r < 0.5 else pick(HARMLESS) if r < 0.6 else f"{pick(HARMLESS)}{pick(HARMLESS)}" if r < 0.75 else f"{pick(HARMLESS)}-{pick(HARMLESS)}" if r < 0.9 else f"{word()}-{word()}"
+        domain = pick(["com", "net", "org", "info", "de", "fr", "example", "example.com", "example.net", "example.org", "co.uk"])
+        path = "/".join(pick([*PLACES, word(), str(rng.integers(1, 9999))]) for _ in range(int(rng.integers(0, 4))))
+        query = "&".join(f"{pick(['id', 'ref', 'page', 'utm_source', 'q'])}={pick([word(), str(rng.integers(1, 999))])}" for _ in range(int(rng.integers(0, 3 + blocked))))
+        out.append((f"{pick(['http', 'https'])}://{pick(['', 'www.', 'm.', 'blog.', ''])}{name}.{domain}/{path}{pick(['', '/', '.html', '#top'])}{'?' + query if query else ''}", blocked))
+    return out
+
+
 SAMPLE = 20_000
 DEPTH = 3
 TREES = 40
 BINS = 32
 RATE = 0.2
-FEATURES = ["url_length", "host_length", "path_length", "depth", "digits", "host_entropy", "path_entropy", "parameters", "hyphens", "labels", "https", "suffix_count", "suffix_blocked"]
+FEATURES = ["url_length", "host_length", "path_length", "depth", "digits", "host_entropy", "path_entropy", "parameters", "hyphens", "labels", "https", "suffix_count", "suffix_blocked", "site_count", "site_blocked", "word_count", "word_blocked"]
+#: What the smoothed shares of statistics are drawn to the common share by, in URLs.
+SMOOTH = 4
 
 
 def parts(url: Column) -> tuple[Column, Column, Column]:
@@ -72,14 +104,98 @@ def _entropy(s: str) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def lexical(url: str, host: str, path: str, query: str, count: int, blocked: int, rate: float) -> list[float]:
+def lexical(url: str, host: str, path: str, query: str) -> list[float]:
     size = max(1, len(url))
     return [
         len(url), len(host), len(path), path.count("/"), sum(map(str.isdigit, url)) / size, _entropy(host), _entropy(path), query.count("&") + 1 if query else 0, host.count("-"), host.count(".") + 1 if host else 0,
-        float(url.startswith("https")), float(np.log1p(count)), (blocked + 10 * rate) / (count + 10),
+        float(url.startswith("https")),
     ]
 
 
+def split(url: str) -> tuple[str, str, str]:
+    """Host, path and query, as ``parts`` gives them."""
+    _, there, rest = url.partition("://")
+    before, _, query = rest.partition("#")[0].partition("?")
+    host, slash, path = before.partition("/")
+    return (host.translate(_LOWER), slash + path, query) if there else ("", "", "")
+
+
+_LOWER = {k: k + 32 for k in range(65, 91)}
+
+
+def suffix_keys(host: str) -> tuple[list[str], list[str], list[str]]:
+    """What a host's statistics are kept by: two labels, three labels, the words of its name."""
+    labels = host.split(".")
+    return [".".join(labels[-2:])], [".".join(labels[-3:])], ["-" + w for x in labels[:-1] for w in x.split("-") if len(w) > 1]
+
+
+class Statistics:
+    """Labelled URLs and blocked ones by suffix and word."""
+
+    def __init__(self, hosts: list[str], y: np.ndarray):
+        self.rate = (float(y.sum()) + 1) / (len(y) + 2)
+        self.hosts: dict[str, list[float]] = {}
+        for h, b in zip(hosts, y, strict=True):
+            c = self.hosts.setdefault(h, [0, 0])
+            c[0] += 1
+            c[1] += b
+        self.keys: dict[str, list[float]] = {}
+        for h, (n, b) in self.hosts.items():
+            for key in {k for ks in suffix_keys(h) for k in ks}:
+                c = self.keys.setdefault(key, [0, 0])
+                c[0] += n
+                c[1] += b
+
+    def features(self, host: str, leave_out: bool = False) -> list[float]:
+        n0, b0 = self.hosts.get(host, (0, 0)) if leave_out else (0, 0)
+        out = []
+        for keys in suffix_keys(host):
+            share, count = self.rate, 0.0
+            for key in keys:
+                n, b = self.keys.get(key, (n0, b0))
+                if n > n0:
+                    s = (b - b0 + SMOOTH * self.rate) / (n - n0 + SMOOTH)
+                    if not count or s > share:
+                        share, count = s, n - n0
+            out += [float(np.log1p(count)), share]
+        return out
+
+
+def auc(y: np.ndarray, p: np.ndarray) -> float:
+    """Area under the curve: the share of pairs in order, ties half."""
+    _, at, n = np.unique(p, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    good = y > 0
+    pairs = good.sum() * (~good).sum()
+    return float((rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / pairs) if pairs else 0.5
+
+
+class Filter:
+    """Statistics and trees of labelled URLs."""
+
+    def __init__(self, labelled: list[tuple[str, int]]):
+        labelled = sorted(set(labelled))
+        hosts = [split(u)[0] for u, _ in labelled]
+        y = np.array([b for _, b in labelled], float)
+        held = np.array([zlib.crc32(h.encode()) % 5 == 0 for h in hosts], bool)
+        self.auc = 0.5
+        if held.any() and not held.all():
+            self._fit([u for u, h in zip(labelled, held, strict=True) if not h])
+            self.auc = auc(y[held], self.probability([u for (u, _), h in zip(labelled, held, strict=True) if h]))
+        self._fit(labelled)
+
+    def _fit(self, labelled: list[tuple[str, int]]) -> None:
+        cut = [split(u) for u, _ in labelled]
+        y = np.array([b for _, b in labelled], float)
+        self.statistics = Statistics([c[0] for c in cut], y)
+        x = [lexical(u, *c) + self.statistics.features(c[0], True) for (u, _), c in zip(labelled, cut, strict=True)]
+        self.trees = Trees(np.array(x).reshape(len(x), len(FEATURES)), y)
+
+    def probability(self, urls: list[str], cut: list[tuple[str, str, str]] | None = None) -> np.ndarray:
+        cut = [split(u) for u in urls] if cut is None else cut
+        return self.trees.probability(np.array([lexical(u, *c) + self.statistics.features(c[0]) for u, c in zip(urls, cut, strict=True)]).reshape(len(urls), len(FEATURES)))
+
+
 class Trees:
     """Boosted histogram trees for the log loss; arrays of heap-ordered nodes."""
 
@@ -142,37 +258,24 @@ class Trees:
         return 1 / (1 + np.exp(-z))
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] = RULES, sample: int = SAMPLE) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, block_score."""
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] = RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, block_score.  labelled: url, blocked (0 or 1)."""
+    if labelled is None:
+        known = made_up()
+    else:
+        distinct = labelled.where("url is not null and cast(blocked as int) in (0, 1)").groupBy("url").agg(F.max(F.col("blocked").cast("int")).alias("blocked"))
+        known = [(r["url"], r["blocked"]) for r in distinct.orderBy(F.xxhash64("url"), "url").limit(sample).collect()]
+    model = pages.sparkSession.sparkContext.broadcast(Filter(known))
     host, path, query = parts(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"), query.alias("query"))
     rule, decided = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("decided", decided).withColumn("suffix", F.substring_index("host", ".", -2))
-    labelled = rows.where("decided is not null")
-    suffixes = labelled.groupBy("suffix").agg(F.count("*").alias("m"), F.count_if(F.col("decided") == "block").alias("blocked"))
-    suffixes = common.save(suffixes, "suffixes")
-    n, blocked = suffixes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
-    rate = (blocked + 1) / (n + 2)
-    rows = rows.join(common.small_or_shuffled(suffixes, 200_000), "suffix", "left").na.fill(0, ["m", "blocked"])
-
-    of = F.pmod(F.xxhash64("url"), F.lit(1_000_000))
-    chosen = rows.where("decided is not null").where(of < min(1_000_000, int(1_000_000 * sample / max(n, 1)) + 1))
-    known = [(r["url"], r["host"], r["path"], r["query"], r["m"], r["blocked"], int(r["decided"] == "block")) for r in chosen.collect()]  # about ``sample`` rows at most
-    known.sort()
-    for url, y in EXAMPLES:
-        rest = url.partition("://")[2]
-        h, slash, tail = rest.partition("/")
-        tail, _, q = (slash + tail).partition("?")
-        known.append((url, h, tail, q, 0, 0, y))
-    x = np.array([lexical(*k[:6], rate) for k in known])
-    y = np.array([k[6] for k in known], float)
-    trees = Trees(x, y)
+    rows = rows.withColumn("rule", rule).withColumn("decided", decided)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(batches):
-            d = {k: b.column(b.schema.get_field_index(k)).to_pylist() for k in ("url", "host", "path", "query", "m", "blocked", "decided")}
-            p = trees.probability(np.array([lexical(*v, rate) for v in zip(*(d[k] for k in ("url", "host", "path", "query", "m", "blocked")), strict=True)]))
-            verdict = [r or ("block" if q >= 0.5 else "allow") for r, q in zip(d["decided"], p, strict=True)]
+            url, host, path, query, decided = (b.column(b.schema.get_field_index(k)).to_pylist() for k in ("url", "host", "path", "query", "decided"))
+            p = model.value.probability(url, list(zip(host, path, query, strict=True)))
+            verdict = [r or ("block" if q >= 0.5 else "allow") for r, q in zip(decided, p, strict=True)]
             keep = [b.column(b.schema.get_field_index(k)) for k in ("page_id", "host", "path", "rule")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(verdict, pa.string()), pa.array(p, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "block_score"])
 

@@ -148,3 +148,38 @@ def test_trees_learn(spark):
     y = ((x[:, 0] > 0.2) & (x[:, 3] < 0.5)).astype(float)
     t = url_trees.Trees(x[:2000], y[:2000])
     assert ((t.probability(x[2000:]) > 0.5) == (y[2000:] > 0)).mean() > 0.95
+
+
+def test_url_trees_on_unseen_hosts():
+    model = url_trees.Filter(url_trees.made_up())
+    assert model.auc > 0.95
+    other = url_trees.made_up(1000, seed=77)
+    y, p = np.array([b for _, b in other]), model.probability([u for u, _ in other])
+    assert url_trees.auc(y, p) > 0.95 and ((p >= 0.5) == y).mean() > 0.9
+    assert url_trees.auc(np.array([0, 1, 1, 0]), np.array([0.1, 0.1, 0.9, 0.3])) == (0.5 + 0 + 1 + 1) / 4
+
+
+def test_statistics_leave_the_host_out():
+    s = url_trees.Statistics(["a.b.c", "a.b.c", "x.b.c"], np.array([1.0, 1.0, 0.0]))
+    assert s.features("a.b.c", True)[:2] == [np.log1p(1), (0 + 4 * s.rate) / 5] and s.features("a.b.c")[:2] == [np.log1p(3), (2 + 4 * s.rate) / 7]
+    assert s.features("q.r.s") == [0.0, s.rate] * 3
+
+
+def test_url_verdicts_of_hosts(spark, tables):
+    """A URL's verdict is its own: the same beside few pages and many, and unwanted names are blocked, others allowed."""
+    pages = tables("pages").select("page_id", "url", F.lit("x").alias("rule"))
+    odd = spark.createDataFrame([(10**6, "https://m.free-casino-bets.example.net/en/1?id=4&ref=x", "x"), (10**6 + 1, "https://www.river-museum.example.net/en/1", "x"), (10**6 + 2, "http://x.net/" + "a1/" * 100_000, "x")], pages.schema)
+    got = {r["page_id"]: r for r in url_trees.judge(pages.unionByName(odd)).collect()}
+    few = {r["page_id"]: r for r in url_trees.judge(pages.where("page_id % 7 = 0")).collect()}
+    assert all(got[k] == r for k, r in few.items())
+    assert got[10**6]["verdict"] == "block" and got[10**6 + 1]["verdict"] == "allow" and len(got[10**6 + 2]["path"]) == 300_001
+    free = [r for k, r in got.items() if r["rule"] is None and k < 10**6]
+    assert all((r["verdict"] == "block") == ("-" in r["host"]) for r in free)  # of the tables' hosts only unwanted ones have a hyphen
+
+
+def test_labelled_urls_may_be_given(spark):
+    rows = [(f"http://h{k}.bad.test/{k}", 1) for k in range(60)] + [(f"http://h{k}.good.test/{k}", 0) for k in range(60)]
+    labelled = spark.createDataFrame([*rows, rows[0], (None, 1), ("http://q.test/", None)], "url string, blocked int")
+    pages = spark.createDataFrame([(1, "http://new.bad.test/9"), (2, "http://new.good.test/9")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_trees.judge(pages, labelled=labelled).collect()} == {1: "block", 2: "allow"}
+    assert {r["verdict"] for r in url_trees.judge(pages, labelled=labelled.limit(0)).collect()} == {"allow"}

@@ -215,6 +215,26 @@ def test_shards_give_the_same(spark, monkeypatch):
     assert {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in items.collect() if i["text"] in d["text"]} <= a
 
 
+def test_a_long_item_changes_nothing_of_others(spark):
+    docs, items = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    a = {(r["doc_id"], r["item_id"]): (r["question_overlap"], r["answer_overlap"]) for r in bm25_wand.contaminated(docs, items).collect()}
+    text = docs.where("doc_id = 3").first()["text"]
+    long = spark.createDataFrame([(10**6, " ".join(f"{text} w{k}" for k in range(400)))], "item_id long, text string")
+    b = {(r["doc_id"], r["item_id"]): (r["question_overlap"], r["answer_overlap"]) for r in bm25_wand.contaminated(docs, items.select("item_id", "text").unionByName(long)).where("item_id < 1000000").collect()}
+    assert a and a == b
+
+
+def test_shards_score_alike(spark, monkeypatch):
+    docs, items = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text")
+    items = items.unionByName(spark.createDataFrame([(None, "one two three four five six seven"), (None, "eight nine ten eleven twelve thirteen"), (7, None)], items.schema))
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, "x y " * 100_000 + "eight nine ten eleven twelve thirteen " + "z " * 100_000), (None, "one two three four five six seven")], "doc_id long, text string"))
+    rows = lambda: sorted(((r["doc_id"] or 0, r["item_id"] or 0, round(r["score"], 9)) for r in bm25_wand.contaminated(docs, items).collect()))
+    a = rows()
+    assert {(10**6, 0), (0, 0)} <= {x[:2] for x in a}
+    monkeypatch.setattr(bm25_wand, "SHARD_WORDS", 300)
+    assert rows() == a
+
+
 # --- main text ----------------------------------------------------------------------------------------
 
 PAGE = """<!doctype html><html><head><title>T</title><style>x{{}}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div id=wrap><div class="{cls}"><h2>{title}</h2>

@@ -107,6 +107,34 @@ def test_licences_against_brute_force(spark, tables):
     assert license_automaton.scan(docs.limit(0)).count() == 0
 
 
+def test_chains_go_over_what_was_put_in(spark):
+    """Inserted words, echoes of the licence's own words and small changes leave a span; every span is found."""
+    mit = license_automaton.TEMPLATES["mit"][0].split()
+    echo = mit[:14] + mit[3:8] + mit[14:]
+    late = mit[:20] + mit[2:6] + mit[20:]
+    twice = mit + ["filler"] * 30 + mit
+    gap = mit[:10] + [f"x{k}" for k in range(license_automaton.MAX_GAP + 1)] + mit[10:]
+    rows = [(k, " ".join(w)) for k, w in enumerate([mit, echo, late, mit[:9] + ["new"] + mit[9:], twice, gap, mit[:12], ["before"] * 5 + mit])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    only = {"mit": [" ".join(mit)]}
+    got = {r["doc_id"]: r for r in license_automaton.scan(docs, templates=only).collect()}
+    assert [got[k]["score"] for k in (0, 1, 2, 3, 4, 7)] == [1.0] * 6 and [got[k]["labels"] for k in (0, 1, 2, 3, 4, 7)] == ["mit"] * 6
+    assert got[5]["labels"] == got[6]["labels"] == "" and abs(got[6]["score"] - 12 / len(mit)) < 1e-9
+    spans = sorted((r["doc_id"], r["first_word"], r["last_word"]) for r in license_automaton.spans(docs, templates=only).collect())
+    n = len(mit)
+    assert spans == [(0, 0, n - 1), (1, 0, n + 4), (2, 0, n + 3), (3, 0, n), (4, 0, n - 1), (4, n + 30, 2 * n + 29), (7, 5, n + 4)]
+
+
+def test_templates_of_a_folder(spark, tmp_path):
+    (tmp_path / "own.txt").write_text("This is OUR licence, of some words.\n\nShort\n\nAnd a second paragraph; of it.", encoding="utf-8")
+    (tmp_path / "own-2.txt").write_text("The other text of it is here", encoding="utf-8")
+    (tmp_path / "more.txt").write_text("Nothing but four words", encoding="utf-8")
+    t = license_automaton.templates_of(spark, str(tmp_path))
+    assert {k: sorted(v) for k, v in t.items()} == {"own": ["and a second paragraph of it", "the other text of it is here", "this is our licence of some words"], "more": ["nothing but four words"]}
+    docs = spark.createDataFrame([(1, "so: nothing but FOUR words, really")], "doc_id long, text string")
+    assert license_automaton.scan(docs, templates=t).first()["labels"] == "more"
+
+
 def test_automaton_matching_statistics():
     rnd = np.random.default_rng(0)
     seqs = [rnd.integers(0, 4, 12).tolist() for _ in range(4)]

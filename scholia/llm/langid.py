@@ -9,8 +9,10 @@ The probabilities are calibrated by a temperature, and the rejection threshold i
 ``REJECTED`` of validation rows that were right fall under it; both use a part of the training sample that SGD
 doesn't see.
 
-The sample is bounded: at most about ``SAMPLE`` rows in equal parts by language, chosen by a hash of the id from
-the rows that may be learned from (documented parameter).  Prediction runs over all rows.
+The sample is bounded (documented parameters): at most about ``SAMPLE`` distinct rows in equal parts by language, at least
+ten each, chosen by a hash of id and text from the rows that may be learned from.  Only languages of the sample can be
+predicted; all of them are learned, unless there are more than ``most_langs``, which no column of languages holds: then the
+most frequent ones.  Prediction runs over all rows.
 
 Defined cases: a null text and one without a letter give ``und`` with score 0 and are rejected; null ids are
 not held out, aren't learned from and keep their row; repeated rows give repeated rows; without a row to learn
@@ -33,7 +35,7 @@ BUCKETS = 1 << 13
 DIM = 16
 GRAMS = (2, 3, 4)
 SAMPLE = 2000
-MAX_LANGS = 200
+MOST_LANGS = 10_000
 EPOCHS = 14
 REJECTED = 0.001
 UNKNOWN = "und"
@@ -125,6 +127,8 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = EPOCHS,
             w -= rate * dw
             bias -= rate * g.sum(axis=0)
             emb -= rate * (own_x.T @ dm)
+            np.clip(w, -50, 50, out=w)  # labels that no gram tells apart don't let it grow without end
+            np.clip(emb, -5, 5, out=emb)
         own = rng.permutation(own)
     table = np.vstack([(emb @ w) * scale, np.zeros((1, k), np.float32)]).astype(np.float32)
     v = held if len(held) else own
@@ -136,17 +140,16 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = EPOCHS,
     return Model(langs, table, bias, float(temperature), threshold)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, sample: int = SAMPLE, most_langs: int = MOST_LANGS) -> Model | None:
     """docs: doc_id, text, lang.  Learns from rows whose crc32(doc_id) mod 4 isn't 2."""
     own = docs.where("text is not null and lang is not null and crc32(cast(doc_id as string)) % 4 <> 2")
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not counts:
         return None
     each = max(10, sample // len(counts))
-    of = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (of < min(1_000_000, int(1_300_000 * each / n) + 1)))
+    below = docs.sparkSession.createDataFrame([(lang, min(1_000_000, int(1_300_000 * each / n) + 1)) for lang, n in counts.items()], "lang string, below long")
+    own = own.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(below), "lang")  # at most most_langs rows
+    chosen = own.where(F.pmod("h", F.lit(1_000_000)) < F.col("below")).dropDuplicates(["lang", "h"])
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(rows, 1000):
@@ -156,11 +159,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                 for d, lo, hi in zip(docs_, begin, [*begin[1:], len(buckets_)], strict=True):
                     sums[d] += np.bincount(buckets_[lo:hi], minlength=BUCKETS + 1)
             sums = sums[:, :-1] / np.maximum(gram_counts(at), 1)[:, None].astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.astype("<f2").tobytes() for r in sums], pa.binary())], ["doc_id", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.astype("<f2").tobytes() for r in sums], pa.binary())], ["h", "lang", "x"])
 
     common.arrow_bytes(docs.sparkSession)
-    rows = own.where(chosen).select("doc_id", "text", "lang").mapInArrow(count, "doc_id long, lang string, x binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
+    rows = chosen.select("h", "text", "lang").mapInArrow(count, "h long, lang string, x binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["h"]))
     taken: dict[str, int] = {}
     kept = []
     for r in rows:
@@ -187,10 +190,10 @@ def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, row_col: str | None = None) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, row_col: str | None = None, most_langs: int = MOST_LANGS) -> DataFrame:
     """One row per document: doc_id (what ``row_col`` holds, if it is given), held_out, lang_pred, score, rejected."""
     docs = docs.select(F.col(row_col or id_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = fit(docs.drop("row"), sample)
+    model = fit(docs.drop("row"), sample, most_langs)
 
     def predict(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(rows, 1000):

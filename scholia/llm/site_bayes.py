@@ -7,10 +7,10 @@ and that of paths likewise around their hosts; so a site of few documents is dra
 documents to all hosts.  A document's posterior log-odds are its own plus the shift of its path's posterior
 mean against the global prior.
 
-The classifier is fitted on a bounded sample of labelled rows (``SAMPLE``, chosen by a hash of the id).
-Statistics and scores cover all rows.
+The classifier is fitted on a bounded sample of labelled ids (``SAMPLE``, chosen by a hash of the id), one row of each: of
+rows that share an id that of the smallest hash of its text.  Statistics and scores cover all rows.
 
-Defined cases: a null text is as an empty one; null hosts and paths are sites of their own; without labels of
+Defined cases: a null text is as an empty one, texts of any length are whole; other columns are ignored; null hosts and paths are sites of their own; without labels of
 both kinds every document's own probability is the share of good labels (0.5 without labels); repeated rows
 give repeated rows; an empty table gives an empty table.
 """
@@ -114,11 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     def look(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(rows, 1000):
             x = features(*common.utf8(b.column(2)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), b.column(3), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "h", "x"])
 
     # at most about ``sample`` rows, so that the side that is sent to all is bounded
-    rows = docs.join(F.broadcast(labels), "doc_id").select("doc_id", "quality", "text").mapInArrow(look, "doc_id long, quality int, x array<double>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
+    known = docs.join(F.broadcast(labels), "doc_id").select("doc_id", "quality", "text", F.xxhash64("text").alias("h")).mapInArrow(look, "doc_id long, quality int, h long, x array<double>")
+    rows = known.groupBy("doc_id").agg(F.min(F.struct("h", "quality", "x")).alias("r")).select("doc_id", "r.quality", "r.x").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return Classifier(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["quality"] for r in rows], float))
 
 

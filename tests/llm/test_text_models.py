@@ -84,6 +84,60 @@ def test_posteriors_by_hand(spark):
     assert site_bayes.quality(docs.limit(0), none).count() == 0
 
 
+def test_posteriors_against_plain_python(spark, tables):
+    docs = tables("documents").select("doc_id", "text", "lang", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("s"), (F.col("doc_id") % 40).cast("string"))).otherwise(F.col("source")).alias("source"))
+    odd = [(10**6 + k, t, "en", "odd") for k, t in enumerate(ODD)] + [(0, "Again the id of another text.", None, None)] * 2
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("keep", F.lit("clash")).withColumn("host", F.lit(1))
+    n = docs.count()
+    labels = tables("labels")
+    got = site_bayes.quality(docs, labels).toPandas()
+    assert len(got) == n
+    site = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("h"), F.coalesce("lang", F.lit("")).alias("p")).dropDuplicates(["doc_id", "h", "p"]).toPandas()
+    rows = got.merge(site, on="doc_id") if not got.doc_id.duplicated().any() else got[got.doc_id != 0].merge(site[site.doc_id != 0], on="doc_id")
+    zero = got[got.doc_id == 0]
+
+    def concentration(groups):  # (n, s, m around which)
+        var = max((sum(n * (s / n - m) ** 2 for n, s, m in groups) - sum(m * (1 - m) for _, _, m in groups)) / max(sum(n for n, _, _ in groups), 1), 1e-5)
+        return max(sum(m * (1 - m) for _, _, m in groups) / len(groups) / var - 1, 2.0)
+
+    every = [(r.h, r.p, r.own_score) for r in rows.itertuples()]
+    own = sorted(zero.own_score.tolist())
+    again = max(set(own), key=own.count)
+    other = docs.where("doc_id = 0 and source is not null").first()
+    every += [(other["source"], other["lang"], next(x for x in own if x != again)), ("", "", again), ("", "", again)]
+    hosts, paths = {}, {}
+    for h, p, s in every:
+        for d, k in ((hosts, h), (paths, (h, p))):
+            d.setdefault(k, [0, 0.0])
+            d[k][0] += 1
+            d[k][1] += s
+    mu = sum(s for _, _, s in every) / len(every)
+    k1 = concentration([(n, s, mu) for n, s in hosts.values()])
+    host = {h: (k1 * mu + s) / (k1 + n) for h, (n, s) in hosts.items()}
+    k2 = concentration([(n, s, host[h]) for (h, _), (n, s) in paths.items()])
+    path = {(h, p): (k2 * host[h] + s) / (k2 + n) for (h, p), (n, s) in paths.items()}
+    logit = lambda x: np.log(min(max(x, 0.001), 0.999) / (1 - min(max(x, 0.001), 0.999)))
+    for r in rows.itertuples():
+        assert abs(r.host_posterior - host[r.h]) < 1e-9 and abs(r.path_posterior - path[r.h, r.p]) < 1e-9
+        z = np.log(r.own_score / (1 - r.own_score)) + logit(path[r.h, r.p]) - logit(mu)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6 and r.keep == (r.score >= 0.5)
+
+
+def test_quality_of_labels_not_learned_from(spark, tables):
+    docs, labels = tables("documents"), tables("labels")
+    got = site_bayes.quality(docs, labels.where("doc_id % 3 <> 0")).toPandas().merge(labels.where("doc_id % 3 = 0").toPandas())
+    assert len(got) > 20 and ((got.score >= 0.5) == (got.quality == 1)).mean() > 0.85
+
+
+def test_samples_are_of_distinct_rows(spark):
+    """A row that makes up most of a table is in the sample once."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the same text again")).otherwise(F.concat(F.lit("text "), "id")).alias("text"), F.when(F.col("id") % 2 == 0, "aa").otherwise("bb").alias("lang"))
+    model = langid.fit(docs, sample=3000)
+    assert model.langs == ["aa", "bb"] and len(langid.fit(docs, most_langs=1).langs) == 1 and np.isfinite(model.table).all()
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, quality int")
+    assert 0 < site_bayes.fit(docs.select("doc_id", "text"), labels).prior < 1
+
+
 def test_small_sites_shrink(spark, tables):
     docs, labels = tables("documents"), tables("labels")
     one = docs.limit(1).select((F.col("doc_id") + 10**6).alias("doc_id"), F.lit("!! !! !! ## ## AA AA").alias("text"), F.lit("tiny").alias("source"), F.lit("en").alias("lang"))

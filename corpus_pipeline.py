@@ -19,53 +19,69 @@ from scholia.llm import bm25_wand, common, langid, packing, probminhash, site_ba
 SENT_IDS = 2_000_000
 
 
-ROW = "scholia_row"
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of each row, fixed by writing them, and the key's name, which no column of docs has."""
+    taken, key = {c.lower() for c in docs.columns}, "scholia_row"
+    while key in taken:
+        key += "_"
+    return common.save(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, fixed by writing them."""
-    return common.save(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-
-
-def _without(rows: DataFrame, out: DataFrame) -> DataFrame:
+def _without(rows: DataFrame, key: str, out: DataFrame) -> DataFrame:
     """rows (of _numbered) without those whose keys ``out`` holds in its only column."""
-    out = common.save(out.toDF("rejected_row").distinct(), "rejected")
-    return rows.join(common.small_or_shuffled(out, SENT_IDS), rows[ROW] == F.col("rejected_row"), "left_anti").drop(ROW)
+    out = common.save(out.toDF(key).distinct(), "rejected")
+    return rows.join(common.small_or_shuffled(out, SENT_IDS), key, "left_anti").select(*(rows[c] for c in rows.columns if c != key))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go."""
-    rows = _numbered(docs)
-    return _without(rows, langid.identify(rows, row_col=ROW).where("rejected").select("doc_id"))
+    """Documents whose language is rejected go: null and empty texts, texts without a letter, and those no language is likely of.
+
+    Rows that share an id, or have none, are judged each by its own text; repeated rows alike; texts of any length whole;
+    an empty table stays empty; all columns are kept, whatever their names.
+    """
+    rows, key = _numbered(docs)
+    return _without(rows, key, langid.identify(rows, row_col=key).where("rejected").select("doc_id"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior quality is too low go."""
-    rows = _numbered(docs)
-    judged = site_bayes.quality(rows, common.table(spark, sf_dir, "labels"), row_col=ROW)
-    return _without(rows, judged.where(~F.col("keep")).select("doc_id"))
+    """Documents whose posterior quality is too low go; labels say of an id's rows what they say of the id.
+
+    Rows that share an id, or have none, are judged each by its own text and site; a null text as an empty one; repeated
+    rows alike; texts of any length whole; an empty table stays empty; all columns are kept, whatever their names.
+    """
+    rows, key = _numbered(docs)
+    judged = site_bayes.quality(rows, common.table(spark, sf_dir, "labels"), row_col=key)
+    return _without(rows, key, judged.where(~F.col("keep")).select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest id of each group of near copies stays, and one of those without an id."""
-    rows = _numbered(docs)
-    ids = rows.select(ROW, F.col("doc_id").cast("long").alias("id"), F.col("doc_id").isNull().alias("unnamed"))
+    """The row of the smallest id of each group of near copies stays, and one of those without an id.
+
+    Different texts that share an id all stay; of repeated rows one stays; rows without a word are copies of none and
+    stay; texts of any length whole; an empty table stays empty; all columns are kept, whatever their names.
+    """
+    rows, key = _numbered(docs)
+    ids = rows.select(key, F.col("doc_id").cast("long").alias("id"), F.col("doc_id").isNull().alias("unnamed"))
     group = ["class_id", "unnamed"]
-    member = common.save(probminhash.classes(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), "class_id").join(ids, ROW), "copies")
-    kept = member.groupBy(*group).agg(F.min(F.struct("id", ROW))[ROW].alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    member = common.save(probminhash.classes(rows, id_col=key).select(F.col("doc_id").alias(key), "class_id").join(ids, key), "copies")
+    kept = member.groupBy(*group).agg(F.min(F.struct("id", key))[key].alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     kept = common.save(kept, "kept")
-    return _without(rows, member.join(common.small_or_shuffled(kept, SENT_IDS), group).where(F.col(ROW) != F.col("kept")).select(ROW))
+    return _without(rows, key, member.join(common.small_or_shuffled(kept, SENT_IDS), group).where(F.col(key) != F.col("kept")).select(key))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
-    rows = _numbered(docs)
-    hits = bm25_wand.contaminated(rows, common.table(spark, sf_dir, "benchmark"), id_col=ROW)
-    return _without(rows, hits.select("doc_id"))
+    """Documents that hold a test item go.
+
+    Rows that share an id, or have none, are judged each by its own text; null and empty texts stay; repeated rows go or
+    stay together; texts of any length whole; without items all stay; all columns are kept, whatever their names.
+    """
+    rows, key = _numbered(docs)
+    hits = bm25_wand.contaminated(rows, common.table(spark, sf_dir, "benchmark"), id_col=key)
+    return _without(rows, key, hits.select("doc_id"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left as pieces of sequences."""
+    """All that is left as pieces of sequences (see ``packing``); a null or empty text is one separator, repeated rows are packed each."""
     return packing.pack(docs)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .relational import join_small
+from .patterns import containing
 
 # Limits of the matcher.
 LONG_ANCHORS, LONG_RATIO, STRICT_RATIO = 3, 0.4, 0.55
@@ -75,8 +75,8 @@ def recall_anchors(question: Column, all_anchors: Column, most: int = 4) -> Colu
 
 
 def dictionary(df: DataFrame, key: str, column: str, terms: DataFrame, term: str, top: int = 3) -> DataFrame:
-    """Terms of a small dictionary in a text: longest first, then by place; the first ``top``."""
-    near = join_small(df.select(key, column), terms.where(F.length(term) >= 2), F.expr(f"instr({column}, {term}) > 0"))
+    """Terms of a dictionary in a text: longest first, then by place; the first ``top``."""
+    near = containing(df, key, [column], terms.where(F.length(term) >= 2), term).select(key, term).join(df.select(key, column), key)
     near = near.withColumn("pos", F.instr(F.col(column), F.col(term)))
     w = Window.partitionBy(key).orderBy(F.desc(F.length(term)), "pos", term)
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
@@ -85,16 +85,17 @@ def dictionary(df: DataFrame, key: str, column: str, terms: DataFrame, term: str
 def recall(keys: DataFrame, docs: DataFrame, name: str, flat: str, doc: str, top: int) -> DataFrame:
     """Name hits and text hits of a question's keys, merged; text counts twice.
 
-    keys: question, k, in_name, in_text.  Keys go to every task, in parts of bounded size; the documents aren't moved.
+    keys: question, k, in_name, in_text.  One pass over the documents finds all keys in both channels; what is joined and
+    grouped is document and key, never a text.
     """
-    both = join_small(docs.select(doc, F.col(name).alias("__name"), F.col(flat).alias("__flat")), keys, F.expr("(in_name and contains(__name, k)) or (in_text and contains(__flat, k))"))
-    name_hit, text_hit = F.col("in_name") & F.contains("__name", "k"), F.col("in_text") & F.contains("__flat", "k")
-    g = both.groupBy("question", doc).agg(F.count_if(name_hit).alias("name_hits"), F.count_if(text_hit).alias("text_hits"))
+    found = containing(docs.select(doc, F.col(name).alias("__name"), F.col(flat).alias("__flat")), doc, ["__name", "__flat"], keys, "k").join(keys, "k")
+    name_hit, text_hit = F.col("in_name") & F.col("__name"), F.col("in_text") & F.col("__flat")
+    g = found.where(name_hit | text_hit).groupBy("question", doc).agg(F.count_if(name_hit).alias("name_hits"), F.count_if(text_hit).alias("text_hits"))
     sizes = keys.groupBy("question").agg(F.count_if("in_name").alias("nk"), F.count_if("in_text").alias("tk"))
-    g = g.withColumn("key_hits", F.col("name_hits") + 2 * F.col("text_hits")).join(sizes, "question")
-    g = g.withColumn("score", F.round(F.col("key_hits") / (F.col("nk") + 2 * F.col("tk")), 3))
+    g = g.withColumn("key_hits", F.col("name_hits") + 2 * F.col("text_hits"))
     w = Window.partitionBy("question").orderBy(F.desc("key_hits"), F.desc("text_hits"), doc)
-    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("question", doc, "name_hits", "text_hits", "key_hits", "score", "rank")
+    g = g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).join(sizes, "question")
+    return g.withColumn("score", F.round(F.col("key_hits") / (F.col("nk") + 2 * F.col("tk")), 3)).select("question", doc, "name_hits", "text_hits", "key_hits", "score", "rank")
 
 
 def gate(total: Column, hit: Column, stem_chars: Column, ask: Column, crosses: Column, has_solution: Column, solution_chars: Column) -> Column:
@@ -133,7 +134,7 @@ def stored_or_live(stored: DataFrame, live: DataFrame, question: str, strict: bo
 
 # Starts of questions and marks of solutions.
 START = r"(?:^|\n)[ \t]*((?:【\s*例\s*\d+\s*】)|(?:【\s*练习\s*\d+\s*】)|(?:(?:问题|演练)\s*[一二三四五六七八九十\d]+\s*[:：.．]?)|(?:\d{1,3}\s*(?:[．、]|\.(?!\d))))"
-MARK = r"【(?:答案|解析|详解|解答|分析|解)】|(?:^|\n)\s*(?:答案|解析|详解|解答|解)\s*[:：]"
+MARK = r"【(?:答案|解析|详解|解答|分析|解)】|(?:^|[\r\n])\s*(?:答案|解析|详解|解答|解)\s*[:：]"
 
 
 def objects(df: DataFrame, key: str, column: str) -> DataFrame:

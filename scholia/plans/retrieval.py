@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import relational as R
 from ..operators import retrieval as Q
+from ..operators.patterns import containing
 from ..registry import Tables, query
 
 _KEYS = """k AS (SELECT item_id AS question, unnest(list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) >= 9 AND NOT regexp_matches(w, '[^a-z]')))[1:6]) AS k FROM benchmark),
@@ -84,9 +84,10 @@ _TERMS = {"light": ["the", "that"], "heavy": ["tion", "ment"], "umlaut": ["ung",
     SELECT doc_id, tag, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, tag) AS rank FROM hit) WHERE rank <= 3""",
 )
 def keyword_tags(t: Tables):
-    lex = t.literal("tag string, pos int, k string", [(tag, p, k) for tag, ks in _TERMS.items() for p, k in enumerate(ks, 1)])
-    weight = 1 + F.least(F.lit(2.0), F.length("k") / 3.0)
-    hit = t.documents.select("doc_id", "text").join(F.broadcast(lex), F.expr("contains(text, k)")).groupBy("doc_id", "tag").agg(F.min_by(weight, "pos").alias("weight"))
+    # each tag's first word that the text holds weighs by its length; the lexicon is part of the expression
+    of = lambda ks: F.coalesce(*(F.when(F.contains("text", F.lit(k)), F.lit(1 + min(2.0, len(k) / 3.0))) for k in ks))
+    tags = F.array(*(F.struct(F.lit(tag).alias("tag"), of(ks).alias("weight")) for tag, ks in _TERMS.items()))
+    hit = t.documents.select("doc_id", F.inline(F.filter(tags, lambda x: x["weight"].isNotNull())))
     w = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "tag")
     return hit.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("doc_id", "tag", "rank")
 
@@ -139,7 +140,8 @@ def link_confidence(t: Tables):
     f AS (SELECT item_id, origin, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY tier, doc_id) AS r FROM c) SELECT b.item_id, coalesce(f.origin, 'none') AS origin, f.doc_id FROM benchmark b LEFT JOIN f ON f.item_id = b.item_id AND f.r = 1""",
 )
 def answer_cascade(t: Tables):
-    held = R.join_small(t.documents.select("doc_id", "source", F.col("text").alias("body")), t.benchmark, F.expr("contains(body, text)"))
+    held = containing(t.documents.select("doc_id", "text"), "doc_id", ["text"], t.benchmark.select(F.col("text").alias("item")), "item").select("doc_id", "item")
+    held = held.join(t.benchmark.select("item_id", F.col("text").alias("item")), "item").join(t.documents.select("doc_id", "source"), "doc_id")
     own = F.col("source").isin("src0", "src1", "src2")
     best = held.groupBy("item_id").agg(F.min(F.struct(F.when(own, 1).otherwise(2).alias("tier"), "doc_id")).alias("x"))
     return t.benchmark.select("item_id").join(best, "item_id", "left").select("item_id", F.when(F.col("x").isNull(), "none").when(F.col("x.tier") == 1, "own").otherwise("shared").alias("origin"), F.col("x.doc_id").alias("doc_id"))

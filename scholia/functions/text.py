@@ -91,7 +91,7 @@ def around(c: Column, needle: Column, before: int = 60, after: int = 120) -> Col
 ASK_RULES = [
     ("choice", "下列说法|以下说法|正确的是|错误的是|不正确|符合题意"),
     ("existence", "是否存在|是否能|能否|是否"),
-    ("shape", "形状|是什么三角形|为何种图形|判断.{0,10}(形状|三角形|四边形)"),
+    ("shape", "形状|是什么三角形|为何种图形|判断.{0,10}(?:形状|三角形|四边形)"),
     ("proof", "求证|证明|试证"),
     ("area", "面积"),
     ("angle", "度数|角度|多少度|为多少度"),
@@ -99,7 +99,7 @@ ASK_RULES = [
     ("coordinate", "坐标"),
     ("ratio", "之比|比值|比为|∶"),
     ("length", "长度|的长|周长|线段.{0,6}长"),
-    ("value", "的值为|为多少|是多少|等于|求.{0,10}(值|数)|计算|求"),
+    ("value", "的值为|为多少|是多少|等于|求.{0,10}(?:值|数)|计算|求"),
 ]
 
 
@@ -217,9 +217,9 @@ def answer_parts(c: Column) -> tuple[Column, Column]:
 
 
 # Item starts, question signals and options of the input guard, and its limits.
-ITEM_START = r"(^|\n)[ \t]*([（(]\s*[）)]\s*)?(([（(]\s*)?\d{1,3}\s*[）)]|\d{1,3}\s*[．.、]|\d{1,3}\s*[)）])[ \t]*"
+ITEM_START = r"(?:^|\n)[ \t]*(?:[（(]\s*[）)]\s*)?(?:(?:[（(]\s*)?\d{1,3}\s*[）)]|\d{1,3}\s*[．.、]|\d{1,3}\s*[)）])[ \t]*"
 ASK_HINT = "[?？]|下列|以下|正确的是|错误的是|不正确|是否|能否|求|证明|说明|多少|最小值|最大值|取值范围|周长|面积|填空|选择|选项|计算|化简|解方程"
-OPTION = r"(^|[^0-9A-Za-z_])[A-D]\s*[．.、)）]"
+OPTION = r"(?:^|[^\w])(?:[A-D]\s*[．.、)）])"
 GUARD_LONGEST, GUARD_SHORTEST, GUARD_ITEMS = 1200, 25, 1
 
 
@@ -228,3 +228,62 @@ def input_guard(c: Column) -> Column:
     q = F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n?", "\n")
     signal = q.rlike(ASK_HINT) | (F.regexp_count(q, F.lit(OPTION)) >= 2) | q.rlike(r"_{3,}|（\s*）|\(\s*\)")
     return F.when(F.length(q) > GUARD_LONGEST, "too_long").when(F.regexp_count(q, F.lit(ITEM_START)) > GUARD_ITEMS, "multi_item").when((F.length(q) < GUARD_SHORTEST) | ~signal, "not_a_question").otherwise("")
+
+
+# Numbers of sections, and an item of a sectioned list of questions.
+SECTIONS = "一二三四五六七八九十"
+SECTION_MARK = r"([（(]?[一二三四五六七八九十][)）]?)\s*[、.．:：]\s*(?=\d)"
+SECTION_ITEM = r"^(?:[（(]\s*([一二三四五六七八九十])\s*[)）]|[（(]?\s*([一二三四五六七八九十])\s*[、.．:：]?)\s*(\d{1,3})(?:\s*[-~～]\s*(\d{1,3}))?$"
+PLAIN_ITEM = r"^(\d{1,3})(?:\s*[-~～]\s*(\d{1,3}))?$"
+
+
+def sectioned_spec(c: Column) -> Column:
+    """``一6,二5-7,3`` to structs (section, label) in order, section null for plain numbers; null if a part is wrong, beyond 300 or
+    longer than 60, if there are more than 60, or if no part has a section."""
+    bare = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), SECTION_MARK, "$1")
+    parts = F.filter(F.split(bare, r"[,，、;；\s]+"), lambda x: x != "")
+
+    def item(x: Column) -> Column:
+        of = lambda pattern, k: F.regexp_extract(x, pattern, k)
+        named = x.rlike(SECTION_ITEM)
+        section = F.when(named, F.concat(of(SECTION_ITEM, 1), of(SECTION_ITEM, 2)))
+        a = F.when(named, of(SECTION_ITEM, 3)).otherwise(of(PLAIN_ITEM, 1)).try_cast("int")
+        b = F.coalesce(F.when(named, of(SECTION_ITEM, 4)).otherwise(of(PLAIN_ITEM, 2)).try_cast("int"), a)
+        fine = F.coalesce((a >= 1) & (b <= 300) & (a <= b) & (b - a < 60), F.lit(False))
+        return F.struct(section.alias("section"), a.alias("a"), b.alias("b"), fine.alias("fine"))
+
+    items = F.transform(parts, item)
+    labels = F.flatten(F.transform(items, lambda i: F.transform(F.when(i["fine"], F.sequence(i["a"], i["b"])).otherwise(F.array().cast("array<int>")), lambda n: F.struct(i["section"].alias("section"), n.alias("label")))))
+    ok = (F.size(parts) > 0) & F.forall(items, lambda i: i["fine"]) & F.exists(items, lambda i: i["section"].isNotNull()) & (F.size(labels) <= 60)
+    return F.when(ok, labels)
+
+
+# Numbers of a text, and how near a window must come to a line.
+NUMBER, LINE_ERROR = r"\d+(?:\.\d+)?", 0.25
+
+
+def number_recall(reference: Column, read: Column) -> tuple[Column, Column]:
+    """How many numbers a reference has (each place), and how many of them are in what was read."""
+    numbers, flat = F.regexp_extract_all(F.coalesce(reference, F.lit("")), F.lit(NUMBER), 0), folded(read)
+    return F.size(numbers), F.size(F.filter(numbers, lambda n: F.contains(flat, n)))
+
+
+def line_error(line: Column, read: Column) -> Column:
+    """The least character error of a line against any window of what was read, of three quarters to 1.4 of its length."""
+    n = F.length(line)
+    least, most = F.greatest(F.lit(1), F.floor(n * 0.75).cast("int")), F.least(F.length(read), F.ceil(n * 1.4).cast("int"))
+    sizes = F.when(least <= most, F.sequence(least, most, F.greatest(F.lit(1), F.floor(n / 6).cast("int")))).otherwise(F.array().cast("array<int>"))
+    near = F.array_min(F.flatten(F.transform(sizes, lambda w: F.transform(F.sequence(F.lit(1), F.length(read) - w + 1), lambda i: F.levenshtein(line, F.substring(read, i, w)) / n))))
+    return F.when(F.length(read) == 0, 1.0).when(F.contains(read, line), 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(near, F.lit(1.0))))
+
+
+def line_recall(reference: Column, read: Column) -> tuple[Column, Column]:
+    """How many lines a reference has, and how many come up in what was read with an error of at most LINE_ERROR."""
+    lines, flat = F.filter(F.transform(F.split(F.coalesce(reference, F.lit("")), "\n"), folded), lambda x: x != ""), folded(read)
+    return F.size(lines), F.size(F.filter(lines, lambda x: line_error(x, flat) <= LINE_ERROR))
+
+
+def similarity(a: Column, b: Column, tags_a: Column, tags_b: Column) -> Column:
+    """Dice of bigrams; where both have tags, 0.7 of it and 0.3 of the tags' Dice."""
+    plain = F.coalesce(dice(a, b), F.lit(0.0))
+    return F.when((F.size(tags_a) > 0) & (F.size(tags_b) > 0), 0.7 * plain + 0.3 * dice(F.array_distinct(tags_a), F.array_distinct(tags_b))).otherwise(plain)

@@ -22,6 +22,22 @@ LATIN_STOP = [
 ]
 
 
+# Words of topics, for the choice of search keys; none is an anchor by itself.
+TOPIC_WORDS = (
+    "浮力 压强 密度 重力 摩擦力 杠杆 滑轮 机械效率 机械能 动能 势能 "
+    "电流 电压 电阻 欧姆定律 电功率 电功 焦耳定律 串联 并联 磁场 电磁感应 "
+    "光的反射 光的折射 凸透镜 成像 物态变化 熔化 凝固 汽化 液化 升华 "
+    "比热容 内能 热量 声音 音调 响度 速度 路程 参照物 惯性 二力平衡 "
+    "函数 一次函数 二次函数 反比例函数 方程 方程组 不等式 因式分解 分式 "
+    "三角形 全等 相似 四边形 平行四边形 矩形 菱形 梯形 圆 扇形 切线 "
+    "勾股定理 锐角三角函数 正弦 余弦 正切 概率 统计 平均数 中位数 方差 "
+    "数列 集合 导数 圆锥 圆柱 体积 表面积 "
+    "化学式 化学方程式 配平 相对分子质量 溶液 溶质 溶剂 溶解度 酸碱盐 "
+    "氧化还原 化合反应 分解反应 置换反应 复分解反应 金属活动性 pH "
+    "细胞 光合作用 呼吸作用 遗传 生态系统 文言文 古诗 阅读理解 完形填空"
+).split()
+
+
 def noise(seg: Column) -> Column:
     return (F.length(seg) < 2) | seg.rlike("^(" + "|".join(NOISE) + ")")
 
@@ -133,8 +149,24 @@ def stored_or_live(stored: DataFrame, live: DataFrame, question: str, strict: bo
 
 
 # Starts of questions and marks of solutions.
-START = r"(?:^|\n)[ \t]*((?:【\s*例\s*\d+\s*】)|(?:【\s*练习\s*\d+\s*】)|(?:(?:问题|演练)\s*[一二三四五六七八九十\d]+\s*[:：.．]?)|(?:\d{1,3}\s*(?:[．、]|\.(?!\d))))"
-MARK = r"【(?:答案|解析|详解|解答|分析|解)】|(?:^|[\r\n])\s*(?:答案|解析|详解|解答|解)\s*[:：]"
+START = r"(?:^|\n)[ \t]*(?:(【\s*例\s*\d+\s*】)|(【\s*练习\s*\d+\s*】)|((?:问题|演练)\s*[一二三四五六七八九十\d]+\s*[:：.．]?)|(\d{1,3}\s*(?:[．、]|\.(?!\d))))"
+MARK = r"【(?:答案|解析|详解|解答|分析|解)】|(?:^|[\n\r])\s*(?:答案|解析|详解|解答|解)\s*[:：]"
+BOUNDARY = r"\n[ \t]*(?:【\s*例\s*\d+\s*】|【\s*练习\s*\d+\s*】|(?:问题|演练)\s*[一二三四五六七八九十\d]+\s*[:：.．]|\d{1,3}\s*(?:[．、]|\.(?!\d)))"
+#: What joins the fields of a fingerprint.
+JOINED = "\u0001"
+
+
+def object_fingerprint(version: Column, *fields: Column) -> Column:
+    """SHA-256 of an object's fields in order (null as empty) and of the version of the rules that cut it."""
+    return F.sha2(F.concat_ws(JOINED, *(F.coalesce(f.cast("string"), F.lit("")) for f in (*fields, version))), 256)
+
+
+def stored_reason(engine: Column, version: Column, status: Column, revision: Column, expected: Column, fingerprint: Column, computed: Column, stem: Column, char_start: Column, char_end: Column, stem_start: Column, stem_end: Column, has_solution: Column, solution: Column) -> Column:
+    """The first of eight checks of a stored object that fails, or empty."""
+    return (
+        F.when(engine != version, "engine").when(status != "ok", "status").when(revision != expected, "revision").when(fingerprint != computed, "fingerprint").when(F.trim(F.coalesce(stem, F.lit(""))) == "", "stem")
+        .when((char_start < 0) | (char_end <= char_start), "range").when((stem_end < stem_start) | (stem_end > char_end), "stem_range").when(has_solution & F.coalesce(solution, F.lit("")).rlike(BOUNDARY), "boundary").otherwise("")
+    )
 
 
 def objects(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -146,7 +178,7 @@ def objects(df: DataFrame, key: str, column: str) -> DataFrame:
     starts = F.size(cut) > 1
     parts = F.when(starts, F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0)))).otherwise(F.array(F.col(column)))
     x = df.where(F.trim(column) != "").select(key, F.posexplode(parts).alias("object_index", "part"))
-    label = F.trim(F.regexp_extract("part", "^" + START, 1))
+    label = F.trim(F.concat(*(F.regexp_extract("part", "^" + START, k) for k in (1, 2, 3, 4))))
     pieces = F.split(F.regexp_replace("part", MARK, "\u0002$0"), "\u0002", 2)
     return x.select(key, "object_index", label.alias("label"), pieces[0].alias("stem"), F.coalesce(F.get(pieces, F.lit(1)), F.lit("")).alias("rest")).withColumn("solution", F.replace("rest", F.lit("\u0002"), F.lit(""))).drop("rest")
 

@@ -1,12 +1,55 @@
-"""Batch forms of the stream rules; the stateful forms are in ``scholia.streaming``."""
+"""Batch forms of the stream rules; the stateful forms are in ``scholia.streaming``.
+
+``anchored_limit``, ``sliding_limit`` and ``user_quota`` are the limiters' own decisions; ``tumbling_limit`` and ``sliding_rate``
+only count calls.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import limits
 from ..registry import Tables, query
 
+_HOURS = 48
+_WINDOW = _HOURS * 3_600_000_000
+_CALLS = "e AS (SELECT user_id, event_id, epoch_us(ts) AS t0, epoch_us(ts) + CAST(floor(value) AS BIGINT) * 60000000 AS done, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)"
+
+
+def _calls(t: Tables):
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return t.events.select("user_id", "event_id", at.alias("at"), (at + F.floor("value").cast("long") * 60_000_000).alias("done"))
+
+
+@query(
+    "anchored_limit",
+    f"""WITH RECURSIVE {_CALLS}, f(user_id, r, event_id, begun, n) AS (SELECT user_id, r, event_id, t0, 1 FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.r, e.event_id, CASE WHEN e.t0 - f.begun >= {_WINDOW} THEN e.t0 ELSE f.begun END, CASE WHEN e.t0 - f.begun >= {_WINDOW} THEN 1 ELSE f.n + 1 END FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)
+    SELECT event_id, CASE WHEN n <= 3 THEN 'ok' ELSE 'limited' END AS decision FROM f""",
+)
+def anchored_limit(t: Tables):
+    return limits.folded(_calls(t), "user_id", "at", "event_id", None, limits.anchored(3, _WINDOW))
+
+
+@query(
+    "sliding_limit",
+    f"""WITH RECURSIVE {_CALLS}, f(user_id, r, event_id, stamps, ok) AS (SELECT user_id, r, event_id, [t0], TRUE FROM e WHERE r = 1 UNION ALL SELECT user_id, r, event_id, CASE WHEN len(held) < 3 THEN list_append(held, t0) ELSE held END, len(held) < 3 FROM (SELECT e.user_id, e.r, e.event_id, e.t0, list_filter(f.stamps, lambda s: s > e.t0 - {_WINDOW}) AS held FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1))
+    SELECT event_id, CASE WHEN ok THEN 'ok' ELSE 'limited' END AS decision FROM f""",
+)
+def sliding_limit(t: Tables):
+    return limits.folded(_calls(t), "user_id", "at", "event_id", None, limits.sliding(3, _WINDOW))
+
+
+@query(
+    "user_quota",
+    f"""WITH RECURSIVE {_CALLS}, f(user_id, r, event_id, begun, hits, busy, ends, decision) AS (SELECT user_id, r, event_id, t0, 1, 1, [done], 'ok' FROM e WHERE r = 1 UNION ALL
+    SELECT user_id, r, event_id, begun, CASE WHEN d = 'ok' THEN hits + 1 ELSE hits END, CASE WHEN d = 'ok' THEN busy + 1 ELSE busy END, CASE WHEN d = 'ok' THEN list_append(ends, done) ELSE ends END, d FROM (SELECT *, CASE WHEN busy >= 1 THEN 'busy' WHEN hits + 1 > 2 THEN 'limited' ELSE 'ok' END AS d FROM
+    (SELECT user_id, r, event_id, t0, done, ends, CASE WHEN fresh THEN t0 ELSE begun END AS begun, CASE WHEN fresh THEN 0 ELSE hits END AS hits, CASE WHEN fresh THEN 0 ELSE greatest(0, busy - ended) END AS busy FROM (SELECT e.user_id, e.r, e.event_id, e.t0, e.done, f.begun, f.hits, f.busy, e.t0 - f.begun >= {_WINDOW} AS fresh, CAST(len(list_filter(f.ends, lambda x: x <= e.t0)) AS INTEGER) AS ended, list_filter(f.ends, lambda x: x > e.t0) AS ends FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1))))
+    SELECT event_id, decision FROM f""",
+)
+def user_quota(t: Tables):
+    return limits.folded(_calls(t), "user_id", "at", "event_id", "done", limits.quota(2, 1, _WINDOW))
+
 
 @query("tumbling_limit", "SELECT user_id, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_start, count(*) AS n, count(*) > 2 AS limited FROM events GROUP BY 1, 2")
 def tumbling_limit(t: Tables):

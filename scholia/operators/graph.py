@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints to the folder in spark.checkpoint.dir (one of our own if that is unset)."""
+    """Checkpoints to the folder in spark.checkpoint.dir; a local session without one gets a folder of its own, a cluster is refused."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scholia-"))
+        there = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not there and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(there or tempfile.mkdtemp(prefix="scholia-"))
     return df.checkpoint()
 
 
@@ -37,3 +40,26 @@ def closure(nodes: DataFrame, key: str, parent: str, deepest: int = 32) -> DataF
         SELECT node, ancestor, depth FROM up""",
         n=nodes,
     )
+
+
+def moves(nodes: DataFrame, asked: DataFrame, key: str, parent: str, deepest: int = 32) -> DataFrame:
+    """asked (key, target) with the reason why a move is refused, or empty: self, cycle (the target is below it), missing, too_deep.
+
+    The way up from the target is looked at in order, so what comes first on it decides.
+    """
+    up = closure(nodes, key, parent, deepest)
+    known = nodes.select(F.col(key).alias("ancestor"), F.lit(True).alias("known"), F.col(parent).alias("next"))
+    way = up.join(known, "ancestor", "left").groupBy(F.col("node").alias("target")).agg(F.min(F.when(F.col("known").isNull(), F.col("depth"))).alias("lost"), F.max("depth").alias("depth"), F.max(F.when(F.col("next").isNull(), F.col("depth"))).alias("root"))
+    met = asked.join(up.select(F.col("node").alias("target"), F.col("ancestor").alias(key), F.col("depth").alias("at")), ["target", key], "left")
+    x = met.join(way, "target", "left")
+    cycle = F.col("at").isNotNull() & (F.col("lost").isNull() | (F.col("at") < F.col("lost")))
+    return x.select(key, "target", F.when(F.col("target") == F.col(key), "self").when(F.col("target").isNull(), "").when(F.col("depth").isNull(), "missing").when(cycle, "cycle").when(F.col("lost").isNotNull(), "missing").when(F.col("root").isNull(), "too_deep").otherwise("").alias("reason"))
+
+
+def lifted(nodes: DataFrame, gone: DataFrame, key: str, parent: str) -> DataFrame:
+    """Nodes that stay, each with its nearest ancestor that stays as its parent (null: none); gone: key of deleted ones."""
+    marked = nodes.join(gone.select(key, F.lit(True).alias("gone")), key, "left")
+    stay = marked.where("gone is null").select(F.col(key).alias("ancestor"))
+    up = closure(nodes, key, parent).where("depth > 0").join(stay, "ancestor")
+    nearest = up.groupBy(F.col("node").alias(key)).agg(F.min_by("ancestor", "depth").alias("new_parent"))
+    return marked.where("gone is null").select(key).join(nearest, key, "left").select(key, F.col("new_parent").alias(parent))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -45,12 +45,22 @@ def attributed(groups: DataFrame, units: DataFrame, page: str, line_height: floa
     return ring.withColumn("r", F.row_number().over(own.orderBy("out", "hd", "unit_id"))).where("r = 1").select(page, "group_id", "unit_id", "dist", "hd")
 
 
-def clusters(boxes: DataFrame, page: str, radius: int, parts: int, ink: int) -> DataFrame:
+def clusters(boxes: DataFrame, page: str, radius: int | Column, parts: int, ink: int | Column) -> DataFrame:
     """Groups of boxes that touch once grown by ``radius``, over any number of boxes, inside each page.
 
-    Labels go to the smallest id over links until nothing moves; pages are small and many, so links are joined by page.
+    ``radius`` may be a column of the boxes, and ``ink`` one of the clusters' (page, parts, ink, box).
+
+    Pages are small and many, so links are joined by page.
     """
-    b = boxes.where("kind <> 'underline'").select(page, "id", *_XY, "n")
+    b = boxes.where("kind <> 'underline'")
+    named = named_clusters(b, page, radius if isinstance(radius, Column) else F.lit(radius))
+    out = b.join(named, [page, "id"]).groupBy(page, "cluster").agg(F.count("*").alias("parts"), F.sum("n").alias("ink"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return out.where((F.col("parts") >= parts) & (F.col("ink") >= ink))
+
+
+def named_clusters(boxes: DataFrame, page: str, radius: Column) -> DataFrame:
+    """page, id, cluster (the smallest id of the cluster) of all boxes but underlines."""
+    b = boxes.where("kind <> 'underline'")
     o = b.select(page, F.col("id").alias("o"), *(F.col(c).alias("o" + c) for c in _XY))
     r = 2 * radius
     near = (F.col("x0") - r <= F.col("ox1")) & (F.col("ox0") - r <= F.col("x1")) & (F.col("y0") - r <= F.col("oy1")) & (F.col("oy0") - r <= F.col("y1"))
@@ -70,11 +80,55 @@ def clusters(boxes: DataFrame, page: str, radius: int, parts: int, ink: int) ->
         ids = sorted(up)
         return pd.DataFrame({page: pdf[page].iloc[0], "id": ids, "cluster": [top(i) for i in ids]})
 
-    links = b.join(o, page).where(near & (F.col("id") <= F.col("o"))).select(page, "id", "o")
-    kind = f"{page} long, id long, cluster long"
-    named = links.groupBy(page).applyInPandas(label, kind)
-    out = b.join(named, [page, "id"]).groupBy(page, "cluster").agg(F.count("*").alias("parts"), F.sum("n").alias("ink"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    return out.where((F.col("parts") >= parts) & (F.col("ink") >= ink))
+    return b.join(o, page).where(near & (F.col("id") <= F.col("o"))).select(page, "id", "o").groupBy(page).applyInPandas(label, f"{page} long, id long, cluster long")
+
+
+def writing_clusters(boxes: DataFrame, page: str, height: str, gap: float = 0.5, parts: int = 3, share: float = 0.8) -> DataFrame:
+    """Clusters of handwriting by the page's line height: boxes within 2r, r half a line; at least ``parts`` boxes and an ink of .8 h^2.
+
+    page, cluster, parts, ink, long_ink (of boxes of 2.2 lines and more), the box and the line height.
+    """
+    radius = F.greatest(F.lit(1), F.floor(F.col(height) * gap + 0.5))
+    named = named_clusters(boxes, page, radius)
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 1
+    g = boxes.join(named, [page, "id"]).groupBy(page, "cluster").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("ink"), F.coalesce(F.sum(F.when(side >= 2.2 * F.col(height), F.col("n"))), F.lit(0)).alias("long_ink"), *(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1")), F.first(height).alias(height)
+    )
+    return g.where((F.col("parts") >= parts) & (F.col("ink") >= F.floor(share * F.col(height) * F.col(height) + 0.5)))
+
+
+def cluster_verdict(clusters: DataFrame, height: str) -> DataFrame:
+    """Clusters judged wrong: confidence .9, .78 or .6 by strength and by how much of the ink is long lines, and whether to look again."""
+    w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
+    density, lines = F.col("ink") / F.greatest(F.lit(1), w * h), F.col("long_ink") / F.greatest(F.lit(1), F.col("ink"))
+    strong = (F.col("parts") >= 8) | (F.col("ink") >= 2 * F.col(height) * F.col(height))
+    weak = ~strong & ((F.col("parts") < 5) | (density < 0.01) | (density > 0.35))
+    sure = F.when(strong, F.when(lines > 0.7, 0.78).otherwise(0.9)).when(weak, 0.6).otherwise(0.78)
+    return clusters.withColumn("verdict", F.lit("wrong")).withColumn("confidence", sure).withColumn("suspect", weak | ((lines > 0.85) & ~strong))
+
+
+def merged_blocks(boxes: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """Blocks of a column merged in order of y0 while their heights overlap the running block by ``least`` (IoU): keys, block, parts, box.
+
+    Whether a box joins hangs on the box so far, so a column is folded in order; a column is one page's.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, cur = [], None
+        for b in pdf.sort_values(["y0", "id"]).itertuples():
+            if cur is not None:
+                both, all_ = min(cur[3], b.y1) - max(cur[1], b.y0) + 1, max(cur[3], b.y1) - min(cur[1], b.y0) + 1
+                if both > 0 and both / all_ >= least:
+                    cur = [min(cur[0], b.x0), min(cur[1], b.y0), max(cur[2], b.x1), max(cur[3], b.y1), cur[4], cur[5] + 1]
+                    continue
+                out.append(cur)
+            cur = [b.x0, b.y0, b.x1, b.y1, b.id, 1]
+        out.append(cur)
+        frame = pd.DataFrame(out, columns=[*_XY, "block", "parts"])
+        return frame.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "block", "parts", *_XY]]
+
+    kind = ", ".join(f"{k} long" for k in (*keys, "block", "parts", *_XY))
+    return boxes.select(*keys, "id", *_XY).groupBy(*keys).applyInPandas(fold, kind)
 
 
 def otsu(hist: DataFrame, groups: list[str], level: str, count: str) -> DataFrame:

@@ -186,8 +186,8 @@ def objects(df: DataFrame, key: str, column: str) -> DataFrame:
 def solution_section(df: DataFrame, key: str, solution: str, wanted: str, most: int = 800) -> DataFrame:
     """The marked section that holds most anchors, explanations before answers, then the longest."""
     cut = F.filter(F.split(F.regexp_replace(solution, MARK, "\u0002$0\u0003"), "\u0002"), lambda p: F.contains(p, F.lit("\u0003")))
-    x = df.select(key, wanted, F.posexplode(cut).alias("k", "p"))
-    marker, body = F.split("p", "\u0003")[0], F.substring(F.regexp_replace(F.split("p", "\u0003")[1], r"^\s+|\s+$", ""), 1, most)
-    x = x.select(key, "k", F.regexp_replace(marker, r"^\s+|\s+$", "").alias("marker"), body.alias("excerpt"), hits(F.col(wanted), text.normalised(body)).alias("hit")).where("excerpt <> ''")
-    w = Window.partitionBy(key).orderBy(F.desc("hit"), F.when(F.col("marker").rlike("解析|详解|解答|分析"), 0).otherwise(1), F.desc(F.length("excerpt")), "k")
+    x = df.select(key, wanted, F.posexplode(cut).alias("__k", "__p"))
+    marker, body = F.split("__p", "\u0003")[0], F.substring(F.regexp_replace(F.split("__p", "\u0003")[1], r"^\s+|\s+$", ""), 1, most)
+    x = x.select(key, "__k", F.regexp_replace(marker, r"^\s+|\s+$", "").alias("marker"), body.alias("excerpt"), hits(F.col(wanted), text.normalised(body)).alias("hit")).where("excerpt <> ''")
+    w = Window.partitionBy(key).orderBy(F.desc("hit"), F.when(F.col("marker").rlike("解析|详解|解答|分析"), 0).otherwise(1), F.desc(F.length("excerpt")), "__k")
     return x.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, "marker", "excerpt", "hit")

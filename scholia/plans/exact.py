@@ -67,7 +67,7 @@ def similarity_score(t: Tables):
 
 @query(
     "number_recall",
-    """WITH d AS (SELECT doc_id, text || ' 3.5 and ' || CAST(n_chars AS VARCHAR) AS ref, replace(text, '1', 'l') || ' 3.5' AS hyp FROM documents), n AS (SELECT doc_id, regexp_extract_all(ref, '\d+(?:\.\d+)?') AS n, regexp_replace(hyp, '\s+', '', 'g') AS h FROM d)
+    """WITH d AS (SELECT doc_id, text || ' 3.5 and ' || CAST(n_chars AS VARCHAR) AS ref, replace(text, '1', 'l') || ' 3.5' AS hyp FROM documents), n AS (SELECT doc_id, regexp_extract_all(ref, '\\d+(?:\\.\\d+)?') AS n, regexp_replace(hyp, '\\s+', '', 'g') AS h FROM d)
     SELECT doc_id, CAST(len(n) AS BIGINT) AS total, CAST(len(list_filter(n, lambda x: contains(h, x))) AS BIGINT) AS hit FROM n""",
 )
 def number_recall(t: Tables):
@@ -92,8 +92,8 @@ _SECTIONED = ["一6,二5,二6,二16,二22", "（一）6,(二)5", "一、6-8", "3
 
 @query(
     "seq_sections",
-    """WITH v(id, s) AS (VALUES """ + ", ".join(f"({k}, '{x}')" for k, x in enumerate(_SECTIONED, 1)) + f"""), b AS (SELECT id, regexp_replace(trim(s), '([（(]?[一二三四五六七八九十][)）]?)\s*[、.．:：]\s*(\d)', '\\1\\2', 'g') AS s FROM v),
-    p AS (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM (SELECT id, list_filter(regexp_split_to_array(s, '[,，、;；\s]+'), lambda x: x <> '') AS l FROM b)), m AS (SELECT *, regexp_matches(x, '{text.SECTION_ITEM}') AS named FROM p),
+    """WITH v(id, s) AS (VALUES """ + ", ".join(f"({k}, '{x}')" for k, x in enumerate(_SECTIONED, 1)) + f"""), b AS (SELECT id, regexp_replace(trim(s), '([（(]?[一二三四五六七八九十][)）]?)\\s*[、.．:：]\\s*(\\d)', '\\1\\2', 'g') AS s FROM v),
+    p AS (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM (SELECT id, list_filter(regexp_split_to_array(s, '[,，、;；\\s]+'), lambda x: x <> '') AS l FROM b)), m AS (SELECT *, regexp_matches(x, '{text.SECTION_ITEM}') AS named FROM p),
     i AS (SELECT id, k, CASE WHEN named THEN regexp_extract(x, '{text.SECTION_ITEM}', 1) || regexp_extract(x, '{text.SECTION_ITEM}', 2) END AS section, TRY_CAST(CASE WHEN named THEN regexp_extract(x, '{text.SECTION_ITEM}', 3) ELSE regexp_extract(x, '{text.PLAIN_ITEM}', 1) END AS INTEGER) AS a, TRY_CAST(CASE WHEN named THEN regexp_extract(x, '{text.SECTION_ITEM}', 4) ELSE regexp_extract(x, '{text.PLAIN_ITEM}', 2) END AS INTEGER) AS b0 FROM m),
     f AS (SELECT *, coalesce(b0, a) AS b, coalesce(a >= 1 AND coalesce(b0, a) <= 300 AND a <= coalesce(b0, a) AND coalesce(b0, a) - a < 60, FALSE) AS fine FROM i), g AS (SELECT id, bool_and(fine) AND bool_or(section IS NOT NULL) AND coalesce(sum(CASE WHEN fine THEN b - a + 1 END), 0) <= 60 AS ok FROM f GROUP BY 1),
     n AS (SELECT f.id, f.k, f.section, unnest(range(a, b + 1)) AS label FROM f JOIN g ON g.id = f.id AND g.ok) SELECT v.id, string_agg(coalesce(n.section, '') || n.label, ',' ORDER BY n.k, n.label) AS refs FROM v LEFT JOIN n ON n.id = v.id GROUP BY 1""",

@@ -52,7 +52,12 @@ def otsu(t: Tables):
     return layout.otsu(h, ["g"], "level", "c").withColumn("variance", F.round("variance", 4))
 
 
-@query("row_cluster")
+@query(
+    "row_cluster",
+    f"""WITH RECURSIVE {_MARKS}, b AS (SELECT page, id, x0, (y0 + y1) / 2.0 AS cy, greatest(1, y1 - y0) AS h FROM m), u AS (SELECT page, median(h) AS usual FROM b GROUP BY 1), o AS (SELECT b.*, usual, row_number() OVER (PARTITION BY b.page ORDER BY cy, x0, id) AS r FROM b JOIN u ON u.page = b.page),
+    f(page, id, x0, r, row, head) AS (SELECT page, id, x0, r, CAST(0 AS BIGINT), cy FROM o WHERE r = 1 UNION ALL SELECT o.page, o.id, o.x0, o.r, CASE WHEN abs(o.cy - f.head) > 0.6 * least(o.h, o.usual) THEN f.row + 1 ELSE f.row END, CASE WHEN abs(o.cy - f.head) > 0.6 * least(o.h, o.usual) THEN o.cy ELSE f.head END FROM f JOIN o ON o.page = f.page AND o.r = f.r + 1)
+    SELECT page, id, row, row_number() OVER (PARTITION BY page ORDER BY row, x0, id) - 1 AS place FROM f""",
+)
 def row_cluster(t: Tables):
     return layout.rows_of_lines(_marks(t), "page")
 

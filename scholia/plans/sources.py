@@ -47,12 +47,24 @@ def html_text(t: Tables):
     return t.pages.select("page_id", text.tags_stripped(F.col("html")).alias("body"), F.coalesce(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.lit("")).alias("title"))
 
 
-@query("ndjson_export")
+@query(
+    "ndjson_export",
+    """SELECT '{"t":"nation","r":{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}}' AS line FROM nation UNION ALL SELECT '{"t":"region","r":{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}}' FROM region""",
+)
 def ndjson_export(t: Tables):
     return snapshots.lines({"nation": t.nation, "region": t.region})
 
 
-@query("catalog_probe")
+@query("ndjson_restore", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def ndjson_restore(t: Tables):
+    """Orders from the lines of a snapshot that holds several tables."""
+    return snapshots.restored(snapshots.lines({"nation": t.nation, "orders": t.orders, "region": t.region}), "orders", t.orders.schema)
+
+
+@query(
+    "catalog_probe",
+    "SELECT * FROM (VALUES ('scholia_nation', 'n_nationkey', 'int'), ('scholia_nation', 'n_name', 'string'), ('scholia_nation', 'n_regionkey', 'int'), ('scholia_region', 'r_regionkey', 'int'), ('scholia_region', 'r_name', 'string')) v(table_name, column_name, data_type)",
+)
 def catalog_probe(t: Tables):
     for name in ("region", "nation"):
         getattr(t, name).createOrReplaceTempView(f"scholia_{name}")

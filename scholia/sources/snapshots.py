@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def lines(tables: dict[str, DataFrame]) -> DataFrame:
@@ -26,11 +27,15 @@ def write(tables: dict[str, DataFrame], path: str) -> None:
     manifest(tables).write.json(f"{path}/manifest")
 
 
+def restored(rows: DataFrame, name: str, schema: str | StructType) -> DataFrame:
+    """One table from lines (the first column)."""
+    fields = schema.simpleString() if isinstance(schema, StructType) else f"struct<{schema}>"
+    return rows.select(F.from_json(rows[0], f"t string, r {fields}").alias("x")).where(F.col("x.t") == name).select("x.r.*")
+
+
 def restore(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     """One table of a snapshot."""
-    raw = spark.read.text(f"{path}/rows")
-    r = F.from_json("value", f"t string, r struct<{schema}>").alias("x")
-    return raw.select(r).where(F.col("x.t") == name).select("x.r.*")
+    return restored(spark.read.text(f"{path}/rows"), name, schema)
 
 
 def levels(edges: list[tuple[str, str]]) -> list[tuple[str, int]]:

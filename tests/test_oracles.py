@@ -30,10 +30,10 @@ def test_every_sql_has_a_query():
     assert ORACLE_SQL.keys() <= QUERIES.keys()
 
 
-@pytest.mark.parametrize("key", ["recall_dual", "references_topk", "simhash_dups", "range_join", "answer_cascade"])
+@pytest.mark.parametrize("key", ["recall_dual", "recall_topn", "references_topk", "simhash_dups", "range_join", "answer_cascade", "dict_match", "keyword_tags"])
 def test_no_product_of_tables(spark, key):
     plan = QUERIES[key](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_filters_and_columns_reach_the_scan(spark):

@@ -212,3 +212,56 @@ def test_small_sides_go_in_parts(spark):
     for rows in (1, 3, 100):
         got = relational.join_small(docs, keys, F.expr("contains(body, k)"), rows)
         assert sorted((r["doc"], r["k"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("question, keys, picked", [
+    ("如图，在平行四边形ABCD中，AB=6，BC=10，角B为60度，点M在BC上，求三角形ABM的面积", ["平行四边形", "三角形", "在平行四", "行四边形", "边形AB", "ABCD"], ["边形ABCD", "6BC10角", "0度点M在B", "三角形ABM"]),
+    ("The tsunami swept through the village quickly", ["tsunami", "swept", "through", "village", "quickly"], ["tsunami", "swept", "through", "village"]),
+    ("BMDN是菱形，求证四边形BMDN的对角线互相垂直", ["菱形", "BMDN", "DN是菱", "四边形B", "形BMD", "MDN的"], ["BMDN", "BMDN是菱", "形求证四边形", "BMDN的对"]),
+])
+def test_search_keys_and_anchors(spark, question, keys, picked):
+    topics = ["平行四边形", "三角形", "函数", "菱形"]
+    assert one(spark, question, lambda c: retrieval.recall_keys(c, topics)) == keys
+    assert one(spark, question, lambda c: retrieval.recall_anchors(c, retrieval.anchors(c, topics))) == picked
+    assert all(one(spark, question, lambda c: retrieval.recall_keys(c, retrieval.TOPIC_WORDS))[k] in retrieval.TOPIC_WORDS for k in range(1 if "形" in question else 0))
+
+
+def test_best_section_of_a_solution(spark):
+    rows = [(1, "【答案】六【解析】面积等于长乘宽，移项得到"), (2, "\r解：先求长\n答案：面积等于长乘宽"), (3, "没有标记")]
+    df = spark.createDataFrame(rows, "k int, s string").withColumn("wanted", F.array(F.lit("面积等于长乘"), F.lit("移项得到")))
+    got = {r["k"]: (r["marker"], r["hit"]) for r in retrieval.solution_section(df, "k", "s", "wanted").collect()}
+    assert got == {1: ("【解析】", 2), 2: ("答案：", 1)}
+
+
+def test_rows_by_hand(spark):
+    boxes = spark.createDataFrame([(1, 1, 50, 0, 60, 10), (1, 2, 0, 2, 10, 12), (1, 3, 0, 20, 10, 30), (1, 4, 20, 5, 30, 15), (2, 5, 0, 0, 5, 5)], "page long, id long, x0 long, y0 long, x1 long, y1 long")
+    got = {r["id"]: (r["row"], r["place"]) for r in layout.rows_of_lines(boxes, "page").collect()}
+    assert got == {2: (0, 0), 4: (0, 1), 1: (0, 2), 3: (1, 3), 5: (0, 0)}
+
+
+def test_patterns_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "abcabd", "x"), (2, None, "abc"), (3, "", ""), (3, "zab", None)], "k int, a string, b string")
+    patterns = spark.createDataFrame([("ab",), ("abc",), ("b",), ("",), (None,), ("ab",), ("q",)], "p string")
+    want = {(1, "ab", True, False), (1, "abc", True, False), (1, "b", True, False), (2, "ab", False, True), (2, "abc", False, True), (2, "b", False, True), (3, "ab", True, False), (3, "b", True, False)}
+    for sent in (1, 1 << 20):
+        assert {tuple(r) for r in patterns_of(docs, patterns, sent)} == want
+    assert patterns_of(docs, patterns.limit(0), 10) == [] and patterns_of(docs.limit(0), patterns, 10) == []
+
+
+def patterns_of(docs, wanted, sent):
+    from scholia.operators import patterns
+
+    return patterns.containing(docs, "k", ["a", "b"], wanted, "p", sent).collect()
+
+
+def test_moves_of_folders(spark):
+    nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 1), (5, 99)], "id long, parent long")
+    asked = spark.createDataFrame([(1, 3), (2, 2), (4, 3), (3, None), (4, 77), (4, 5)], "id long, target long")
+    assert {(r["id"], r["target"]): r["reason"] for r in graph.moves(nodes, asked, "id", "parent").collect()} == {(1, 3): "cycle", (2, 2): "self", (4, 3): "", (3, None): "", (4, 77): "missing", (4, 5): "missing"}
+    left = graph.lifted(nodes, spark.createDataFrame([(2,), (1,)], "id long"), "id", "parent").collect()
+    assert {r["id"]: r["parent"] for r in left} == {3: None, 4: None, 5: None}
+
+
+def test_restored_rows(spark):
+    df = spark.createDataFrame([(1, "a\n\"b", None), (2, None, 1.5)], "k long, s string, v double")
+    assert sorted(snapshots.restored(snapshots.lines({"x": df, "y": df.limit(1)}), "x", df.schema).collect()) == sorted(df.collect())

@@ -298,3 +298,21 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         out = hits if out is None else out.unionByName(hits)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.score", "best.question_overlap", "best.answer_overlap")
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of docs that hold no test item (see ``contaminated``), with all their columns; one pass through all shards, nothing is joined."""
+    common.arrow_bytes(docs.sparkSession)
+    out = docs
+    for own, statistics in shards_of(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))):
+        shared = docs.sparkSession.sparkContext.broadcast(Library(own, statistics))
+
+        def keep(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in common.batches(rows, 1000):
+                hits = shared.value.search(*common.word_hashes(*common.utf8(b.column(b.schema.get_field_index(text_col)).cast(pa.string()))), threshold, overlap)
+                ok = np.ones(b.num_rows, bool)
+                ok[[d for d, _ in hits]] = False
+                yield b.filter(pa.array(ok))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out

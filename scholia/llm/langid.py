@@ -190,10 +190,10 @@ def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, row_col: str | None = None, most_langs: int = MOST_LANGS) -> DataFrame:
-    """One row per document: doc_id (what ``row_col`` holds, if it is given), held_out, lang_pred, score, rejected."""
-    docs = docs.select(F.col(row_col or id_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = fit(docs.drop("row"), sample, most_langs)
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most_langs: int = MOST_LANGS) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score, rejected."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    model = fit(docs, sample, most_langs)
 
     def predict(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(rows, 1000):
@@ -210,4 +210,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     common.arrow_bytes(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return docs.select(F.col("row").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most_langs: int = MOST_LANGS) -> DataFrame:
+    """The rows of docs whose text isn't rejected (see ``identify``), with all their columns; one pass, nothing is joined."""
+    model = fit(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), sample, most_langs)
+
+    def keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.batches(rows, 1000):
+            data, at = common.utf8(b.column(b.schema.get_field_index(text_col)).cast(pa.string()))
+            ok = has_letter(data, at)
+            if model is not None:
+                ok &= model.scores(data, at).max(axis=1) >= model.threshold
+            yield b.filter(pa.array(ok))
+
+    common.arrow_bytes(docs.sparkSession)
+    return docs.mapInArrow(keep, docs.schema)

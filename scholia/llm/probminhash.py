@@ -195,7 +195,9 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return common.save(both.mapInArrow(compare, "a long, b long"), "links")
+    links = common.save(both.mapInArrow(compare, "a long, b long"), "links")
+    common.discard(sets)
+    return links
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -207,17 +209,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lower = label.join(near, "node").select("node", "comp", F.least("comp", "c").alias("c"))
         # and on to what the new label's own node is labelled
         jumped = lower.join(label.toDF("c", "cc"), "c", "left").select("node", F.least("c", "cc").alias("comp"), (F.least("c", "cc") < F.col("comp")).alias("moved"))
-        jumped = common.save(jumped, "labels")
+        jumped, before = common.save(jumped, "labels"), label
+        common.discard(before)  # the round before is read no more
         label = jumped.select("node", "comp")
+        label.scratch_path = jumped.scratch_path
         if jumped.where("moved").limit(1).count() == 0:
+            common.discard(ways)
             return label
 
 
 def _rest(nodes: DataFrame, buckets: DataFrame, comp: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between different components that share a bucket, verified on whole texts."""
+    """Links between different components that share a bucket, verified on whole texts; a saved table."""
     member = nodes.select("rep", F.explode("bands").alias("key")).join(buckets.select("key"), "key")
     member = member.join(comp.toDF("rep", "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    member = common.save(member, "members")
+    all_members = member = common.save(member, "members")
     mixed = member.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("comps")).where("comps > 1")
     # pairs inside a bucket's largest component aren't needed: its blocks (the first ones) meet those of the rest only
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -238,7 +243,10 @@ def _rest(nodes: DataFrame, buckets: DataFrame, comp: DataFrame, docs: DataFrame
         out = links_between(int(pdf["key"].iloc[0]), side(x), side(y), i == j) if len(x) and len(y) else []
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return row.select("key", "i", "j", "mine", "rep", "comp", "s", "bands").groupBy("key", "i", "j").applyInPandas(look, "a long, b long").distinct()
+    found = common.save(row.select("key", "i", "j", "mine", "rep", "comp", "s", "bands").groupBy("key", "i", "j").applyInPandas(look, "a long, b long").distinct(), "rest")
+    for used in (all_members, mixed, member, sets):
+        common.discard(used)
+    return found
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,11 +262,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     buckets = placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("leader"), F.count("*").alias("size")).where("size > 1")
     buckets = common.save(buckets.select("key", F.col("leader.rep").alias("leader")), "buckets")
     star = placed.join(buckets, "key").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    links = _verified(common.save(_agree(star, nodes), "pairs"), docs)
+    pairs = common.save(_agree(star, nodes), "pairs")
+    links = _verified(pairs, docs)
     comp = components(links)
-    more = common.save(_rest(nodes, buckets, comp, docs), "rest")
+    more = _rest(nodes, buckets, comp, docs)
     if more.limit(1).count():
         comp = components(links.unionByName(more))
+    for used in (buckets, pairs, links, more):
+        common.discard(used)
 
     whole = nodes.select("h1", "h2", "rep")
     named = table.select("doc_id", "h1", "h2", "n").join(whole, ["h1", "h2"], "left")

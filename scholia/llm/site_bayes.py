@@ -136,27 +136,10 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, keep: float = KEEP, sample: int = SAMPLE, row_col: str | None = None) -> DataFrame:
-    """One row per document: doc_id (what ``row_col`` holds, if it is given), own_score, host_posterior, path_posterior, score, keep.
-
-    ``host`` and ``path`` default to the columns source and lang: a source's documents of one language are a path of it.
-    """
-    host = F.col("source") if host is None else host
-    path = F.col("lang") if path is None else path
-    docs = docs.select(F.col(row_col or id_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
-    common.arrow_bytes(docs.sparkSession)
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    model = fit(docs.select("doc_id", "text"), labels, sample)
-
-    def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.batches(rows, 1000):
-            z = model.logit(features(*common.utf8(b.column(3))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(z, pa.float64())], ["doc_id", "host", "path", "z"])
-
-    scored = common.save(docs.select(F.col("row").alias("doc_id"), "host", "path", "text").mapInArrow(score, "doc_id long, host string, path string, z double"), "quality")
+def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
+    """scored: host, path, z.  host, path, host_posterior and path_posterior of every site, and the global mean."""
     p = 1 / (1 + F.exp(-F.col("z")))
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"))
-    paths = common.save(paths, "sites")
+    paths = common.save(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")), "sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     mu = hosts.agg(F.coalesce(F.sum("s") / F.sum("n"), F.lit(0.5))).first()[0]
     k = hosts.agg(concentration(F.lit(mu))).first()[0]
@@ -164,8 +147,60 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     paths = paths.join(hosts, "host")
     k2 = paths.agg(concentration(F.col("host_posterior"))).first()[0]
     posterior = (k2 * F.col("host_posterior") + F.col("s")) / (k2 + F.col("n"))
-    paths = paths.select("host", "path", "host_posterior", posterior.alias("path_posterior"))
-    z = F.col("z") + logit(F.col("path_posterior")) - logit(F.lit(mu))
-    final = 1 / (1 + F.exp(-z))
+    return paths.select("host", "path", "host_posterior", posterior.alias("path_posterior")), mu
+
+
+def scored_rows(docs: DataFrame, model: Classifier) -> DataFrame:
+    """(doc_id, host, path, text) to doc_id, host, path, z."""
+
+    def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.batches(rows, 1000):
+            z = model.logit(features(*common.utf8(b.column(3))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(z, pa.float64())], ["doc_id", "host", "path", "z"])
+
+    return docs.select("doc_id", "host", "path", "text").mapInArrow(score, "doc_id long, host string, path string, z double")
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> Classifier:
+    common.arrow_bytes(docs.sparkSession)
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    return fit(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), labels, sample)
+
+
+def _site(host: Column | None, path: Column | None) -> tuple[Column, Column]:
+    """By default a source is a host, and its documents of one language are a path of it; null sites are of their own."""
+    return tuple(F.coalesce((F.col(name) if c is None else c).cast("string"), F.lit("")) for name, c in (("source", host), ("lang", path)))
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
+    """One row per document: doc_id, own_score, host_posterior, path_posterior, score, keep."""
+    host, path = _site(host, path)
+    model = _fitted(docs, labels, id_col, text_col, sample)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), host.alias("host"), path.alias("path"))
+    scored = common.save(scored_rows(rows, model), "quality")
+    paths, mu = posteriors(scored)
+    final = 1 / (1 + F.exp(-(F.col("z") + logit(F.col("path_posterior")) - logit(F.lit(mu)))))
     out = scored.join(common.small_or_shuffled(paths, 200_000), ["host", "path"])
-    return out.select("doc_id", p.alias("own_score"), "host_posterior", "path_posterior", final.alias("score"), (final >= keep).alias("keep"))
+    return out.select("doc_id", (1 / (1 + F.exp(-F.col("z")))).alias("own_score"), "host_posterior", "path_posterior", final.alias("score"), (final >= keep).alias("keep"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that ``quality`` keeps, with all their columns.
+
+    Texts are scored twice, once for their sites and once to be kept or not, so that no copy of them is written.
+    """
+    host, path = _site(host, path)
+    model = _fitted(docs, labels, id_col, text_col, sample)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), host.alias("host"), path.alias("path"))
+    paths, mu = posteriors(common.save(scored_rows(rows, model).select("host", "path", "z"), "quality"))
+    own = [common.fresh(docs, name) for name in ("scholia_host", "scholia_path", "scholia_shift")]
+    shift = paths.select("host", "path", logit(F.col("path_posterior")) - logit(F.lit(mu))).toDF(*own)
+    joined = docs.join(common.small_or_shuffled(shift, 200_000), (host == F.col(own[0])) & (path == F.col(own[1]))).select(*(docs[c] for c in docs.columns), own[2])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.batches(batches, 1000):
+            z = model.logit(features(*common.utf8(b.column(b.schema.get_field_index(text_col)).cast(pa.string()))))
+            final = 1 / (1 + np.exp(-(z + b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))))
+            yield b.select(range(b.num_columns - 1)).filter(pa.array(final >= keep))
+
+    return joined.mapInArrow(look, docs.schema)

@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes e
 folder that all executors share and reads them again as the next stage's documents.  A stage decides about all that
 its predecessor kept, and all but the last return whole rows of documents with the columns they came with.
 
-Every stage writes its input with a key of each row and decides about rows, whatever their ids.  Of near copies one
-row stays, that of the smallest id; of copies without an id one stays as well, even beside one with an id.
+Stages decide about rows, whatever their ids: language, quality and decontamination pass the rows through and let the
+rejected ones go; near_duplicates writes its input with a key of each row.  Of near copies one row stays, that of the
+smallest id; of copies without an id one stays as well, even beside one with an id.
 Keys to take out are sent to every task only if there are at most ``SENT_IDS``; more are joined by a shuffle.
 """
 
@@ -21,9 +22,7 @@ SENT_IDS = 2_000_000
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a key of each row, fixed by writing them, and the key's name, which no column of docs has."""
-    taken, key = {c.lower() for c in docs.columns}, "scholia_row"
-    while key in taken:
-        key += "_"
+    key = common.fresh(docs, "scholia_row")
     return common.save(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
@@ -39,8 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id, or have none, are judged each by its own text; repeated rows alike; texts of any length whole;
     an empty table stays empty; all columns are kept, whatever their names.
     """
-    rows, key = _numbered(docs)
-    return _without(rows, key, langid.identify(rows, row_col=key).where("rejected").select("doc_id"))
+    return langid.accepted(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +47,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id, or have none, are judged each by its own text and site; a null text as an empty one; repeated
     rows alike; texts of any length whole; an empty table stays empty; all columns are kept, whatever their names.
     """
-    rows, key = _numbered(docs)
-    judged = site_bayes.quality(rows, common.table(spark, sf_dir, "labels"), row_col=key)
-    return _without(rows, key, judged.where(~F.col("keep")).select("doc_id"))
+    return site_bayes.accepted(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,9 +71,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share an id, or have none, are judged each by its own text; null and empty texts stay; repeated rows go or
     stay together; texts of any length whole; without items all stay; all columns are kept, whatever their names.
     """
-    rows, key = _numbered(docs)
-    hits = bm25_wand.contaminated(rows, common.table(spark, sf_dir, "benchmark"), id_col=key)
-    return _without(rows, key, hits.select("doc_id"))
+    return bm25_wand.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,7 @@ def located(lines: DataFrame, wanted: DataFrame, figures: DataFrame, width: int,
     """
     one = F.split(F.coalesce("body", F.lit("")), "\n")
     x = lines.withColumn("n", F.size(one)).select("page", "col", "id", "x0", "y0", "x1", "y1", "n", F.posexplode(one).alias("pos", "s"))
+    x = x.repartition("page")  # once: all windows below are within a page
     step = (F.col("y1") - F.col("y0")) / F.col("n")
     x = x.select("page", "col", "id", "pos", "s", "x0", (F.col("y0") + step * F.col("pos")).alias("y0"), "x1", (F.col("y0") + step * (F.col("pos") + 1)).alias("y1"))
     order, label = ["y0", "x0", "id", "pos"], _found(F.col("s"), BARE)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, layout
+from ..operators import graph, layout, relational
 from ..operators import retrieval as Q
 from ..registry import Tables, query
+from ..streaming import rules
 from .layout import _KINDS, _kinds
 from .retrieval import _JUDGED, _judged
 
@@ -167,3 +168,19 @@ def mark_clusters(t: Tables):
 )
 def cluster_verdict(t: Tables):
     return layout.cluster_verdict(_clusters(t), "h").select("page", "cluster", "verdict", "confidence", "suspect")
+
+
+@query("guarded_delete", "WITH s AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_totalprice < 60000) AS d FROM orders) SELECT o_orderkey FROM orders, s WHERE d > 0.5 * n OR d = n OR NOT coalesce(o_totalprice < 60000, FALSE)")
+def guarded_delete(t: Tables):
+    return relational.guarded_delete(t.orders.select("o_orderkey", "o_totalprice"), F.col("o_totalprice") < 60000).select("o_orderkey")
+
+
+@query(
+    "event_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS began, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS ended, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def event_sessions(t: Tables):
+    """Sessions of a user: events no more than six hours apart; the plan of the stream, over the whole table."""
+    x, shown = rules.sessions(t.events, "6 hours"), lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return x.select("user_id", shown("start").alias("began"), shown("end").alias("ended"), "n")

@@ -62,6 +62,17 @@ def row_cluster(t: Tables):
     return layout.rows_of_lines(_marks(t), "page")
 
 
+@query(
+    "stroke_width",
+    """WITH p AS (SELECT DISTINCT l_suppkey % 23 AS image, l_partkey % 90 AS x, l_orderkey % 120 AS y FROM lineitem WHERE l_suppkey % 23 < l_quantity / 2), r AS (SELECT image, y, count(*) AS n FROM (SELECT *, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS start FROM p) GROUP BY image, y, start)
+    SELECT image, len(l) AS runs, CASE WHEN len(l) < 24 THEN 0.0 ELSE (l[CAST(floor(len(l) * 0.4) AS BIGINT) + 1] + l[CAST(floor(len(l) * 0.6) AS BIGINT) + 1]) / 2.0 END AS width FROM (SELECT image, coalesce(list(n ORDER BY n) FILTER (WHERE n BETWEEN 2 AND 12), []) AS l FROM r GROUP BY 1)""",
+)
+def stroke_width(t: Tables):
+    image = F.col("l_suppkey") % 23
+    ink = t.lineitem.where(image < F.col("l_quantity") / 2).select(image.alias("image"), (F.col("l_partkey") % 90).alias("x"), (F.col("l_orderkey") % 120).alias("y"))
+    return layout.stroke_width(ink, "image", 12)
+
+
 @query("reading_order")
 def reading_order(t: Tables):
     return pages.reading_order(_marks(t), "page")

@@ -64,3 +64,11 @@ def test_best_reading_of_a_spot(spark):
     assert fused(spark, [(1, *a, 0.9, "abc"), (2, *b, 0.8, "wxyz")]) == [1]  # the shorter
     assert fused(spark, [(1, *a, 0.9, None), (2, 0.0, 40.0, 100.0, 60.0, 0.8, "b")]) == [1, 2]
     assert fused(spark, [(1, *a, 0.9, "n1961."), (2, *b, 0.8, "61.d")]) == [1] and locate.numbers_in("61.d") == ()
+
+
+def test_stroke_width(spark):
+    from scholia.operators import layout
+
+    ink = [(1, 10 * k + i, 0) for k in range(20) for i in range(3)] + [(1, 10 * k + i, 1) for k in range(20) for i in range(5)] + [(1, 5, 2), (1, 5, 2)] + [(1, i, 3) for i in range(90)] + [(2, i, 0) for i in range(4)]
+    got = {r["image"]: (r["runs"], r["width"]) for r in layout.stroke_width(spark.createDataFrame(ink, "image long, x long, y long"), "image", 12).collect()}
+    assert got == {1: (40, 4.0), 2: (1, 0.0)}

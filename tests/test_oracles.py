@@ -30,7 +30,7 @@ def test_every_sql_has_a_query():
     assert ORACLE_SQL.keys() <= QUERIES.keys()
 
 
-@pytest.mark.parametrize("key", ["recall_dual", "recall_topn", "references_topk", "simhash_dups", "range_join", "answer_cascade", "dict_match", "keyword_tags"])
+@pytest.mark.parametrize("key", ["recall_dual", "recall_topn", "references_topk", "simhash_dups", "range_join", "answer_cascade", "dict_match", "keyword_tags", "locate_questions"])
 def test_no_product_of_tables(spark, key):
     plan = QUERIES[key](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -69,9 +69,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_automaton import digests
+
+    return digests(common.table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .middle_fill import digests
+
+    return digests(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_quality, op4_licenses, op5_langid, op6_url_filter, op7_near_duplicates, op8_packing, op9_neighbours, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_quality, op4_licenses, op5_langid, op6_url_filter, op7_near_duplicates, op8_packing, op9_neighbours, op10_decontamination, op12_bpe, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .middle_fill import ORACLE_SQL as op13
+
+    return {"op13_fill_in_middle": op13}

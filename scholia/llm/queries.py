@@ -69,6 +69,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .seeded_join import rank
+
+    return rank(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_automaton import digests
 
@@ -82,10 +88,10 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_quality, op4_licenses, op5_langid, op6_url_filter, op7_near_duplicates, op8_packing, op9_neighbours, op10_decontamination, op12_bpe, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_token_counts, op2_main_text, op3_quality, op4_licenses, op5_langid, op6_url_filter, op7_near_duplicates, op8_packing, op9_neighbours, op10_decontamination, op11_ranked_search, op12_bpe, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .middle_fill import ORACLE_SQL as op13
+    from . import middle_fill, seeded_join
 
-    return {"op13_fill_in_middle": op13}
+    return {"op11_ranked_search": seeded_join.ORACLE_SQL, "op13_fill_in_middle": middle_fill.ORACLE_SQL}

@@ -7,10 +7,18 @@ them several times as fast (a test holds both against each other).
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 
 #: Text that the vocabulary file reads as one special id; such texts go through ``tokenizers`` itself.
 SPECIAL = "<|endoftext|>"
+#: Runs of white space of so many characters go through ``tokenizers``, too: the rank file's library can't follow them to a million.
+LONG_BLANK = 100_000
+_BLANKS = re.compile(r"\s+")
+
+
+def long_blank(text: str) -> bool:
+    return len(text) >= LONG_BLANK and any(m.end() - m.start() >= LONG_BLANK for m in _BLANKS.finditer(text))
 
 
 def default_path() -> str:
@@ -32,7 +40,7 @@ class Encoder:
         self.plain = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> bytes:
-        if SPECIAL in text:
+        if SPECIAL in text or long_blank(text):
             return array("H", self.whole().encode(text, add_special_tokens=False).ids).tobytes()
         return array("H", self.plain(text)).tobytes()
 

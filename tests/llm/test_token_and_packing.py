@@ -191,3 +191,15 @@ def test_very_long_texts(spark):
     counts = {r["doc_id"]: r["n_tokens"] for r in token_scan.token_counts(docs).collect()}
     rows = packing.pack(docs).toPandas()
     assert {d: int(g["length"].sum()) - 1 for d, g in rows.groupby("doc_id")} == counts
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\n" * 1_200_000, "a" + " \n" * 600_000 + "b  c", "a" + " " * 99_999 + "b\t" * 50_000, " " * 100_000 + "x"])
+def test_long_white_space(reference, text):
+    assert np.frombuffer(tokens.encoder().ids(text), np.uint16).tolist() == reference(text)
+
+
+def test_jobs_on_long_white_space(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_200_000, "s"), (2, "\n" * 1_100_000, None), (3, "plain", "s")], "doc_id long, text string, source string")
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_scan.token_counts(docs).collect()}
+    rows = packing.pack(docs).toPandas()
+    assert {d: int(g["length"].sum()) - 1 for d, g in rows.groupby("doc_id")} == counts

@@ -25,7 +25,7 @@ _NUMBER = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("attrs", "heading", "holds", "index", "kids", "label", "parts", "shape", "size", "tag", "text", "up")
+    __slots__ = ("attrs", "chars", "heading", "holds", "index", "kids", "label", "parts", "shape", "size", "story", "tag", "text", "up")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
         self.tag, self.attrs, self.up = tag, attrs, up
@@ -33,8 +33,8 @@ class Node:
         self.kids: list[Node] = []
         self.label = tag + "." + _NUMBER.sub("#", attrs.get("class", ""))
         self.index = self.shape = -1
-        self.holds = self.size = self.text = 0  # for wrapper.measure
-        self.heading = False
+        self.chars = self.holds = self.size = self.text = 0  # for wrapper.measure
+        self.heading = self.story = False
 
 
 def parse(page: str) -> Node:

@@ -14,7 +14,9 @@ or id is template only once ``MARKED_PAGES`` pages say so, and never a menu; on
 only these are kept, all of them.  Elements whose tag, role, class or id names what isn't the article (menus, adverts,
 comments and footers that vary from page to page, which no template shows) go, unless they hold content: an element
 with one of ``LAYOUT``'s words or a form stays if it has a content region of any kind below it, or half of the text of a
-page without any.  Blocks with over 60 % link text go where they stand outside all content regions of a page that has
+page without any.  Inside an article element the words of classes are weak evidence (a discussion, a legal or a social history
+may be its subject): there only words of adverts, readers' comments and notices (``FOREIGN``) take an element out by themselves,
+and the others only if most of its text is links.  Blocks with over 60 % link text go where they stand outside all content regions of a page that has
 some.  If nothing is left of a page, only tags, roles and the template decide; if the template leaves nothing of marked
 content, that content stays.
 
@@ -61,6 +63,8 @@ WORDS = frozenset(
 )
 #: Of these, the ones that also name layouts, which may wrap the page's content.
 LAYOUT = frozenset("banner nav navbar navigation menu header masthead topbar footer foot sidebar aside rail widget widgets share sharing social follow toolbar copyright legal disclaimer skip search overlay modal".split())
+#: What others than the author put into an article.
+FOREIGN = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot adsense sponsored promo comment comments commentlist disqus cookie cookies consent gdpr notice notices newsletter paywall".split())
 #: A class that begins so says what else the page has; a header of one of these is a title.
 HAS, TITLED = frozenset("has no with without".split()), frozenset("post entry article story title".split())
 ARTICLE = frozenset("article content main post entry story body text".split())
@@ -93,14 +97,18 @@ def boilerplate(n: Node) -> set[str]:
 
 
 def measure(root: Node) -> bool:
-    """Sets what elements hold: size (characters that aren't links'), holds (the highest is_article below, but that of
-    boilerplate), text (characters that aren't dropped) and heading (one is below).
+    """Sets what elements hold: chars, size (characters that aren't links'), holds (the highest is_article below, but that of
+    boilerplate), text (characters that aren't dropped) and heading (one is below); and story (it is in an article element).
 
     On a page without any content region, elements with half of its text or more count as holding one.
     Gives whether the page has a region.
     """
     order = number(root)
+    for n in order:
+        for x in n.kids:
+            x.story = n.story or is_article(n) == 3
     for n in reversed(order):
+        n.chars = sum(len(p.strip()) if isinstance(p, str) else p.chars for p in n.parts)
         n.size = 0 if n.tag == "a" else sum(len(p.strip()) if isinstance(p, str) else p.size for p in n.parts)
         n.heading = any(x.tag in HEADINGS or x.heading for x in n.kids)
         n.holds = 0
@@ -116,6 +124,10 @@ def measure(root: Node) -> bool:
     return regional
 
 
+def _links(n: Node) -> int:
+    return n.chars - n.size
+
+
 def dropped(n: Node, inside: bool, words: bool = True) -> bool:
     """Whether an element and all in it isn't part of the article; inside: it is in one; words: not by its tag and role alone."""
     a = n.attrs
@@ -128,8 +140,10 @@ def dropped(n: Node, inside: bool, words: bool = True) -> bool:
     if n.tag == "form" and not n.holds:
         return True
     if ("class" in a or "id" in a) and n.tag not in ("html", "body", "article", "main") and n.tag not in HEADINGS and (found := boilerplate(n)):
+        if n.story and not found & FOREIGN and _links(n) <= LINKS * n.chars:
+            return False
         return n.holds < (1 if found <= LAYOUT else 2)
-    return n.tag in ("article", "section") and bool(words_of(n) & {"comment", "comments", "reply", "replies", "related"})
+    return n.tag in ("article", "section") and bool(words_of(n) & {"comment", "comments", "reply", "replies", *(() if n.story else ("related",))})
 
 
 def regions(root: Node) -> tuple[list[Node], list[Node]]:

@@ -23,6 +23,7 @@ streamed whole; repeated rows give repeated rows; an empty table gives an empty
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,12 +189,15 @@ class Licences:
                     twice = max(0, e - (end - n), t - (t_end - n))
                     if twice < n and t < t_end and covered[j] + n - twice > covered[i]:
                         covered[i], start[i] = covered[j] + n - twice, start[j]
-            taken: list[tuple[int, int]] = []
+            begins: list[int] = []  # of the spans taken, which don't overlap, in order
+            ends: list[int] = []
             for i in sorted(range(len(own)), key=lambda i: (-covered[i], own[i][0])):
                 end = own[i][0]
-                if taken and (covered[i] < COVER * self.sizes[k] or any(start[i] < e and b < end for b, e in taken)):
+                place = bisect_left(begins, start[i])
+                if begins and (covered[i] < COVER * self.sizes[k] or (place and ends[place - 1] > start[i]) or (place < len(begins) and begins[place] < end)):
                     continue
-                taken.append((start[i], end))
+                begins.insert(place, start[i])
+                ends.insert(place, end)
                 out.append((k, start[i], end, covered[i]))
         return out
 

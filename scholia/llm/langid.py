@@ -10,9 +10,9 @@ The probabilities are calibrated by a temperature, and the rejection threshold i
 doesn't see.
 
 The sample is bounded (documented parameters): at most about ``SAMPLE`` distinct rows in equal parts by language, at least
-ten each, chosen by a hash of id and text from the rows that may be learned from.  Only languages of the sample can be
-predicted; all of them are learned, unless there are more than ``most_langs``, which no column of languages holds: then the
-most frequent ones.  Prediction runs over all rows.
+ten each as long as that isn't more than ``MOST_ROWS`` in all, chosen by a hash of id and text from the rows that may be learned
+from.  Only languages of the sample can be predicted; all of them are learned, unless there are more than ``most_langs``, which no
+column of languages holds: then the most frequent ones.  Prediction runs over all rows.
 
 Defined cases: a null text and one without a letter give ``und`` with score 0 and are rejected; null ids are
 not held out, aren't learned from and keep their row; repeated rows give repeated rows; without a row to learn
@@ -35,7 +35,7 @@ BUCKETS = 1 << 13
 DIM = 16
 GRAMS = (2, 3, 4)
 SAMPLE = 2000
-MOST_LANGS = 10_000
+MOST_LANGS = MOST_ROWS = 10_000
 EPOCHS = 14
 REJECTED = 0.001
 UNKNOWN = "und"
@@ -140,13 +140,18 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = EPOCHS,
     return Model(langs, table, bias, float(temperature), threshold)
 
 
+def share(langs: int, sample: int = SAMPLE) -> int:
+    """Rows of the sample for each of so many languages."""
+    return max(1, min(max(10, sample // langs), max(sample, MOST_ROWS) // langs))
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, most_langs: int = MOST_LANGS) -> Model | None:
     """docs: doc_id, text, lang.  Learns from rows whose crc32(doc_id) mod 4 isn't 2."""
     own = docs.where("text is not null and lang is not null and crc32(cast(doc_id as string)) % 4 <> 2")
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(min(most_langs, MOST_ROWS)).collect()}
     if not counts:
         return None
-    each = max(10, sample // len(counts))
+    each = share(len(counts), sample)
     below = docs.sparkSession.createDataFrame([(lang, min(1_000_000, int(1_300_000 * each / n) + 1)) for lang, n in counts.items()], "lang string, below long")
     own = own.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(below), "lang")  # at most most_langs rows
     chosen = own.where(F.pmod("h", F.lit(1_000_000)) < F.col("below")).dropDuplicates(["lang", "h"])
@@ -170,7 +175,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, most_langs: int = MOST_LANGS) ->
         if taken.get(r["lang"], 0) < each:
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
             kept.append(r)
-    langs = sorted(counts)
+    langs = sorted(taken)
     y = np.array([langs.index(r["lang"]) for r in kept])
     x = np.empty((len(kept), BUCKETS), np.float16)
     for k, r in enumerate(kept):

@@ -10,7 +10,8 @@ words, S a power of four.  Passages are runs of ``2 * S`` words at every S words
 inside one passage, and what is found of an item doesn't hang on the other items' lengths.  WAND runs over all passages
 of an Arrow batch at once and returns every item at or above the threshold.  A hit is verified on the text: of the
 words of the item's question and of its answer (text after ``Answer:``, else its second half) the shares that lie in
-runs of five words that the passage shares must both be at least ``OVERLAP``.
+runs of five words that the passage shares must both be at least ``OVERLAP``.  Where an item without that mark ends its
+question isn't known, so ``WHOLE`` of all its words are enough as well, wherever they stand.
 
 Document frequencies and the mean length are those of all items.  Items go to all tasks by broadcast, in shards of at
 most ``SHARD`` items and ``SHARD_WORDS`` words; the texts are read once for each shard.
@@ -36,6 +37,7 @@ from . import common
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.5
+WHOLE = 0.6
 WIDTH = 5
 SHARD, SHARD_WORDS = 100_000, 4 << 20
 BLOCK_ITEMS, MAX_BLOCKS = 16, 64
@@ -90,11 +92,13 @@ class Index:
             if len(words):
                 m = ANSWER.search(text)
                 cut = len(self.words(text[: m.end()])) if m else 0
-                held.append((item, words, cut if 0 < cut < len(words) else len(words) // 2))
+                known = 0 < cut < len(words)
+                held.append((item, words, cut if known else len(words) // 2, known))
         held.sort(key=lambda h: len(h[1]))  # items of a block have like impacts, so that block maxima are tight
         all_ = Statistics.of([h[1] for h in held]) if statistics is None else statistics
         self.items = [h[0] for h in held]
         self.cuts = [h[2] for h in held]
+        self.answered = [h[3] for h in held]
         n = len(held)
         self.widths = [min(WIDTH, len(h[1])) for h in held]
         self.sizes = [len(h[1]) for h in held]
@@ -102,7 +106,7 @@ class Index:
         self.vocabulary = np.unique(np.concatenate([h[1] for h in held])) if n else np.empty(0, np.uint64)
         v = len(self.vocabulary)
         rows = []
-        for k, (_, words, _) in enumerate(held):
+        for k, (_, words, *_) in enumerate(held):
             t, tf = np.unique(np.searchsorted(self.vocabulary, words), return_counts=True)
             rows.append((t, np.full(len(t), k), tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / all_.mean))))
         term, item, weight = (np.concatenate(c) for c in zip(*rows, strict=True)) if n else (np.empty(0, int),) * 3
@@ -180,8 +184,8 @@ class Index:
         owner = np.repeat(np.arange(len(terms)), size)
         return owner, np.arange(len(owner)) + np.repeat(self.at[terms] - np.cumsum(size) + size, size)
 
-    def overlap(self, item: int, passage: np.ndarray) -> tuple[float, float]:
-        """Shares of the words of question and answer in runs that the passage shares."""
+    def overlap(self, item: int, passage: np.ndarray) -> tuple[float, float, float]:
+        """Shares of the words of question, answer and (0 if the item tells them apart) both in runs that the passage shares."""
         w, n, cut = self.widths[item], self.sizes[item], self.cuts[item]
         hit = np.isin(self.runs[item], self.shingles(passage, w) if len(passage) >= w else np.empty(0, np.uint64))
         covered = np.zeros(n + 1, np.int64)
@@ -189,8 +193,8 @@ class Index:
         np.add.at(covered, np.minimum(np.flatnonzero(hit) + w, n), -1)
         inside = np.cumsum(covered[:-1]) > 0
         if cut == 0 or cut == n:
-            return float(inside.mean()), float(inside.mean())
-        return float(inside[:cut].mean()), float(inside[cut:].mean())
+            return float(inside.mean()), float(inside.mean()), 0.0
+        return float(inside[:cut].mean()), float(inside[cut:].mean()), 0.0 if self.answered[item] else float(inside.mean())
 
 
 class Library:
@@ -211,7 +215,7 @@ class Library:
             local[np.searchsorted(self.vocabulary, index.vocabulary)] = np.arange(len(index.vocabulary))
             self.local.append(local)
 
-    def search(self, words: np.ndarray, first: np.ndarray, threshold: float, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
+    def search(self, words: np.ndarray, first: np.ndarray, threshold: float, overlap: float, whole: float = WHOLE) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(text, id of item) to score, question and answer overlap of the best passage, for verified hits."""
         out: dict[tuple[int, int], tuple[float, float, float]] = {}
         if not len(self.vocabulary) or not len(words):
@@ -236,8 +240,8 @@ class Library:
             for s, item, score in zip(*(x.tolist() for x in index.wand(pairs // v, pairs % v, threshold)), strict=True):
                 d = int(np.searchsorted(base, s, "right")) - 1
                 a = first[d] + (s - base[d]) * span
-                q, r = index.overlap(item, words[a : min(first[d + 1], a + 2 * span)])
-                if q >= overlap and r >= overlap:
+                q, r, both = index.overlap(item, words[a : min(first[d + 1], a + 2 * span)])
+                if (q >= overlap and r >= overlap) or both >= whole:
                     key = d, index.items[item]
                     out[key] = max(out.get(key, (0.0, 0.0, 0.0)), (score, q, r))
         return out

@@ -207,6 +207,18 @@ def test_contamination_by_hand(spark):
     assert bm25_wand.contaminated(docs, none).count() == 0 and bm25_wand.contaminated(docs.limit(0), none.union(spark.createDataFrame([(1, "a b")], "item_id long, text string"))).count() == 0
 
 
+def test_long_quotations_of_items_without_an_answer(spark):
+    """Which part is the answer isn't known: 37 of 50 words in one run are a hit, the first half alone isn't; with a mark both parts must be there."""
+    item = [f"q{k}" for k in range(50)]
+    filler = " ".join(f"f{k}" for k in range(300))
+    items = [(1, " ".join(item)), (2, " ".join(f"m{k}" for k in range(40)) + " Answer: " + " ".join(f"a{k}" for k in range(10)))]
+    rows = [(1, " ".join(item[:37])), (2, " ".join(item[13:])), (3, " ".join(item[:25])), (4, " ".join(f"m{k}" for k in range(40))), (5, items[1][1])]
+    docs = spark.createDataFrame([(k, f"{filler} {t} {filler}") for k, t in rows], "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in bm25_wand.contaminated(docs, items).collect()} == {(1, 1), (2, 1), (5, 2)}
+    assert sorted(r["doc_id"] for r in bm25_wand.clean(docs, items).collect()) == [3, 4]
+
+
 def test_shards_give_the_same(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     a = {(r["doc_id"], r["item_id"]) for r in bm25_wand.contaminated(docs, items).collect()}
@@ -336,6 +348,23 @@ def test_constant_lines_of_articles_need_more_pages(spark):
         assert got.loc[got.page_id == 100, "text"].str.contains("staff").all()  # copies tell nothing
 
 
+def test_class_words_alone_take_nothing_out_of_an_article():
+    page = """<nav><a href=1>Home</a></nav><article><h1>T</h1><p>Intro.</p><section class="discussion"><h2>Discussion</h2><p>We discuss.</p></section><div class="social-history"><p>The past.</p></div>
+    <p class="legal">By law.</p><p class="search">A search.</p><div class="rail follow"><p>The rail.</p></div><section class="related-work"><p>Others.</p></section><div class="header"><p>Head.</p></div>
+    <div class="share-bar"><a href=2>Tell a friend</a> <a href=3>Print</a></div><div class="ad">Buy now</div><div class="comments"><p>me too</p></div><p class="cookie-notice">We use some.</p><aside>Aside</aside><p>End.</p></article>"""
+    assert wrapper.aligned(page, None)[0] == ["T", "Intro.", "Discussion", "We discuss.", "The past.", "By law.", "A search.", "The rail.", "Others.", "Head.", "End."]
+
+
+def test_the_template_alone_changes_pages_of_the_tables_layout(spark):
+    """The given pages on one host, with a line in each article that no mark tells from the others: only the template can."""
+    rows = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    line = "<div>Written by our staff, all of them</div>"
+    pages = spark.createDataFrame([(r["page_id"], "http://hot.example/", r["html"].replace("</h1>", "</h1>" + line)) for r in rows], "page_id long, url string, html string")
+    want = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows)).collect()}
+    assert {r["page_id"]: r["text"] for r in wrapper.extract(pages).collect()} == want
+    assert all("our staff" in r["text"] for r in wrapper.extract(pages, template=False).collect())
+
+
 def test_deep_and_long_pages_are_read_in_linear_time():
     import time
 

@@ -68,6 +68,35 @@ def test_language_of_odd_texts(spark, tables):
     assert [(r["lang_pred"], r["rejected"]) for r in sorted(alone)] == [("und", False), ("und", True)]
 
 
+def test_scores_against_plain_python(spark, tables):
+    """Every gram counted one by one, the mean of their rows and the softmax in plain Python."""
+    model = langid.fit(tables("documents").select("doc_id", "text", "lang"))
+    texts = [t for t in (*ODD, "ab", "a", "The Quick éclair 12!") if t and len(t) < 1000] + [r["text"] for r in tables("documents").where("length(text) < 600").limit(5).collect()]
+    got = model.scores(*common.utf8(pa.array(texts)))
+    for t, scores in zip(texts, got, strict=True):
+        raw = [c if c >= 128 else c | 32 if chr(c).isalpha() else 32 for c in t.encode()]
+        total, n = [0.0] * len(model.langs), 0
+        for width in (2, 3, 4):
+            for i in range(len(raw) - width + 1):
+                h = width
+                for c in raw[i : i + width]:
+                    h = (h * 257 + c) % 2**32
+                h ^= h >> 15
+                h = h * 0x85EBCA6B % 2**32
+                n += 1
+                for k, x in enumerate(model.table[h >> 19].tolist()):
+                    total[k] += x
+        z = [(x / max(n, 1) + b) / model.temperature for x, b in zip(total, model.bias.tolist(), strict=True)]
+        e = np.exp(np.array(z) - max(z))
+        assert np.allclose(scores, e / e.sum(), atol=1e-6)
+
+
+def test_sample_of_many_languages_is_bounded():
+    for n in (1, 4, 300, 5000, 10_000):
+        assert 1 <= langid.share(n) and langid.share(n) * n <= max(langid.SAMPLE, langid.MOST_ROWS)
+    assert langid.share(4) == 500 and langid.share(300) == 10 and langid.share(5000) == 2
+
+
 def test_quality(spark, tables):
     docs, labels = tables("documents"), tables("labels")
     got = site_bayes.quality(docs, labels).toPandas().merge(labels.toPandas())
@@ -179,6 +208,16 @@ def test_chains_go_over_what_was_put_in(spark):
     assert spans == [(0, 0, n - 1), (1, 0, n + 4), (2, 0, n + 3), (3, 0, n), (4, 0, n - 1), (4, n + 30, 2 * n + 29), (7, 5, n + 4)]
 
 
+def test_many_notices_in_one_text(spark):
+    import time
+
+    notice = "released under the mit license foo "
+    began = time.perf_counter()
+    rows = license_automaton.spans(spark.createDataFrame([(1, notice * 100_000)], "doc_id long, text string")).where("label = 'mit'")
+    assert rows.count() == 100_000 and rows.select("first_word").distinct().count() == 100_000
+    assert time.perf_counter() - began < 60
+
+
 def test_templates_of_a_folder(spark, tmp_path):
     (tmp_path / "own.txt").write_text("This is OUR licence, of some words.\n\nShort\n\nAnd a second paragraph; of it.", encoding="utf-8")
     (tmp_path / "own-2.txt").write_text("The other text of it is here", encoding="utf-8")

@@ -175,7 +175,19 @@ def similar_items(t: Tables):
     return d.join(F.broadcast(target)).select("doc_id", dice.alias("dice")).where("dice >= 0.6")
 
 
-@query("simhash_dups")
+@query(
+    "simhash_dups",
+    f"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id AS id, regexp_replace(regexp_replace(text, '\s+', '', 'g'), '[，。、；：？！"''“”‘’（）()【】\[\]{{{{}}}}《》·—\-–_,.;:?!/\\|+=*#~`^$@%&]', '', 'g') AS t FROM documents),
+    u AS (SELECT id, flatten([CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END FOR c IN regexp_extract_all(t, '(?s).')]) AS u FROM t WHERE length(t) >= 8),
+    g AS (SELECT id, unnest(u[1:-2])::UBIGINT AS a, unnest(u[2:])::UBIGINT AS b FROM u),
+    f AS (SELECT id, ((xor((((xor(14695981039346656037::UBIGINT, a))::UHUGEINT * 1099511628211) % 18446744073709551616)::UBIGINT, b))::UHUGEINT * 1099511628211 % 18446744073709551616)::UBIGINT AS f FROM g),
+    h AS MATERIALIZED (SELECT id, ({" + ".join(f"CASE WHEN 2 * sum((f >> {k}) & 1) > count(*) THEN 1::UHUGEINT << {k} ELSE 0 END" for k in range(64))})::UBIGINT AS h FROM f GROUP BY id),
+    p AS MATERIALIZED (SELECT a.id, list(b.id ORDER BY b.id) AS o FROM h a JOIN h b ON b.id < a.id AND bit_count(xor(a.h, b.h)::BIT) <= 3 GROUP BY a.id),
+    n AS MATERIALIZED (SELECT id, o, row_number() OVER (ORDER BY id) AS k FROM p),
+    r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL SELECT n.k, CASE WHEN len(list_filter(n.o, lambda x: NOT list_contains(r.gone, x))) > 0 THEN list_append(r.gone, n.id) ELSE r.gone END FROM r JOIN n ON n.k = r.k + 1),
+    last AS (SELECT gone FROM r ORDER BY k DESC LIMIT 1)
+    SELECT n.id, list_filter(n.o, lambda x: NOT list_contains(last.gone, x))[1] AS kept_id FROM n, last WHERE list_contains(last.gone, n.id)""".replace("{{}}", "{}"),
+)
 def simhash_dups(t: Tables):
     from ..operators import simhash
 

@@ -3,13 +3,18 @@
 Every shingle of a text is a Poisson process whose rate is its weight; each arrival falls into one of ``M``
 registers at random, and a register keeps the shingle that arrives first.  A process stops as soon as its next
 arrival is later than all registers' (early termination).  Two texts agree in a register with the probability
-that is their probability Jaccard similarity.  Links are decided by the sets of shingles, so here every shingle
-weighs the same, however often it repeats: the probability Jaccard similarity is then that of the sets.
+that is their probability Jaccard similarity.
+
+A shingle's weight is 1 + ln of how often the text has it.  A text is a link of another if the probability Jaccard
+similarity of their weighted shingles is at least ``LEAST``, or the Jaccard similarity of the sets (all weights 1) is: a line
+that one copy repeats two hundred times must not hide the copy, nor must a few words that differ hide that all the rest
+of two texts is the same paragraph again and again.  So a text has two signatures, by weights and by weights of 1.
+Both use the same processes, so they differ for texts with a repeated shingle only, and those are in the buckets of both.
 
 1. Exact copies: texts of equal words are one class, named by its smallest id.  Only class representatives go on.
 2. ``BANDS`` bands of ``ROWS`` registers put them into buckets.  A bucket's members are paired with its leader
    alone (in one of three orders, by band), never with each other.  Pairs whose signatures agree enough are
-   verified on the shingles of their whole texts; links have a Jaccard similarity of at least ``LEAST``.
+   verified on the shingles of their whole texts, by either similarity.
 3. Connected components of the links.
 4. The rest, exactly: in each bucket that still holds more than one component, members of different components
    are compared on their shingles inside pairs of blocks of bounded size, which give only links that join
@@ -84,12 +89,44 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Of two sorted sets with weights: the sum over common elements of 1 / sum over all elements of max(a' / a, b' / b).
+
+    In order of the ratio of the two weights, an element's maxima are those of b before it and those of a from it on.
+    """
+    every = np.union1d(a, b)
+    x, y = np.zeros(len(every)), np.zeros(len(every))
+    x[np.searchsorted(every, a)], y[np.searchsorted(every, b)] = wa, wb
+    with np.errstate(divide="ignore"):
+        by = np.argsort(np.where(y > 0, x / np.maximum(y, 1e-300), np.inf), kind="stable")
+    x, y = x[by], y[by]
+    common_ = (x > 0) & (y > 0)
+    behind = x[::-1].cumsum()[::-1]  # of a from here on
+    before = y.cumsum() - y  # of b before here
+    return float((1 / (behind[common_] / x[common_] + before[common_] / y[common_])).sum()) if common_.any() else 0.0
+
+
+def linked_texts(a: np.ndarray, wa: np.ndarray | None, b: np.ndarray, wb: np.ndarray | None) -> bool:
+    """wa, wb: weights, None for all 1."""
+    if jaccard(a, b) >= LEAST:
+        return True
+    if (wa is None and wb is None) or not len(a) or not len(b):
+        return False
+    ones = lambda w, s: np.ones(len(s)) if w is None else w
+    return probability_jaccard(a, ones(wa, a), b, ones(wb, b)) >= LEAST
+
+
+def read_set(s: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray | None]:
+    return np.frombuffer(s, "<u4"), np.frombuffer(w, "<f4") if len(w) else None
+
+
 def links_between(key: int, left: dict, right: dict, same: bool) -> list[tuple[int, int]]:
-    """Links that join components of one bucket's two blocks: rep, comp, s (sorted sets), bands.
+    """Links that join components of one bucket's two blocks: rep, comp, s (sorted sets), w (weights or None), bands.
 
-    Intersections with all of the right block are counted at once along its inverted lists.  A pair that shares an
-    earlier band is left to that band's bucket, and only links that join what isn't joined yet are kept.
+    Intersections with all of the right block are counted at once along its inverted lists.  A pair that shares a
+    smaller key is left to that key's bucket, and only links that join what isn't joined yet are kept.
     """
+    heavy = np.array([w is not None for w in right["w"]])
     sizes = np.array([len(x) for x in right["s"]])
     flat, row = np.concatenate(right["s"]), np.repeat(np.arange(len(sizes)), sizes)
     by = np.argsort(flat, kind="stable")
@@ -107,14 +144,17 @@ def links_between(key: int, left: dict, right: dict, same: bool) -> list[tuple[i
         n = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         both = np.bincount(row[at], minlength=len(sizes))
-        linked = (both >= LEAST * (len(mine) + sizes - both)) & (right["comp"] != left["comp"][k])
+        own = left["w"][k]
+        linked, apart = both >= LEAST * (len(mine) + sizes - both), right["comp"] != left["comp"][k]
         if same:
-            linked &= right["rep"] > left["rep"][k]
-        found = np.flatnonzero(linked)
+            apart &= right["rep"] > left["rep"][k]
+        for j in np.flatnonzero(apart & ~linked & (both > 0) & (heavy | (own is not None))).tolist():
+            linked[j] = linked_texts(mine, own, right["s"][j], right["w"][j])
+        found = np.flatnonzero(linked & apart)
         if not len(found):
             continue
-        band = int(np.flatnonzero(left["bands"][k] == key)[0])
-        found = found[~(right["bands"][found, :band] == left["bands"][k][:band]).any(axis=1)]
+        bands = left["bands"][k]
+        found = found[~np.isin(right["bands"][found], bands[bands < key]).any(axis=1)]
         for j in found.tolist():
             x, y = top(int(left["comp"][k])), top(int(right["comp"][j]))
             if x != y:
@@ -124,11 +164,18 @@ def links_between(key: int, left: dict, right: dict, same: bool) -> list[tuple[i
     return out
 
 
-SIGNED = "doc_id long, h1 long, h2 long, n int, bands array<long>, sig binary"
+SIGNED = "doc_id long, h1 long, h2 long, n int, bands array<long>, sig binary, heavy binary"
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    band = np.zeros((len(sig), BANDS), np.uint64)
+    for r in range(ROWS):
+        band = common.mix(band * np.uint64(31) + sig[:, r::ROWS])
+    return common.mix(band + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to SIGNED; n is the number of distinct shingles."""
+    """(doc_id, text) to SIGNED; n is the number of distinct shingles; heavy is the signature by weights, empty if it is sig."""
 
     def sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(rows, 1000):
@@ -137,10 +184,9 @@ def signed(docs: DataFrame) -> DataFrame:
             doc, h, count = weighted(words, first)
             n = np.bincount(doc, minlength=k)
             sig = signatures(doc, h, np.ones_like(count), k)
-            band = np.zeros((k, BANDS), np.uint64)
-            for r in range(ROWS):
-                band = common.mix(band * np.uint64(31) + sig[:, r::ROWS])
-            band = common.mix(band + np.arange(BANDS, dtype=np.uint64))
+            repeats = np.unique(doc[count > 1])
+            some = np.isin(doc, repeats)
+            heavy = signatures(np.searchsorted(repeats, doc[some]), h[some], count[some], len(repeats))
             # two hashes of the sequence of words name the class of exact copies
             place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
             whole = []
@@ -148,40 +194,53 @@ def signed(docs: DataFrame) -> DataFrame:
                 total = np.zeros(len(words) + 1, np.uint64)
                 np.cumsum(common.mix(words + common.mix(place.astype(np.uint64) + np.uint64(seed << 40))), out=total[1:])
                 whole.append(common.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64))
-            bands = [x if c else [] for x, c in zip(band.view(np.int64).tolist(), n, strict=True)]
+            bands = [x if c else [] for x, c in zip(band_keys(sig).tolist(), n, strict=True)]
+            more = [b""] * k
+            for d, own, s in zip(repeats.tolist(), band_keys(heavy).tolist(), heavy.astype("<u2"), strict=True):
+                bands[d] = bands[d] + [x for x, y in zip(own, bands[d], strict=True) if x != y]
+                more[d] = s.tobytes()
             sigs = [s.astype("<u2").tobytes() for s in sig]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole[0]), pa.array(whole[1]), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "h1", "h2", "n", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole[0]), pa.array(whole[1]), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(more, pa.binary())], ["doc_id", "h1", "h2", "n", "bands", "sig", "heavy"])
 
     common.arrow_bytes(docs.sparkSession)
     return common.save(docs.mapInArrow(sign, SIGNED), "signed")
 
 
 def _agree(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs a, b whose signatures and sizes agree."""
-    sig = nodes.select("rep", "n", "sig")
-    both = pairs.join(sig.toDF("a", "na", "sa"), "a").join(sig.toDF("b", "nb", "sb"), "b").where(F.least("na", "nb") >= 0.7 * F.greatest("na", "nb"))
+    """Pairs a, b whose signatures agree, those of sets (and their sizes) or those by weights."""
+    sig = nodes.select("rep", "n", "sig", "heavy")
+    both = pairs.join(sig.toDF("a", "na", "sa", "wa"), "a").join(sig.toDF("b", "nb", "sb", "wb"), "b")
+    both = both.where((F.least("na", "nb") >= 0.7 * F.greatest("na", "nb")) | (F.length("wa") > 0) | (F.length("wb") > 0))
 
     def look(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(rows, 1000):
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, M) for k in (2, 3))
-            ok = pa.array((x == y).mean(axis=1) >= AGREE)
+            x, y, v, w = (b.column(k).to_pylist() for k in (2, 3, 4, 5))
+            of = lambda s: np.frombuffer(b"".join(s), "<u2").reshape(-1, M)
+            sets = (of(x) == of(y)).mean(axis=1)
+            weights = (of([p or q for p, q in zip(v, x, strict=True)]) == of([p or q for p, q in zip(w, y, strict=True)])).mean(axis=1)
+            ok = pa.array(np.maximum(sets, weights) >= AGREE)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(look, "a long, b long")
+    return both.select("a", "b", "sa", "sb", "wa", "wb").mapInArrow(look, "a long, b long")
 
 
 def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id and s, the sorted set of 32-bit shingle hashes, of the whole texts of some documents (column doc_id)."""
+    """doc_id, s (the sorted set of 32-bit shingle hashes) and w (their weights, empty if all are 1) of the whole texts of some documents (column doc_id)."""
 
     def shingle(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(rows, 1000):
-            doc, h, _ = weighted(*common.word_hashes(*common.utf8(b.column(1))))
+            doc, h, count = weighted(*common.word_hashes(*common.utf8(b.column(1))))
             low = (h >> np.uint64(32)).astype("<u4")  # in order of h, and so in order
             ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(low[i:j]).tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "s"])
+            sets, weights = [], []
+            for i, j in zip(ends[:-1], ends[1:], strict=True):
+                s, at = np.unique(low[i:j], return_index=True)
+                sets.append(s.tobytes())
+                weights.append((1 + np.log(count[i:j][at])).astype("<f4").tobytes() if (count[i:j] > 1).any() else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(weights, pa.binary())], ["doc_id", "s", "w"])
 
     common.arrow_bytes(docs.sparkSession)
-    return common.save(docs.join(common.small_or_shuffled(ids, SENT_IDS), "doc_id", "left_semi").mapInArrow(shingle, "doc_id long, s binary"), "shingles")
+    return common.save(docs.join(common.small_or_shuffled(ids, SENT_IDS), "doc_id", "left_semi").mapInArrow(shingle, "doc_id long, s binary, w binary"), "shingles")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -189,12 +248,11 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(rows, 1000):
-            sim = [jaccard(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            ok = pa.array(np.array(sim) >= LEAST)
+            ok = pa.array([linked_texts(*read_set(x, v), *read_set(y, w)) for x, v, y, w in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    both = pairs.join(sets.toDF("a", "sa", "wa"), "a").join(sets.toDF("b", "sb", "wb"), "b").select("a", "b", "sa", "wa", "sb", "wb")
     links = common.save(both.mapInArrow(compare, "a long, b long"), "links")
     common.discard(sets)
     return links
@@ -234,16 +292,17 @@ def _rest(nodes: DataFrame, buckets: DataFrame, comp: DataFrame, docs: DataFrame
     row = member.withColumn("mine", F.when(in_main, of(F.col("mains"))).otherwise(F.col("mains") + of(F.col("others"))))
     row = row.join(sets.withColumnRenamed("doc_id", "rep"), "rep").join(nodes.select("rep", "bands"), "rep")
     met = F.explode(F.sequence(F.when(in_main, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1))
-    row = row.select("key", "rep", "comp", "s", "bands", "mine", met.alias("met")).withColumn("i", F.least("mine", "met")).withColumn("j", F.greatest("mine", "met"))
+    row = row.select("key", "rep", "comp", "s", "w", "bands", "mine", met.alias("met")).withColumn("i", F.least("mine", "met")).withColumn("j", F.greatest("mine", "met"))
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        side = lambda p: {"rep": p["rep"].to_numpy(), "comp": p["comp"].to_numpy(), "s": [np.frombuffer(x, "<u4") for x in p["s"]], "bands": np.stack(p["bands"].to_numpy())}
+        padded = lambda x: np.concatenate([x, np.full(2 * BANDS - len(x), x[0])])
+        side = lambda p: {"rep": p["rep"].to_numpy(), "comp": p["comp"].to_numpy(), "bands": np.stack([padded(x) for x in p["bands"]]), **dict(zip("sw", zip(*map(read_set, p["s"], p["w"]), strict=True), strict=True))}
         x, y = pdf[pdf["mine"] == i], pdf[pdf["mine"] == j]
         out = links_between(int(pdf["key"].iloc[0]), side(x), side(y), i == j) if len(x) and len(y) else []
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    found = common.save(row.select("key", "i", "j", "mine", "rep", "comp", "s", "bands").groupBy("key", "i", "j").applyInPandas(look, "a long, b long").distinct(), "rest")
+    found = common.save(row.select("key", "i", "j", "mine", "rep", "comp", "s", "w", "bands").groupBy("key", "i", "j").applyInPandas(look, "a long, b long").distinct(), "rest")
     for used in (all_members, mixed, member, sets):
         common.discard(used)
     return found
@@ -254,11 +313,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = signed(docs)
     some = table.where("n > 0 and doc_id is not null")
-    nodes = common.save(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
+    nodes = common.save(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("heavy").alias("heavy")), "nodes")
 
-    # which leader a bucket takes depends on its band, by three orders of the ids
-    placed = nodes.select("rep", F.posexplode("bands").alias("band", "key"))
-    order = F.xxhash64(F.col("rep"), F.col("band") % 3)
+    # which leader a bucket takes depends on its key, by three orders of the ids
+    placed = nodes.select("rep", F.explode("bands").alias("key"))
+    order = F.xxhash64(F.col("rep"), F.pmod("key", F.lit(3)))
     buckets = placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("leader"), F.count("*").alias("size")).where("size > 1")
     buckets = common.save(buckets.select("key", F.col("leader.rep").alias("leader")), "buckets")
     star = placed.join(buckets, "key").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,57 @@ def test_registers_estimate_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - want) < 0.03
 
 
+def probability_jaccard(a, b):
+    """The definition, on counts of shingles."""
+    wa, wb = ({k: 1 + np.log(v) for k, v in x.items()} for x in (a, b))
+    every = wa.keys() | wb.keys()
+    return sum(1 / sum(max(wa.get(e, 0) / wa[d], wb.get(e, 0) / wb[d]) for e in every) for d in wa.keys() & wb.keys())
+
+
+def counted(t):
+    w = words(t)
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def test_probability_jaccard_is_the_definition():
+    rnd = random.Random(1)
+    for _ in range(50):
+        a, b = (Counter({k: rnd.randrange(1, 9) for k in rnd.sample(range(30), 12)}) for _ in range(2))
+        x, y = (sorted(c) for c in (a, b))
+        got = probminhash.probability_jaccard(np.array(x), np.array([1 + np.log(a[k]) for k in x]), np.array(y), np.array([1 + np.log(b[k]) for k in y]))
+        assert abs(got - probability_jaccard(a, b)) < 1e-9
+
+
+def heavy_copies():
+    """Texts that repeat the same paragraph, with words of their own beside it: alike by weights, not as sets."""
+    rows = []
+    for k in range(30):
+        para = " ".join(f"p{k}x{i}" for i in range(40))
+        for j in range(3):
+            rows.append((3 * k + j, f"{para} " * 150 + " ".join(f"o{k}x{j}x{i}" for i in range(12 if j < 2 else 400))))
+    return rows
+
+
+@pytest.mark.parametrize("block", [probminhash.BLOCK, 2])
+def test_weighted_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(probminhash, "BLOCK", block)
+    rows = heavy_copies()
+    a, b, c = (t for _, t in rows[:3])
+    assert len(shingles(a) & shingles(b)) < 0.8 * len(shingles(a) | shingles(b)) and probability_jaccard(counted(a), counted(b)) > 0.8 > probability_jaccard(counted(a), counted(c))
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 1 if i % 3 == 1 else i for i, _ in rows}
+
+
+def test_links_of_blocks_by_either_measure():
+    """Of one bucket's members, all pairs in blocks give what brute force gives, by sets or by weights."""
+    rows = heavy_copies()[:12] + [(100, heavy_copies()[0][1] + " w")]
+    sets = [probminhash.weighted(*common.word_hashes(*common.utf8(pa.array([t])))) for _, t in rows]
+    side = {"rep": np.array([i for i, _ in rows]), "comp": np.array([i for i, _ in rows]), "bands": np.zeros((len(rows), 2), int), "s": [h for _, h, _ in sets], "w": [1 + np.log(c) for _, _, c in sets]}
+    got = probminhash.links_between(0, side, side, True)
+    want = {(i, o) for i, t in rows for o, u in rows if i < o and (len(shingles(t) & shingles(u)) >= 0.8 * len(shingles(t) | shingles(u)) or probability_jaccard(counted(t), counted(u)) >= 0.8)}
+    assert set(got) <= want and {x for p in got for x in p} == {x for p in want for x in p}
+
+
 # --- nearest neighbours -----------------------------------------------------------------------------
 
 

@@ -177,7 +177,7 @@ def similar_items(t: Tables):
 
 @query(
     "simhash_dups",
-    f"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id AS id, regexp_replace(regexp_replace(text, '\s+', '', 'g'), '[，。、；：？！"''“”‘’（）()【】\[\]{{{{}}}}《》·—\-–_,.;:?!/\\|+=*#~`^$@%&]', '', 'g') AS t FROM documents),
+    rf"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id AS id, regexp_replace(regexp_replace(text, '\s+', '', 'g'), '[，。、；：？！"''“”‘’（）()【】\[\]{{{{}}}}《》·—\-–_,.;:?!/\\|+=*#~`^$@%&]', '', 'g') AS t FROM documents),
     u AS (SELECT id, flatten([CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END FOR c IN regexp_extract_all(t, '(?s).')]) AS u FROM t WHERE length(t) >= 8),
     g AS (SELECT id, unnest(u[1:-2])::UBIGINT AS a, unnest(u[2:])::UBIGINT AS b FROM u),
     f AS (SELECT id, ((xor((((xor(14695981039346656037::UBIGINT, a))::UHUGEINT * 1099511628211) % 18446744073709551616)::UBIGINT, b))::UHUGEINT * 1099511628211 % 18446744073709551616)::UBIGINT AS f FROM g),

@@ -23,19 +23,19 @@ LATIN_STOP = [
 
 
 # Words of topics, for the choice of search keys; none is an anchor by itself.
-TOPIC_WORDS = (
-    "浮力 压强 密度 重力 摩擦力 杠杆 滑轮 机械效率 机械能 动能 势能 "
-    "电流 电压 电阻 欧姆定律 电功率 电功 焦耳定律 串联 并联 磁场 电磁感应 "
-    "光的反射 光的折射 凸透镜 成像 物态变化 熔化 凝固 汽化 液化 升华 "
-    "比热容 内能 热量 声音 音调 响度 速度 路程 参照物 惯性 二力平衡 "
-    "函数 一次函数 二次函数 反比例函数 方程 方程组 不等式 因式分解 分式 "
-    "三角形 全等 相似 四边形 平行四边形 矩形 菱形 梯形 圆 扇形 切线 "
-    "勾股定理 锐角三角函数 正弦 余弦 正切 概率 统计 平均数 中位数 方差 "
-    "数列 集合 导数 圆锥 圆柱 体积 表面积 "
-    "化学式 化学方程式 配平 相对分子质量 溶液 溶质 溶剂 溶解度 酸碱盐 "
-    "氧化还原 化合反应 分解反应 置换反应 复分解反应 金属活动性 pH "
-    "细胞 光合作用 呼吸作用 遗传 生态系统 文言文 古诗 阅读理解 完形填空"
-).split()
+TOPIC_WORDS = [
+    "浮力", "压强", "密度", "重力", "摩擦力", "杠杆", "滑轮", "机械效率", "机械能", "动能", "势能",
+    "电流", "电压", "电阻", "欧姆定律", "电功率", "电功", "焦耳定律", "串联", "并联", "磁场", "电磁感应",
+    "光的反射", "光的折射", "凸透镜", "成像", "物态变化", "熔化", "凝固", "汽化", "液化", "升华",
+    "比热容", "内能", "热量", "声音", "音调", "响度", "速度", "路程", "参照物", "惯性", "二力平衡",
+    "函数", "一次函数", "二次函数", "反比例函数", "方程", "方程组", "不等式", "因式分解", "分式",
+    "三角形", "全等", "相似", "四边形", "平行四边形", "矩形", "菱形", "梯形", "圆", "扇形", "切线",
+    "勾股定理", "锐角三角函数", "正弦", "余弦", "正切", "概率", "统计", "平均数", "中位数", "方差",
+    "数列", "集合", "导数", "圆锥", "圆柱", "体积", "表面积",
+    "化学式", "化学方程式", "配平", "相对分子质量", "溶液", "溶质", "溶剂", "溶解度", "酸碱盐",
+    "氧化还原", "化合反应", "分解反应", "置换反应", "复分解反应", "金属活动性", "pH",
+    "细胞", "光合作用", "呼吸作用", "遗传", "生态系统", "文言文", "古诗", "阅读理解", "完形填空",
+]
 
 
 def noise(seg: Column) -> Column:
@@ -191,3 +191,23 @@ def solution_section(df: DataFrame, key: str, solution: str, wanted: str, most:
     x = x.select(key, "__k", F.regexp_replace(marker, r"^\s+|\s+$", "").alias("marker"), body.alias("excerpt"), hits(F.col(wanted), text.normalised(body)).alias("hit")).where("excerpt <> ''")
     w = Window.partitionBy(key).orderBy(F.desc("hit"), F.when(F.col("marker").rlike("解析|详解|解答|分析"), 0).otherwise(1), F.desc(F.length("excerpt")), "__k")
     return x.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, "marker", "excerpt", "hit")
+
+
+def covering(texts: DataFrame, key: str, items: DataFrame, item: str, part: int, of: int) -> DataFrame:
+    """key, item, coverage: the texts that hold at least part / of of an item's grams (column grams, distinct, on both sides).
+
+    An item of n grams with at least m of them in a text shares one of its n - m + 1 rarest with it: only those are joined,
+    and pairs that meet are compared in full.  Items without grams and null keys have no rows; repeated rows give repeated rows.
+    """
+    asked = items.where(F.size("grams") > 0).select(item, F.col("grams").alias("q"), F.size("grams").alias("n"))
+    each = asked.select(item, "n", F.posexplode("q").alias("k", "gram"))
+    wanted = each.select("gram").distinct()
+    rows = texts.where(F.size("grams") > 0).select(key, "grams")
+    held = rows.select(key, F.explode("grams").alias("gram")).join(wanted, "gram", "left_semi")
+    df = held.groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy(item).orderBy(F.coalesce("df", F.lit(0)), "gram")
+    first = each.join(df, "gram", "left").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * part / of) + 1)
+    met = held.join(first.select(item, "gram"), "gram").select(key, item).distinct()
+    hits = F.size(F.array_intersect("q", "grams"))
+    pairs = met.join(asked, item).join(rows, key).withColumn("hits", hits).where(of * F.col("hits") >= part * F.col("n"))
+    return pairs.select(key, item, (F.col("hits") / F.col("n")).alias("coverage"))

@@ -11,10 +11,10 @@ from ..registry import Tables, query
 NOW = "2001-08-02 00:00:00"
 
 
-@query("filter_basic", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT' AND o_totalprice >= 1000 AND o_totalprice < 200000 AND o_custkey <= 1000")
+@query("filter_basic", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT' AND o_totalprice >= 1000 AND o_totalprice < 200000")
 def filter_basic(t: Tables):
     c = F.col
-    return t.orders.where((c("o_orderstatus") == "O") & (c("o_orderpriority") != "1-URGENT") & (c("o_totalprice") >= 1000) & (c("o_totalprice") < 200000) & (c("o_custkey") <= 1000)).select("o_orderkey", "o_totalprice")
+    return t.orders.where((c("o_orderstatus") == "O") & (c("o_orderpriority") != "1-URGENT") & (c("o_totalprice") >= 1000) & (c("o_totalprice") < 200000)).select("o_orderkey", "o_totalprice")
 
 
 @query("filter_null", "SELECT d.doc_id, l.quality IS NULL AS unlabelled FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL OR l.toxic IS NOT NULL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import patterns
 from ..operators import retrieval as Q
 from ..registry import Tables, query
 
@@ -161,28 +162,29 @@ def dice(t: Tables):
 
 @query(
     "coverage",
-    """WITH q AS (SELECT item_id, list_distinct(list_transform(range(1, length(k)), lambda i: substring(k, i, 2))) AS q FROM (SELECT item_id, regexp_replace(text, '[^一-龥A-Za-z0-9]', '', 'g') AS k FROM benchmark)), d AS (SELECT doc_id, list_distinct(list_transform(range(1, length(k)), lambda i: substring(k, i, 2))) AS g FROM (SELECT doc_id, regexp_replace(text, '[^一-龥A-Za-z0-9]', '', 'g') AS k FROM documents))
-    SELECT doc_id, item_id, round(len(list_intersect(q, g)) / len(q), 6) AS coverage FROM d JOIN q ON q.item_id = d.doc_id""",
+    """WITH q AS (SELECT item_id, list_distinct(list_transform(range(1, length(k)), lambda i: substring(k, i, 2))) AS q FROM (SELECT item_id, regexp_replace(text, '[^一-龥A-Za-z0-9]', '', 'g') AS k FROM benchmark)), d AS (SELECT doc_id, list_distinct(list_transform(range(1, length(k)), lambda i: substring(k, i, 2))) AS g FROM (SELECT doc_id, regexp_replace(text, '[^一-龥A-Za-z0-9]', '', 'g') AS k FROM documents)),
+    h AS (SELECT doc_id, item_id, len(q) AS n, len(list_intersect(q, g)) AS hits FROM d, q WHERE len(q) > 0) SELECT doc_id, item_id, round(hits / n, 6) AS coverage FROM h WHERE 10 * hits >= 9 * n""",
 )
 def coverage(t: Tables):
-    q = t.benchmark.select("item_id", text.bigrams(text.normalised(F.col("text"))).alias("q"))
-    d = t.documents.select("doc_id", text.bigrams(text.normalised(F.col("text"))).alias("g"))
-    return d.join(q, F.col("item_id") == F.col("doc_id")).select("doc_id", "item_id", F.round(text.coverage(F.col("q"), F.col("g")), 6).alias("coverage"))
+    q = t.benchmark.select("item_id", text.bigrams(text.normalised(F.col("text"))).alias("grams"))
+    d = t.documents.select("doc_id", text.bigrams(text.normalised(F.col("text"))).alias("grams"))
+    return Q.covering(d, "doc_id", q, "item_id", 9, 10).withColumn("coverage", F.round("coverage", 6))
 
 
 @query(
     "phrase_relevance",
-    """WITH q AS (SELECT item_id, list_distinct(list_transform(range(1, length(s) - 2, greatest(1, length(s) // 40)), lambda i: substring(s, i, 4))[1:40]) AS p FROM (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS s FROM benchmark))
-    SELECT doc_id, item_id, round(len(list_filter(p, lambda x: contains(d.k, x))) / len(p), 6) AS relevance FROM q JOIN (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS k FROM documents) d ON item_id = doc_id""",
+    """WITH q AS (SELECT item_id, list_distinct(list_transform(range(1, length(s) - 2, greatest(1, length(s) // 40)), lambda i: substring(s, i, 4))[1:40]) AS p FROM (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS s FROM benchmark)),
+    h AS (SELECT doc_id, item_id, len(p) AS n, len(list_filter(p, lambda x: contains(d.k, x))) AS hits FROM q, (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS k FROM documents) d WHERE len(p) > 0) SELECT doc_id, item_id, round(hits / n, 6) AS relevance FROM h WHERE 2 * hits >= n""",
 )
 def phrase_relevance(t: Tables):
     s = F.regexp_replace("text", r"\s+", "")
     step = F.greatest(F.lit(1), F.floor(F.length(s) / 40).cast("int"))
     at = F.slice(F.sequence(F.lit(1), F.length(s) - 3, step), 1, 40)
-    q = t.benchmark.select("item_id", F.array_distinct(F.transform(at, lambda i: F.substring(s, i, F.lit(4)))).alias("p"))
-    d = t.documents.select("doc_id", s.alias("k"))
-    hit = F.size(F.filter("p", lambda x: F.contains(F.col("k"), x)))
-    return d.join(q, F.col("item_id") == F.col("doc_id")).select("doc_id", "item_id", F.round(hit / F.size("p"), 6).alias("relevance"))
+    q = t.benchmark.where(F.length(s) >= 4).select("item_id", F.array_distinct(F.transform(at, lambda i: F.substring(s, i, F.lit(4)))).alias("p"))
+    asked = q.select("item_id", F.size("p").alias("n"), F.explode("p").alias("phrase"))
+    hits = patterns.containing(t.documents.select("doc_id", s.alias("k")), "doc_id", ["k"], asked, "phrase")
+    found = hits.join(asked, "phrase").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("hits"))
+    return found.where(2 * F.col("hits") >= F.col("n")).select("doc_id", "item_id", F.round(F.col("hits") / F.col("n"), 6).alias("relevance"))
 
 
 @query("cer", "SELECT c_custkey, round(levenshtein(c_name, n_name) / greatest(length(n_name), 1), 6) AS cer FROM customer JOIN nation ON n_nationkey = c_nationkey")

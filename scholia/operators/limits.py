@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def folded(calls: DataFrame, user: str, at: str, key: str, extra: str | None, start: Callable[[], Callable[[int, int], str]]) -> DataFrame:
@@ -92,3 +93,61 @@ def quota(most: int, running: int, window: int) -> Callable[[], Callable[[int, i
         return decide
 
     return start
+
+
+SUBMIT, DONE, FAIL = 1, 2, 3
+
+
+class Job:
+    """One user's running job: submits while it runs join it, what ends it later than ``ttl`` comes too late."""
+
+    __slots__ = ("begun", "name", "ttl")
+
+    def __init__(self, ttl: int, name: int | None = None, begun: int = 0):
+        self.ttl, self.name, self.begun = ttl, name, begun
+
+    def overdue(self, at: int) -> int | None:
+        """The job that has timed out by then; it runs no more."""
+        if self.name is None or at - self.begun <= self.ttl:
+            return None
+        gone, self.name = self.name, None
+        return gone
+
+    def take(self, at: int, event: int, kind: int) -> tuple[str, int | None]:
+        """What an event means and for which job: new, joined, done, failed, ignored."""
+        if kind == SUBMIT:
+            if self.name is not None:
+                return "joined", self.name
+            self.name, self.begun = event, at
+            return "new", event
+        if kind in (DONE, FAIL) and self.name is not None:
+            ended, self.name = self.name, None
+            return "done" if kind == DONE else "failed", ended
+        return "ignored", None
+
+
+def jobs(events: DataFrame, ttl: int) -> DataFrame:
+    """event, decision, job of each event (user, at, event, kind) in order; a task holds one user's job at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, job = object(), None
+        for pdf in batches:
+            out = []
+            for u, at, event, kind in zip(pdf["user"], pdf["at"], pdf["event"], pdf["kind"], strict=True):
+                if u != now:
+                    now, job = u, Job(ttl)
+                job.overdue(int(at))
+                out.append(job.take(int(at), int(event), int(kind)))
+            yield pd.DataFrame({"event": pdf["event"], "decision": [d for d, _ in out], "job": pd.array([j for _, j in out], dtype="Int64")})
+
+    return events.select("user", "at", "event", "kind").repartition("user").sortWithinPartitions("user", "at", "event").mapInPandas(run, "event long, decision string, job long")
+
+
+def job_runs(events: DataFrame, ttl: int, kept: int, now: int) -> DataFrame:
+    """user, job, begun, joined, ended, state of every job by ``now``: done, failed, timeout, running; purged: it began ``kept`` or longer ago."""
+    each = jobs(events, ttl).where("job IS NOT NULL").join(events.select("event", "user", "at"), "event")
+    ends = F.col("decision").isin("done", "failed")
+    runs = each.groupBy("user", "job").agg(F.min("at").alias("begun"), F.count_if(F.col("decision") == "joined").alias("joined"), F.min(F.when(ends, F.col("at"))).alias("ended"), F.max(F.when(ends, F.col("decision"))).alias("end"))
+    late = F.col("begun") + ttl
+    state = F.coalesce("end", F.when(late < now, "timeout").otherwise("running"))
+    return runs.select("user", "job", "begun", "joined", F.coalesce("ended", F.when(late < now, late)).alias("ended"), state.alias("state"), (F.col("begun") + kept < now).alias("purged"))

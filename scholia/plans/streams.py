@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import limits
 from ..registry import Tables, query
+from ..streaming import rules
 
 _HOURS = 48
 _WINDOW = _HOURS * 3_600_000_000
@@ -75,6 +76,38 @@ def job_state(t: Tables):
     return t.events.groupBy(F.col("user_id").alias("job_id")).agg(last.alias("last_event"), state.alias("state"), F.count("*").alias("attempts"))
 
 
+_TTL, _KEPT, _NOW = 12 * 3_600_000_000, 24 * 3_600_000_000, 1_706_659_200_000_000  # by the end of January 2024
+
+
+@query(
+    "job_runs",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t0, event_type AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type IN ('click', 'purchase', 'error')),
+    f(user_id, r, t0, job, begun, active, decision) AS (SELECT user_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT, 0::BIGINT, FALSE, '' FROM e WHERE r = 1
+    UNION ALL SELECT user_id, r, t0, CASE WHEN k = 'click' AND NOT live THEN event_id WHEN live THEN job END, CASE WHEN k = 'click' AND NOT live THEN t0 ELSE begun END, k = 'click', CASE WHEN k = 'click' THEN CASE WHEN live THEN 'joined' ELSE 'new' END WHEN NOT live THEN 'ignored' WHEN k = 'purchase' THEN 'done' ELSE 'failed' END
+    FROM (SELECT e.*, f.job, f.begun, f.active AND e.t0 - f.begun <= {_TTL} AS live FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)),
+    g AS (SELECT user_id, job, min(t0) AS begun, count(*) FILTER (decision = 'joined') AS joined, min(t0) FILTER (decision IN ('done', 'failed')) AS ended, max(decision) FILTER (decision IN ('done', 'failed')) AS state FROM f WHERE job IS NOT NULL AND decision <> 'ignored' GROUP BY ALL)
+    SELECT user_id, job, begun, joined, coalesce(ended, CASE WHEN begun + {_TTL} < {_NOW} THEN begun + {_TTL} END) AS ended, coalesce(state, CASE WHEN begun + {_TTL} < {_NOW} THEN 'timeout' ELSE 'running' END) AS state, begun + {_KEPT} < {_NOW} AS purged FROM g""",
+)
+def job_runs(t: Tables):
+    kind = F.when(F.col("event_type") == "click", limits.SUBMIT).when(F.col("event_type") == "purchase", limits.DONE).when(F.col("event_type") == "error", limits.FAIL)
+    events = t.events.select(F.col("user_id").alias("user"), F.col("event_id").alias("event"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), kind.alias("kind")).where("kind IS NOT NULL")
+    return limits.job_runs(events, _TTL, _KEPT, _NOW).withColumnRenamed("user", "user_id")
+
+
+@query(
+    "mirror_audit",
+    """WITH l AS (SELECT 'first' AS sink, day(ts) AS batch, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'second', day(ts), count(*) FROM events WHERE day(ts) % 7 <> 3 AND NOT (day(ts) % 5 = 0 AND event_type = 'error') GROUP BY 2)
+    SELECT batch::INTEGER AS batch, a.n AS rows, CASE WHEN b.n IS NULL THEN 'missing' WHEN b.n <> a.n THEN 'differs' ELSE 'both' END AS state FROM (SELECT * FROM l WHERE sink = 'first') a LEFT JOIN (SELECT * FROM l WHERE sink = 'second') b USING (batch)""",
+)
+def mirror_audit(t: Tables):
+    day = F.dayofmonth("ts")
+    rows = t.events.select(day.alias("batch"), "event_type")
+    batch = F.col("batch")
+    first = rows.groupBy("batch").agg(F.count("*").alias("rows")).withColumn("sink", F.lit("first"))
+    second = rows.where((batch % 7 != 3) & ~((batch % 5 == 0) & (F.col("event_type") == "error"))).groupBy("batch").agg(F.count("*").alias("rows")).withColumn("sink", F.lit("second"))
+    return rules.audit(first.unionByName(second))
+
+
 @query("daily_quota", "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS used, count(*) < 5 AS ok FROM events GROUP BY 1, 2")
 def daily_quota(t: Tables):
     e = t.events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("used"))

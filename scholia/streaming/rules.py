@@ -9,6 +9,7 @@ those are extensions of this engine.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from ..operators.limits import DONE, FAIL, SUBMIT, Job
 from ..operators.review import INTERVALS, STAGES
 
+log = logging.getLogger(__name__)
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -113,19 +117,132 @@ def review_state(events: DataFrame) -> DataFrame:
     return _keyed(log).transformWithStateInPandas(ReviewState(), "user_id long, review_count int, review_lapses int, wait_days int", "Update", "None")
 
 
-def dual_write(stream: DataFrame, first: str, second: str, checkpoint: str):
-    """Every micro-batch to two Parquet sinks; the second is best effort and never holds the first up."""
+class JobRuns(StatefulProcessor):
+    """Runs of a user's jobs: submits join what runs, a run that lasts longer than ``ttl`` times out, and all is forgotten after ``kept``.
 
-    def put(df: DataFrame, number: int) -> None:
-        df.persist()
-        df.write.mode("overwrite").parquet(f"{first}/batch={number}")
-        try:
-            df.write.mode("overwrite").parquet(f"{second}/batch={number}")
-        except Exception as e:  # the mirror is caught up from the first sink
-            print(f"mirror of batch {number} failed: {e}")
-        df.unpersist()
+    The state is the running job and, for each job, when it is to be forgotten.  Times are those of events: a timer ends a
+    run that nobody ends, and another one purges; both survive a restart with the checkpoint.
+    """
+
+    def __init__(self, ttl: int, kept: int):
+        self.ttl, self.kept = ttl, kept
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.running = handle.getValueState("running", StructType([StructField("job", LongType()), StructField("begun", LongType())]))
+        self.known = handle.getMapState("known", StructType([StructField("job", LongType())]), StructType([StructField("until", LongType())]))
+
+    def _rows(self, key, rows: list[tuple[int, int, str]]) -> pd.DataFrame:
+        job, at, state = zip(*rows, strict=True) if rows else ((), (), ())
+        whole = {"user_id": [key[0]] * len(rows), "job": job, "at": at}
+        return pd.DataFrame({c: pd.Series(x, dtype="int64") for c, x in whole.items()} | {"state": pd.Series(state, dtype=object)})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        job, out = Job(self.ttl, *(self.running.get() if self.running.exists() else ())), []
+        for r in pd.concat(list(rows)).sort_values(["at", "event_id"]).itertuples():
+            gone = job.overdue(int(r.at))
+            if gone is not None:
+                out.append((gone, job.begun + self.ttl, "timeout"))
+            decision, name = job.take(int(r.at), int(r.event_id), int(r.kind))
+            if decision != "ignored":
+                out.append((name, int(r.at), decision))
+            if decision == "new":
+                self.known.updateValue((name,), (int(r.at) + self.kept,))
+                for wait in (self.ttl, self.kept):
+                    self.handle.registerTimer((int(r.at) + wait) // 1000 + 1)
+        if job.name is None:
+            self.running.clear()
+        else:
+            self.running.update((job.name, job.begun))
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = expiredTimerInfo.getExpiryTimeInMs() * 1000, []
+        if self.running.exists():
+            name, begun = self.running.get()
+            if now - begun > self.ttl:
+                out.append((name, begun + self.ttl, "timeout"))
+                self.running.clear()
+        for (name,), (until,) in list(self.known.iterator()):
+            if until < now:
+                out.append((name, until, "purged"))
+                self.known.removeKey((name,))
+        yield self._rows(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def job_runs(events: DataFrame, ttl: int, kept: int, late: str = "1 hour") -> DataFrame:
+    """user_id, job, at, state (new, joined, done, failed, timeout, purged): what happens to jobs; clicks submit, purchases and errors end.  ttl, kept in microseconds."""
+    kind = F.when(F.col("event_type") == "click", SUBMIT).when(F.col("event_type") == "purchase", DONE).when(F.col("event_type") == "error", FAIL)
+    log = events.withWatermark("ts", late).select("ts", "user_id", "event_id", kind.alias("kind"), F.unix_micros("ts").alias("at")).where("kind IS NOT NULL")
+    return log.groupBy("user_id").transformWithStateInPandas(JobRuns(ttl, kept), "user_id long, job long, at long, state string", "Append", "EventTime")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+LEDGER = "sink string, batch long, rows long"
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """LEDGER: the batches that each sink has in full; empty before the first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(LEDGER).parquet(f"{path}/*/*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def audit(entries: DataFrame) -> DataFrame:
+    """batch, rows, state (both, missing, differs): how the second sink stands for each batch of the first, by their ledgers (sink, batch, rows)."""
+    first, second = (entries.where(F.col("sink") == s).select("batch", F.col("rows").alias(n)) for s, n in (("first", "rows"), ("second", "there")))
+    state = F.when(F.col("there").isNull(), "missing").when(F.col("there") != F.col("rows"), "differs").otherwise("both")
+    return first.join(second, "batch", "left").select("batch", "rows", state.alias("state"))
+
+
+class TwoSinks:
+    """Batches to two Parquet sinks, each row once in both, whatever fails in between.
+
+    A batch is a folder named by its number that is written over, so a batch that runs again leaves no second copy; the
+    ledger says that a sink has a batch only once its folder is whole.  The second sink is best effort: if it fails, the
+    batch goes on, and the next one (or ``catch_up``) copies what the ledger says is missing from the first.
+    """
+
+    def __init__(self, first: str, second: str, ledger_path: str):
+        self.paths, self.ledger_path = {"first": first, "second": second}, ledger_path
+
+    def write(self, df: DataFrame, sink: str, batch: int) -> None:
+        """Any failure is raised; the ledger comes last."""
+        spark, path = df.sparkSession, f"{self.paths[sink]}/batch={batch}"
+        df.write.mode("overwrite").parquet(path)
+        rows = spark.read.schema(df.schema).parquet(path).count()
+        spark.createDataFrame([(sink, batch, rows)], LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{self.ledger_path}/{sink}/{batch}")
+
+    def put(self, df: DataFrame, batch: int) -> None:
+        df = df.persist()
+        try:
+            self.write(df, "first", batch)
+            try:
+                self.catch_up(df.sparkSession, df.schema)
+            except Exception as e:  # the ledger has it that the mirror lacks the batch
+                log.warning("the second sink is behind since batch %s: %s", batch, e)
+        finally:
+            df.unpersist()
+
+    def catch_up(self, spark: SparkSession, schema: StructType) -> int:
+        """Copies the batches that the second sink lacks; how many.  The batches it lacks are few: it is behind by what failed."""
+        behind = [r["batch"] for r in audit(ledger(spark, self.ledger_path)).where("state <> 'both'").orderBy("batch").collect()]
+        for batch in behind:
+            self.write(spark.read.schema(schema).parquet(f"{self.paths['first']}/batch={batch}"), "second", batch)
+        return len(behind)
+
+
+def dual_write(stream: DataFrame, first: str, second: str, checkpoint: str, ledger_path: str | None = None):
+    """Every micro-batch to two Parquet sinks (see ``TwoSinks``); the ledger is beside the first sink unless a path is given."""
+    sinks = TwoSinks(first, second, ledger_path or f"{first.rstrip('/')}-ledger")
+    return stream.writeStream.foreachBatch(sinks.put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed(events: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

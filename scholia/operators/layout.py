@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .graph import components, cut
 
 _XY = ("x0", "y0", "x1", "y1")
 
@@ -203,3 +204,35 @@ def stroke_width(ink: DataFrame, image: str, longest: int) -> DataFrame:
     at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("runs") * p), F.col("n")))
     g = sizes.groupBy(image).agg(F.max("runs").alias("runs"), ((at(0.4) + at(0.6)) / 2).alias("width"))
     return g.withColumn("width", F.when(F.col("runs") >= FEWEST_RUNS, F.col("width")).otherwise(0.0))
+
+
+#: Columns of a tile, in which runs of neighbouring rows meet, and bits of a coordinate in a run's name.
+TILE, COORDINATE_BITS = 64, 20
+
+
+def ink_runs(ink: DataFrame, image: str) -> DataFrame:
+    """image, y, x0, x1: the runs of ink (image, x, y; repeated pixels count once) in every row."""
+    along = Window.partitionBy(image, "y").orderBy("x")
+    start = (F.col("x") - F.row_number().over(along)).alias("start")
+    return ink.select(image, "x", "y").distinct().select(image, "x", "y", start).groupBy(image, "y", "start").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("start")
+
+
+def ink_components(ink: DataFrame, image: str) -> DataFrame:
+    """image, label (from 0, by first pixel), x0, y0, x1, y1, n (pixels): the regions of ink that hang together, corners included.
+
+    Runs of a row are the nodes; a run touches those of the row above that begin at most one pixel behind it and end at
+    most one before it.  They meet in tiles of the row, so a row's runs aren't paired with each other; labels then jump
+    (``graph.components``), so a long region takes few rounds.  Images may be of any number; coordinates are from 0 to 2^20 - 1,
+    images are integers.  Null coordinates are no pixels; an empty table has no regions.
+    """
+    name = F.col(image).cast("long") * (1 << 2 * COORDINATE_BITS) + F.col("y") * (1 << COORDINATE_BITS) + F.col("x0")
+    runs = cut(ink_runs(ink.where("x IS NOT NULL AND y IS NOT NULL"), image).withColumn("run", name))
+    tiles = lambda reach: F.explode(F.sequence(F.floor((F.col("x0") - reach) / TILE), F.floor((F.col("x1") + reach) / TILE)))
+    below = runs.select(image, "y", "x0", "x1", "run", tiles(1).alias("tile"))
+    above = runs.select(image, (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("run").alias("up"), tiles(0).alias("tile"))
+    touch = below.join(above, [image, "y", "tile"]).where((F.col("a0") <= F.col("x1") + 1) & (F.col("a1") >= F.col("x0") - 1)).select("run", "up").distinct()
+    comp = components(touch, "run", "up").withColumnRenamed("node", "run")
+    whole = runs.join(comp, "run", "left").groupBy(image, F.coalesce("comp", "run").alias("comp")).agg(
+        F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"), F.sum(F.col("x1") - F.col("x0") + 1).alias("n")
+    )
+    return whole.withColumn("label", F.row_number().over(Window.partitionBy(image).orderBy("comp")) - 1).select(image, "label", "x0", "y0", "x1", "y1", "n")

@@ -62,15 +62,33 @@ def row_cluster(t: Tables):
     return layout.rows_of_lines(_marks(t), "page")
 
 
+def _ink(t: Tables):
+    image = F.col("l_suppkey") % 23
+    return t.lineitem.where(image < F.col("l_quantity") / 2).select(image.alias("image"), (F.col("l_partkey") % 90).alias("x"), (F.col("l_orderkey") % 120).alias("y"))
+
+
+_INK = "SELECT DISTINCT l_suppkey % 23 AS image, l_partkey % 90 AS x, l_orderkey % 120 AS y FROM lineitem WHERE l_suppkey % 23 < l_quantity / 2"
+
+
+@query(
+    "ink_components",
+    f"""WITH RECURSIVE p AS ({_INK}), r AS MATERIALIZED (SELECT image, y, min(x) AS x0, max(x) AS x1, row_number() OVER (ORDER BY image, y, min(x)) AS k FROM (SELECT *, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS start FROM p) GROUP BY image, y, start),
+    t AS MATERIALIZED (SELECT a.k AS u, b.k AS v FROM r a JOIN r b ON b.image = a.image AND abs(b.y - a.y) = 1 AND b.x0 <= a.x1 + 1 AND b.x1 >= a.x0 - 1),
+    c(k, label) USING KEY (k) AS (SELECT k, k FROM r UNION SELECT t.u, min(n.label) FROM c n JOIN t ON t.v = n.k JOIN recurring.c o ON o.k = t.u WHERE n.label < o.label GROUP BY t.u),
+    g AS (SELECT image, label, min(x0) AS x0, min(y) AS y0, max(x1) AS x1, max(y) AS y1, sum(x1 - x0 + 1)::BIGINT AS n FROM r JOIN c USING (k) GROUP BY image, label)
+    SELECT image, row_number() OVER (PARTITION BY image ORDER BY label) - 1 AS label, x0, y0, x1, y1, n FROM g""",
+)
+def ink_components(t: Tables):
+    return layout.ink_components(_ink(t), "image")
+
+
 @query(
     "stroke_width",
     """WITH p AS (SELECT DISTINCT l_suppkey % 23 AS image, l_partkey % 90 AS x, l_orderkey % 120 AS y FROM lineitem WHERE l_suppkey % 23 < l_quantity / 2), r AS (SELECT image, y, count(*) AS n FROM (SELECT *, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS start FROM p) GROUP BY image, y, start)
     SELECT image, len(l) AS runs, CASE WHEN len(l) < 24 THEN 0.0 ELSE (l[CAST(floor(len(l) * 0.4) AS BIGINT) + 1] + l[CAST(floor(len(l) * 0.6) AS BIGINT) + 1]) / 2.0 END AS width FROM (SELECT image, coalesce(list(n ORDER BY n) FILTER (WHERE n BETWEEN 2 AND 12), []) AS l FROM r GROUP BY 1)""",
 )
 def stroke_width(t: Tables):
-    image = F.col("l_suppkey") % 23
-    ink = t.lineitem.where(image < F.col("l_quantity") / 2).select(image.alias("image"), (F.col("l_partkey") % 90).alias("x"), (F.col("l_orderkey") % 120).alias("y"))
-    return layout.stroke_width(ink, "image", 12)
+    return layout.stroke_width(_ink(t), "image", 12)
 
 
 @query("reading_order")

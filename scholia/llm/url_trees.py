@@ -2,14 +2,15 @@
 
 Features: lengths of URL, host and path, depth, digit ratio, entropy of the host's and path's bytes, parameters,
 hyphens, labels of the host, and statistics of the host's suffixes: how many labelled URLs end in the same two and
-three labels, and the smoothed share of blocked ones among them; and the same for the words of the host's name (the
-largest share).  A labelled URL's own host is left out of its statistics.  Boosting fits histogram trees of depth
+three labels, and the smoothed share of blocked ones among them; and the same for the words of the host's name and for those of
+path and query (the largest share).  A labelled URL's own host is left out of its statistics.  Boosting fits histogram trees of depth
 ``DEPTH`` to the gradient of the log loss, in numpy.
 
 Labelled URLs are a table (url, blocked), of which a bounded sample is taken: at most ``SAMPLE`` distinct URLs, those
 of the smallest hashes.  Without a table they are ``made_up`` ones: URLs of our own making, of unwanted and of harmless
-sites, whose paths and suffixes tell nothing.  The rules' verdicts are no labels; rules always decide the URLs they fit.
-``Filter.auc`` is the area under the curve over the hosts of every fifth hash, by trees that didn't see them.
+sites, made by no table's pattern.  The rules' verdicts are no labels; rules always decide the URLs they fit.
+``Filter.auc`` is the area under the curve over the hosts of every fifth hash, by trees that didn't see them; ``auc_by_group`` is
+that of labels whose words the trees have never seen, with all features and with some.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and fits no rule; URLs of any length are
 whole; repeated rows give repeated rows; without labels of both kinds the trees allow; an empty table gives an empty
@@ -18,6 +19,7 @@ table; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,37 +33,63 @@ from . import common
 # The rules, as host and path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
-# Words of the names of made-up sites, and of their paths.
+# Words by which lists of unwanted sites name gambling, loans, medicines, copies, adult pages, advertising and malware.
 UNWANTED = (
-    "casino poker bet bets slots jackpot win winner bonus prize lottery gamble loan loans credit cash payday debt pills viagra pharma meds cheap replica watches outlet discount deal deals free gift "
-    "offer promo seo links traffic clicks ads ad track tracker tracking popup banner affiliate spam farm scam hack crack warez torrent adult xxx x sex cam cams porn escort dating hot girls crypto coin forex"
+    "casino poker bet bets betting slots jackpot roulette lottery gambling sportsbook payday debt loans cashadvance pills viagra cialis pharma steroids replica counterfeit knockoff warez torrent crack keygen "
+    "adult porn xxx sex escort camgirls hookup popunder clickbait adserver ads adware tracker spam phishing scam malware trojan hacked botnet fakeid doubler getrich"
+).split()
+# Words that sites of both kinds use, and words of sites that nobody minds.
+COMMON = (
+    "free gift deal deals offer offers bonus win winner prize cheap best top discount sale shop store online credit money crypto coin forex trade data track link links promo cash farm hot live club game games "
+    "network media world web click page home info group team plus pro direct express secure safe my the new daily"
 ).split()
 HARMLESS = (
-    "library museum school college news times post journal garden kitchen recipes weather history science music theatre city river lake forest mountain travel books authors press letters daily open "
-    "data code docs guide health clinic family village north south saint new old green blue house home studio art gallery sport league club radio town county state union centre research review world"
+    "library museum school college news times post journal garden kitchen recipes weather history science music theatre city river lake forest mountain travel books authors press letters open "
+    "code docs guide health clinic family village north south saint old green blue house studio art gallery sport league radio town county state union centre research review church bakery farmers cycling"
 ).split()
-SYLLABLES = "th er an in on re ti es st en at nd or ea ng al is ar ed le te se ve co de ra ro li ri io ne me na to ma".split()
-PLACES = "en de fr es it news blog articles shop page wiki about view item topics archive".split()
-MADE_UP = 4000
+CONSONANTS, VOWELS = "b c d f g h j k l m n p r s t v w z br ch cl cr dr fr gr kl pl pr sch sl sp st str th tr".split(), "a e i o u ai ea ei ie oo ou".split()
+PLACES = "en de fr es it news blog articles shop page wiki about view item topics archive category product tag post img".split()
+DOMAINS = "com com com net net org info de fr it es nl pl eu io co co.uk com.br co.jp edu gov".split()
+CHEAP_DOMAINS = "xyz top click icu loan win bid".split()
+PARAMETERS, TRACKING = "id page q lang ref sort view date utm_source utm_campaign".split(), "aff affid clickid subid pid offer_id redirect".split()
+MADE_UP = 6000
+
 
+def made_up(n: int = MADE_UP, seed: int = 6, words=lambda w: True) -> list[tuple[str, int]]:
+    """n labelled URLs, half of them unwanted: 1 is block.  words: which words may be used.
 
-def made_up(n: int = MADE_UP, seed: int = 6) -> list[tuple[str, int]]:
-    """n labelled URLs: 1 is block."""
+    Hosts, hyphens, depths and languages are made alike for both kinds.  An unwanted URL has unwanted words in its host,
+    its path or its query, or (one of twelve) only its form: a long host with many digits, many tracking parameters, a cheap domain.
+    Common words are in both kinds.
+    """
     rng = np.random.default_rng(seed)
+    unwanted, common_, harmless = ([w for w in ws if words(w)] for ws in (UNWANTED, COMMON, HARMLESS))
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    word = lambda: "".join(pick(SYLLABLES) for _ in range(int(rng.integers(2, 5))))
+    name = lambda: "".join(pick(CONSONANTS) + pick(VOWELS) + (pick(CONSONANTS) if rng.random() < 0.4 else "") for _ in range(int(rng.integers(1, 4))))
+    digits = lambda k: "".join(str(int(rng.integers(10))) for _ in range(k))
     out = []
     for k in range(n):
-        blocked, r = k % 2, rng.random()
-        if blocked:
-            first, second = pick(UNWANTED), pick(UNWANTED)
-            name = f"{first}-{second}" if r < 0.6 else f"{first}{second}" if r < 0.7 else f"{first}-{word()}" if r < 0.8 else f"{first}-{second}-{pick(UNWANTED)}" if r < 0.9 else f"{word()}-{second}{rng.integers(1, 999)}"
-        else:
-            name = word() if r < 0.5 else pick(HARMLESS) if r < 0.6 else f"{pick(HARMLESS)}{pick(HARMLESS)}" if r < 0.75 else f"{pick(HARMLESS)}-{pick(HARMLESS)}" if r < 0.9 else f"{word()}-{word()}"
-        domain = pick(["com", "net", "org", "info", "de", "fr", "example", "example.com", "example.net", "example.org", "co.uk"])
-        path = "/".join(pick([*PLACES, word(), str(rng.integers(1, 9999))]) for _ in range(int(rng.integers(0, 4))))
-        query = "&".join(f"{pick(['id', 'ref', 'page', 'utm_source', 'q'])}={pick([word(), str(rng.integers(1, 999))])}" for _ in range(int(rng.integers(0, 3 + blocked))))
-        out.append((f"{pick(['http', 'https'])}://{pick(['', 'www.', 'm.', 'blog.', ''])}{name}.{domain}/{path}{pick(['', '/', '.html', '#top'])}{'?' + query if query else ''}", blocked))
+        blocked = k % 2
+        where = rng.choice(["host", "path", "query", "form"], p=[0.62, 0.2, 0.1, 0.08]) if blocked else ""
+        good = lambda: pick([pick(harmless), pick(common_), name(), name()])
+        host = [good() for _ in range(int(rng.integers(1, 4)))]
+        path = [pick([pick(PLACES), pick(PLACES), good(), digits(int(rng.integers(1, 5))), f"{good()}-{good()}"]) for _ in range(int(rng.integers(0, 4)))]
+        query = [f"{pick(PARAMETERS)}={pick([good(), digits(3)])}" for _ in range(int(rng.integers(0, 3)))]
+        if where == "host":
+            host[int(rng.integers(len(host)))] = pick(unwanted)
+        elif where == "path":
+            path += [pick([f"{pick(unwanted)}-{good()}", pick(unwanted), f"{good()}-{pick(unwanted)}.html"])] + ([pick(unwanted)] if rng.random() < 0.5 else [])
+        elif where == "query":
+            query += [f"{pick([*PARAMETERS, *TRACKING])}={pick(unwanted)}"]
+        elif where == "form":
+            host = [name() + digits(int(rng.integers(4, 9))), name() + digits(3)]
+            query += [f"{pick(TRACKING)}={digits(int(rng.integers(6, 14)))}" for _ in range(int(rng.integers(3, 7)))]
+        if rng.random() < (0.3 if blocked else 0.1):
+            query += [f"{pick(TRACKING)}={digits(int(rng.integers(3, 9)))}"]
+        tld = pick(CHEAP_DOMAINS) if rng.random() < (0.2 if blocked else 0.01) else pick(DOMAINS)
+        joined = pick(["-", "-", ".", "-"]).join(host)
+        tail = pick(["", "/", ".html", "#top"]) if path else pick(["", "/"])
+        out.append((f"{pick(['http', 'https'])}://{pick(['', '', 'www.', 'm.', 'blog.', 'shop.'])}{joined}.{tld}{'/' if path else ''}{'/'.join(path)}{tail}{'?' + '&'.join(query) if query else ''}", blocked))
     return out
 
 
@@ -70,7 +98,8 @@ DEPTH = 3
 TREES = 40
 BINS = 32
 RATE = 0.2
-FEATURES = ["url_length", "host_length", "path_length", "depth", "digits", "host_entropy", "path_entropy", "parameters", "hyphens", "labels", "https", "suffix_count", "suffix_blocked", "site_count", "site_blocked", "word_count", "word_blocked"]
+FEATURES = ["url_length", "host_length", "path_length", "depth", "digits", "host_entropy", "path_entropy", "parameters", "hyphens", "labels", "https", "suffix_count", "suffix_blocked", "site_count", "site_blocked", "word_count", "word_blocked", "text_count", "text_blocked"]
+GROUPS = {"form": FEATURES[:11], "suffixes": FEATURES[11:15], "words of hosts": FEATURES[15:17], "words of paths and queries": FEATURES[17:]}
 #: What the smoothed shares of statistics are drawn to the common share by, in URLs.
 SMOOTH = 4
 
@@ -129,10 +158,18 @@ def suffix_keys(host: str) -> tuple[list[str], list[str], list[str]]:
     return [".".join(labels[-2:])], [".".join(labels[-3:])], ["-" + w for x in labels[:-1] for w in x.split("-") if len(w) > 1]
 
 
+_TEXT_WORD = re.compile(r"[a-z]{2,}")
+
+
+def text_keys(path: str, query: str) -> list[str]:
+    """The words of path and query; a path of any length has no more keys than words."""
+    return ["/" + w for w in dict.fromkeys(_TEXT_WORD.findall(f"{path} {query}".lower()))]
+
+
 class Statistics:
-    """Labelled URLs and blocked ones by suffix and word."""
+    """Labelled URLs and blocked ones by suffix and word; texts: path and query of each URL, if they count."""
 
-    def __init__(self, hosts: list[str], y: np.ndarray):
+    def __init__(self, hosts: list[str], y: np.ndarray, texts: list[tuple[str, str]] | None = None):
         self.rate = (float(y.sum()) + 1) / (len(y) + 2)
         self.hosts: dict[str, list[float]] = {}
         for h, b in zip(hosts, y, strict=True):
@@ -146,19 +183,31 @@ class Statistics:
                 c[0] += n
                 c[1] += b
 
+        self.texts: dict[str, list[float]] = {}
+        for text, b in zip(texts or (), y.tolist() if texts else (), strict=True):
+            for key in text_keys(*text):
+                c = self.texts.setdefault(key, [0, 0])
+                c[0] += 1
+                c[1] += b
+
+    def _share(self, kept: dict[str, list[float]], keys: list[str], n0: float, b0: float) -> list[float]:
+        """Of the key with the largest share of blocked ones: how many URLs, and the share."""
+        share, count = self.rate, 0.0
+        for key in keys:
+            n, b = kept.get(key, (n0, b0))
+            if n > n0:
+                s = (b - b0 + SMOOTH * self.rate) / (n - n0 + SMOOTH)
+                if not count or s > share:
+                    share, count = s, n - n0
+        return [float(np.log1p(count)), share]
+
     def features(self, host: str, leave_out: bool = False) -> list[float]:
         n0, b0 = self.hosts.get(host, (0, 0)) if leave_out else (0, 0)
-        out = []
-        for keys in suffix_keys(host):
-            share, count = self.rate, 0.0
-            for key in keys:
-                n, b = self.keys.get(key, (n0, b0))
-                if n > n0:
-                    s = (b - b0 + SMOOTH * self.rate) / (n - n0 + SMOOTH)
-                    if not count or s > share:
-                        share, count = s, n - n0
-            out += [float(np.log1p(count)), share]
-        return out
+        return [x for keys in suffix_keys(host) for x in self._share(self.keys, keys, n0, b0)]
+
+    def text_features(self, path: str, query: str, own: float | None = None) -> list[float]:
+        """own: the label of a URL that is itself among those counted."""
+        return self._share(self.texts, text_keys(path, query), *((0, 0) if own is None else (1, own)))
 
 
 def auc(y: np.ndarray, p: np.ndarray) -> float:
@@ -187,13 +236,29 @@ class Filter:
     def _fit(self, labelled: list[tuple[str, int]]) -> None:
         cut = [split(u) for u, _ in labelled]
         y = np.array([b for _, b in labelled], float)
-        self.statistics = Statistics([c[0] for c in cut], y)
-        x = [lexical(u, *c) + self.statistics.features(c[0], True) for (u, _), c in zip(labelled, cut, strict=True)]
+        self.statistics = Statistics([c[0] for c in cut], y, [c[1:] for c in cut])
+        x = [lexical(u, *c) + self.statistics.features(c[0], True) + self.statistics.text_features(*c[1:], float(b)) for (u, b), c in zip(labelled, cut, strict=True)]
         self.trees = Trees(np.array(x).reshape(len(x), len(FEATURES)), y)
 
     def probability(self, urls: list[str], cut: list[tuple[str, str, str]] | None = None) -> np.ndarray:
         cut = [split(u) for u in urls] if cut is None else cut
-        return self.trees.probability(np.array([lexical(u, *c) + self.statistics.features(c[0]) for u, c in zip(urls, cut, strict=True)]).reshape(len(urls), len(FEATURES)))
+        return self.trees.probability(self.table(urls, cut))
+
+    def table(self, urls: list[str], cut: list[tuple[str, str, str]]) -> np.ndarray:
+        return np.array([lexical(u, *c) + self.statistics.features(c[0]) + self.statistics.text_features(*c[1:]) for u, c in zip(urls, cut, strict=True)]).reshape(len(urls), len(FEATURES))
+
+
+def auc_by_group(known: list[tuple[str, int]], other: list[tuple[str, int]]) -> dict[str, float]:
+    """By trees of ``known``, the area under the curve over ``other``: with all features, and with each group alone."""
+    model, y = Filter(known), np.array([b for _, b in other])
+    cut, own = [split(u) for u, _ in known], np.array([b for _, b in known], float)
+    x = np.array([lexical(u, *c) + model.statistics.features(c[0], True) + model.statistics.text_features(*c[1:], float(b)) for (u, b), c in zip(known, cut, strict=True)])
+    z = model.table([u for u, _ in other], [split(u) for u, _ in other])
+    out = {"all": auc(y, model.trees.probability(z))}
+    for group, names in GROUPS.items():
+        at = [FEATURES.index(f) for f in names]
+        out[group] = auc(y, Trees(x[:, at], own).probability(z[:, at]))
+    return out
 
 
 class Trees:

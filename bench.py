@@ -18,6 +18,7 @@ from scholia.queries import QUERIES
 HEADLINE = [
     "due_first_accuracy", "overview_counts", "page_total", "keyword_search", "multi_join", "exists_count", "quota_usage", "tier_cost", "stagger_schedule", "due_order", "dup_top20", "median_mad",
     "review_replay", "review_summary", "recall_dual", "answer_cascade", "range_join", "gate_reason", "unique_select", "normalize", "cosine_topk", "sliding_rate", "job_state",
+    "simhash_dups", "references_topk", "mark_clusters", "locate_questions",
 ]
 
 

@@ -63,3 +63,28 @@ def lifted(nodes: DataFrame, gone: DataFrame, key: str, parent: str) -> DataFram
     up = closure(nodes, key, parent).where("depth > 0").join(stay, "ancestor")
     nearest = up.groupBy(F.col("node").alias(key)).agg(F.min_by("ancestor", "depth").alias("new_parent"))
     return marked.where("gone is null").select(key).join(nearest, key, "left").select(key, F.col("new_parent").alias(parent))
+
+
+def crawl(nodes: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, depth, state (listed, skipped, file) of all that a crawl meets, level by level from the roots (id).
+
+    nodes: id, parent, is_dir, mtime, as they are now; known: id, mtime, as they were.  A directory whose time is the known one
+    is skipped with all below it; roots are always listed.  Each level is one join of its directories with what they hold,
+    and written, so a level that is lost is done again alone.  What was met before isn't met again, so circles end; null
+    times are changed; ids met in one level by several parents count once; without roots nothing is met.
+    """
+    old = known.select("id", F.col("mtime").alias("was")).where("was IS NOT NULL").dropDuplicates(["id", "was"]).groupBy("id").agg(F.collect_set("was").alias("was"))
+    child = nodes.where("id IS NOT NULL").select("id", "parent", "is_dir", "mtime")
+    level = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)).withColumn("state", F.lit("listed")))
+    met = level
+    depth = 0
+    while True:
+        depth += 1
+        found = child.join(level.where("state = 'listed'").select(F.col("id").alias("parent")), "parent").groupBy("id").agg(F.max("is_dir").alias("is_dir"), F.max("mtime").alias("mtime"))
+        found = found.join(met.select("id"), "id", "left_anti").join(old, "id", "left")
+        same = F.coalesce(F.array_contains("was", F.col("mtime")), F.lit(False))
+        state = F.when(~F.coalesce("is_dir", F.lit(False)), "file").when(same, "skipped").otherwise("listed")
+        level = cut(found.select("id", F.lit(depth).alias("depth"), state.alias("state")))
+        if level.isEmpty():
+            return met
+        met = met.unionByName(level)

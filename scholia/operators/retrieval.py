@@ -211,3 +211,33 @@ def covering(texts: DataFrame, key: str, items: DataFrame, item: str, part: int,
     hits = F.size(F.array_intersect("q", "grams"))
     pairs = met.join(asked, item).join(rows, key).withColumn("hits", hits).where(of * F.col("hits") >= part * F.col("n"))
     return pairs.select(key, item, (F.col("hits") / F.col("n")).alias("coverage"))
+
+
+# The number at the head of a line, and what blocks and whole texts must have.
+NUMBERED_LINE = rf"^(?:第\s*[{text.HAN}\d]{{1,3}}\s*(?:部分|大题|卷)|[（(]\s*[{text.HAN}]{{1,3}}\s*[）)]|[{text.HAN}]{{1,3}}\s*[、，,．.]|[{text.CIRCLED}]|[（(]\s*\d{{1,2}}\s*[）)]|\d{{1,2}}\s*[、，,．.)）])"
+SHORTEST_BLOCK, LEAST_MEAN, LEAST_HAN, LEAST_CONFIDENCE = 6, 12, 0.15, 0.6
+
+
+def structured(texts: DataFrame, key: str, text_col: str, confidence: str | None = None) -> DataFrame:
+    """key, items (array), n, mean_length, han_share, reason (ok, empty, short, noise, confidence): texts of lines as blocks of questions.
+
+    A block begins at a line with a number and at least two more characters; a block without Han characters or of fewer
+    than six characters goes back to the one before it.  Lines are numbered within their text and summed up to blocks twice, by
+    windows over (text, line), so a text of many lines needs no array of all.  Rows of one key are one text each only if the key is
+    unique; null texts are empty; an empty table has no rows.
+    """
+    line = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r?\n"), lambda x: F.trim(x))
+    lines = texts.select(key, F.posexplode(F.filter(line, lambda x: x != "")).alias("at", "line"))
+    starts = F.col("line").rlike(NUMBERED_LINE) & (F.length(F.trim(F.regexp_replace("line", NUMBERED_LINE, ""))) >= 2)
+    down = Window.partitionBy(key).orderBy("at")
+    joined = lambda c, at: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, c))), lambda x: x[c]), "\n")
+    blocks = lines.withColumn("block", F.sum(starts.cast("int")).over(down)).groupBy(key, "block").agg(joined("line", "at").alias("b"))
+    whole = F.col("b").rlike("[一-龥]") & (F.length("b") >= SHORTEST_BLOCK)
+    order = Window.partitionBy(key).orderBy("block")
+    kept = blocks.withColumn("keeps", whole | (F.row_number().over(order) == 1)).withColumn("item", F.sum(F.col("keeps").cast("int")).over(order))
+    items = kept.groupBy(key, "item").agg(joined("b", "block").alias("text"))
+    chars, han = F.sum(F.length("text")), F.sum(F.length(F.regexp_replace("text", "[^一-龥]", "")))
+    found = items.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("item", "text"))), lambda x: x["text"]).alias("items"), F.count("*").alias("n"), (chars / F.count("*")).alias("mean_length"), (han / chars).alias("han_share"))
+    out = texts.select(key, (F.col(confidence) if confidence else F.lit(None).cast("double")).alias("confidence")).join(found, key, "left")
+    reason = F.when(F.col("n").isNull(), "empty").when(F.col("mean_length") < LEAST_MEAN, "short").when(F.col("han_share") < LEAST_HAN, "noise").when(F.col("confidence") < LEAST_CONFIDENCE, "confidence").otherwise("ok")
+    return out.select(key, F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n", F.lit(0)).alias("n"), "mean_length", "han_share", reason.alias("reason"))

@@ -147,3 +147,18 @@ def tree_closure(t: Tables):
     k = F.col("p_partkey")
     n = t.part.select(k.alias("id"), F.when(k > 1, F.floor(k / 2)).alias("parent"))
     return graph.closure(n, "id", "parent")
+
+
+_DRIVE = "n AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent, p_partkey % 11 <> 5 AS dir, p_partkey % 3 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 5 <> 2 AS same FROM part)"
+
+
+@query(
+    "crawl",
+    f"""WITH RECURSIVE {_DRIVE}, c(id, depth, state) AS (SELECT id, 0, 'listed' FROM n WHERE parent IS NULL UNION ALL SELECT n.id, depth + 1, CASE WHEN NOT dir THEN 'file' WHEN same THEN 'skipped' ELSE 'listed' END FROM c JOIN n ON n.parent = c.id WHERE c.state = 'listed')
+    SELECT id, depth, state FROM c""",
+)
+def crawl(t: Tables):
+    k = F.col("p_partkey")
+    nodes = t.part.select(k.alias("id"), F.when(k > 1, F.floor(k / 2)).alias("parent"), (k % 11 != 5).alias("is_dir"), F.col("p_size").alias("mtime"))
+    known = t.part.where(k % 3 != 0).select(k.alias("id"), F.when((k % 7 == 0) | (k % 5 == 2), F.col("p_size") - 1).otherwise(F.col("p_size")).alias("mtime"))
+    return graph.crawl(nodes, known, nodes.where("parent IS NULL"))

@@ -194,3 +194,22 @@ def retention_due(t: Tables):
     now = lambda back: F.expr(f"timestamp_ntz '2001-08-02 00:00:00' - interval {back}")
     act = F.when((F.col("l_returnflag") == "R") & (F.col("l_shipdate") < now("7 days")), "release").when((F.col("l_quantity") < 5) & (F.col("l_shipdate") < now("24 hours")), "collect").otherwise("keep")
     return t.lineitem.select("l_orderkey", "l_linenumber", act.alias("act"))
+
+
+_SHEETS = """SELECT p_partkey // 20 AS page, string_agg(CASE WHEN p_partkey // 20 % 4 = 0 THEN p_name WHEN p_partkey % 6 = 0 THEN p_size || '. 已知图形' || p_name WHEN p_partkey % 6 = 1 THEN '  ' || p_name WHEN p_partkey % 6 = 2 THEN '（' || p_partkey % 9 || '）求它的面积' || p_size WHEN p_partkey % 6 = 3 THEN '②' WHEN p_partkey % 6 = 4 THEN '三、选' ELSE '' END, chr(10) ORDER BY p_partkey) AS s FROM part GROUP BY 1"""
+
+
+@query(
+    "line_blocks",
+    f"""WITH t AS ({_SHEETS}), l AS (SELECT page, trim(unnest(p)) AS line, generate_subscripts(p, 1) AS k FROM (SELECT page, string_split(s, chr(10)) AS p FROM t)),
+    b AS (SELECT page, blk, string_agg(line, chr(10) ORDER BY k) AS b FROM (SELECT *, sum(CASE WHEN regexp_matches(line, '{Q.NUMBERED_LINE}') AND length(trim(regexp_replace(line, '{Q.NUMBERED_LINE}', ''))) >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY k) AS blk FROM l WHERE line <> '') GROUP BY 1, 2),
+    i AS (SELECT page, item, string_agg(b, chr(10) ORDER BY blk) AS s FROM (SELECT *, sum(CASE WHEN r = 1 OR (regexp_matches(b, '[一-龥]') AND length(b) >= 6) THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY blk) AS item FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY blk) AS r FROM b)) GROUP BY 1, 2),
+    g AS (SELECT page, string_agg(s, '|' ORDER BY item) AS items, count(*) AS n, sum(length(s)) / count(*) AS mean, sum(length(regexp_replace(s, '[^一-龥]', '', 'g'))) / sum(length(s)) AS han FROM i GROUP BY 1)
+    SELECT page, items, n, round(mean, 6) AS mean_length, round(han, 6) AS han_share, CASE WHEN mean < 12 THEN 'short' WHEN han < 0.15 THEN 'noise' WHEN page % 10 / 10 < 0.6 THEN 'confidence' ELSE 'ok' END AS reason FROM g""",
+)
+def line_blocks(t: Tables):
+    k, size, page = F.col("p_partkey"), F.col("p_size").cast("string"), F.floor(F.col("p_partkey") / 20)
+    line = F.when(page % 4 == 0, F.col("p_name")).when(k % 6 == 0, F.concat(size, F.lit(". 已知图形"), "p_name")).when(k % 6 == 1, F.concat(F.lit("  "), "p_name")).when(k % 6 == 2, F.concat(F.lit("（"), (k % 9).cast("string"), F.lit("）求它的面积"), size)).when(k % 6 == 3, "②").when(k % 6 == 4, "三、选").otherwise("")
+    sheets = t.part.groupBy(page.alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("s"))
+    out = Q.structured(sheets.withColumn("confidence", F.col("page") % 10 / 10), "page", "s", "confidence")
+    return out.select("page", F.array_join("items", "|").alias("items"), "n", F.round("mean_length", 6).alias("mean_length"), F.round("han_share", 6).alias("han_share"), "reason")

@@ -74,6 +74,7 @@ def crawl(nodes: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
     times are changed; ids met in one level by several parents count once; without roots nothing is met.
     """
     old = known.select("id", F.col("mtime").alias("was")).where("was IS NOT NULL").dropDuplicates(["id", "was"]).groupBy("id").agg(F.collect_set("was").alias("was"))
+    old = cut(old)
     child = nodes.where("id IS NOT NULL").select("id", "parent", "is_dir", "mtime")
     level = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)).withColumn("state", F.lit("listed")))
     met = level

@@ -193,24 +193,22 @@ def solution_section(df: DataFrame, key: str, solution: str, wanted: str, most:
     return x.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, "marker", "excerpt", "hit")
 
 
+#: Grams of items that go to every task at most; more are joined by a shuffle.
+SENT_GRAMS = 1_000_000
+
+
 def covering(texts: DataFrame, key: str, items: DataFrame, item: str, part: int, of: int) -> DataFrame:
     """key, item, coverage: the texts that hold at least part / of of an item's grams (column grams, distinct, on both sides).
 
-    An item of n grams with at least m of them in a text shares one of its n - m + 1 rarest with it: only those are joined,
-    and pairs that meet are compared in full.  Items without grams and null keys have no rows; repeated rows give repeated rows.
+    One join on the gram: where the items' grams go to every task, a text's grams meet them in the task that reads the text, so
+    all hits of a pair are counted before anything is shuffled, and no list of grams is moved.  Items without grams have no
+    rows; repeated rows give repeated rows.
     """
-    asked = items.where(F.size("grams") > 0).select(item, F.col("grams").alias("q"), F.size("grams").alias("n"))
-    each = asked.select(item, "n", F.posexplode("q").alias("k", "gram"))
-    wanted = each.select("gram").distinct()
-    rows = texts.where(F.size("grams") > 0).select(key, "grams")
-    held = rows.select(key, F.explode("grams").alias("gram")).join(wanted, "gram", "left_semi")
-    df = held.groupBy("gram").agg(F.count("*").alias("df"))
-    rarest = Window.partitionBy(item).orderBy(F.coalesce("df", F.lit(0)), "gram")
-    first = each.join(df, "gram", "left").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * part / of) + 1)
-    met = held.join(first.select(item, "gram"), "gram").select(key, item).distinct()
-    hits = F.size(F.array_intersect("q", "grams"))
-    pairs = met.join(asked, item).join(rows, key).withColumn("hits", hits).where(of * F.col("hits") >= part * F.col("n"))
-    return pairs.select(key, item, (F.col("hits") / F.col("n")).alias("coverage"))
+    each = items.where(F.size("grams") > 0).select(item, F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    small = each.limit(SENT_GRAMS + 1).count() <= SENT_GRAMS
+    held = texts.select(key, F.monotonically_increasing_id().alias("row"), "grams").select(key, "row", F.explode("grams").alias("gram"))
+    hits = held.join(F.broadcast(each) if small else each, "gram").groupBy(key, "row", item, "n").agg(F.count("*").alias("hits"))
+    return hits.where(of * F.col("hits") >= part * F.col("n")).select(key, item, (F.col("hits") / F.col("n")).alias("coverage"))
 
 
 # The number at the head of a line, and what blocks and whole texts must have.

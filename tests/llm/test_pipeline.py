@@ -67,8 +67,8 @@ def test_no_documents(spark, stage):
     assert stage(spark, docs, SMALL).count() == 0
 
 
-def test_ten_queries():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
 
 
 def test_nothing_else_imports_the_package():

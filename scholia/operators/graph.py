@@ -32,14 +32,22 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
             return label
 
 
-def closure(nodes: DataFrame, key: str, parent: str, deepest: int = 32) -> DataFrame:
-    """Every ancestor of every node with its distance (0: itself), to at most ``deepest`` levels."""
-    spark = nodes.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE up(node, ancestor, depth) MAX RECURSION LEVEL {deepest + 1} AS (SELECT {key}, {key}, 0 FROM {{n}} UNION ALL SELECT u.node, p.{parent}, u.depth + 1 FROM up u JOIN {{n}} p ON p.{key} = u.ancestor WHERE p.{parent} IS NOT NULL AND u.depth < {deepest})
-        SELECT node, ancestor, depth FROM up""",
-        n=nodes,
-    )
+def closure(nodes: DataFrame, key: str, parent: str, deepest: int = 32, starts: DataFrame | None = None) -> DataFrame:
+    """node, ancestor, depth: every ancestor of every node with its distance (0: itself), to at most ``deepest`` levels; starts (key): of these nodes only.
+
+    Ways of 1, 2, 4 and so on levels are joined to what is known, so a tree of n levels takes log n joins and no table is
+    moved more often than that.  A node of several rows or parents has a row for each way up.
+    """
+    way = cut(nodes.select(F.col(key).alias("u"), F.col(parent).alias("v")).where("u IS NOT NULL AND v IS NOT NULL"))
+    first = nodes if starts is None else nodes.join(starts.select(key).distinct(), key, "left_semi")
+    up = first.select(F.col(key).alias("node"), F.col(key).alias("ancestor"), F.lit(0).alias("depth"))
+    length = 1
+    while length <= deepest and not way.isEmpty():
+        farther = up.where(F.col("depth") <= deepest - length).join(way, F.col("ancestor") == F.col("u")).select("node", F.col("v").alias("ancestor"), (F.col("depth") + length).alias("depth"))
+        way = cut(way.join(way.toDF("v", "w"), "v").select("u", F.col("w").alias("v")))
+        length *= 2
+        up = up.unionByName(farther if length > deepest or way.isEmpty() else cut(farther))
+    return up
 
 
 def moves(nodes: DataFrame, asked: DataFrame, key: str, parent: str, deepest: int = 32) -> DataFrame:

@@ -100,6 +100,24 @@ def test_tree_closure(spark):
     assert got == {("a", "a", 0), ("b", "b", 0), ("c", "c", 0), ("b", "a", 1), ("c", "b", 1), ("c", "a", 2)}
 
 
+def halved(spark, n):
+    """A tree of n nodes by halving; its ways up are more rows than a recursive query may have."""
+    return spark.range(1, n).select("id", F.expr("CASE WHEN id > 1 THEN id DIV 2 END").alias("parent"))
+
+
+def test_closure_of_a_large_tree(spark):
+    n = 80_000
+    got = graph.closure(halved(spark, n), "id", "parent").agg(F.count("*"), F.max("depth"), F.sum((F.col("ancestor") == F.expr("shiftright(node, depth)")).cast("long"))).first()
+    assert tuple(got) == (sum(k.bit_length() for k in range(1, n)), 16, got[0])
+
+
+def test_closure_keeps_repeated_rows_and_ends_in_circles(spark):
+    nodes = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (3, 4), (4, None), (None, 4), (5, 99)], "id long, parent long")
+    got = sorted(map(tuple, graph.closure(nodes.where("id > 2"), "id", "parent").collect()))
+    assert got == [(3, 3, 0)] * 2 + [(3, 4, 1)] * 4 + [(4, 4, 0), (5, 5, 0), (5, 99, 1)]
+    assert graph.closure(nodes, "id", "parent", 5).where("node = 1").orderBy("depth").collect() == [(1, k % 2 + 1, k) for k in range(6)]
+
+
 def test_snapshot_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
     snapshots.write({"x": df, "y": df}, str(tmp_path))

@@ -55,7 +55,7 @@ def moves(nodes: DataFrame, asked: DataFrame, key: str, parent: str, deepest: in
 
     The way up from the target is looked at in order, so what comes first on it decides.
     """
-    up = closure(nodes, key, parent, deepest)
+    up = closure(nodes, key, parent, deepest, asked.select(F.col("target").alias(key)))
     known = nodes.select(F.col(key).alias("ancestor"), F.lit(True).alias("known"), F.col(parent).alias("next"))
     way = up.join(known, "ancestor", "left").groupBy(F.col("node").alias("target")).agg(F.min(F.when(F.col("known").isNull(), F.col("depth"))).alias("lost"), F.max("depth").alias("depth"), F.max(F.when(F.col("next").isNull(), F.col("depth"))).alias("root"))
     met = asked.join(up.select(F.col("node").alias("target"), F.col("ancestor").alias(key), F.col("depth").alias("at")), ["target", key], "left")

@@ -280,6 +280,16 @@ def test_moves_of_folders(spark):
     assert {r["id"]: r["parent"] for r in left} == {3: None, 4: None, 5: None}
 
 
+def test_moves_in_a_large_tree(spark):
+    n = 80_000
+    asked = spark.range(1, n).select("id", F.expr("CASE WHEN id % 2 = 0 THEN id * 2 WHEN id % 3 = 0 THEN n ELSE 1 END".replace("n ", f"{n} ")).alias("target"))
+    want = {"": 0, "cycle": 0, "missing": 0, "self": 0}
+    for k in range(1, n):
+        to = k * 2 if k % 2 == 0 else n if k % 3 == 0 else 1
+        want["self" if to == k else "missing" if to >= n else "cycle" if k % 2 == 0 else ""] += 1
+    assert {r["reason"]: r["count"] for r in graph.moves(halved(spark, n), asked, "id", "parent").groupBy("reason").count().collect()} == want
+
+
 def test_restored_rows(spark):
     df = spark.createDataFrame([(1, "a\n\"b", None), (2, None, 1.5)], "k long, s string, v double")
     assert sorted(snapshots.restored(snapshots.lines({"x": df, "y": df.limit(1)}), "x", df.schema).collect()) == sorted(df.collect())

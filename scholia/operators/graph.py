@@ -68,7 +68,7 @@ def lifted(nodes: DataFrame, gone: DataFrame, key: str, parent: str) -> DataFram
     """Nodes that stay, each with its nearest ancestor that stays as its parent (null: none); gone: key of deleted ones."""
     marked = nodes.join(gone.select(key, F.lit(True).alias("gone")), key, "left")
     stay = marked.where("gone is null").select(F.col(key).alias("ancestor"))
-    up = closure(nodes, key, parent).where("depth > 0").join(stay, "ancestor")
+    up = closure(nodes, key, parent, starts=stay.toDF(key)).where("depth > 0").join(stay, "ancestor")
     nearest = up.groupBy(F.col("node").alias(key)).agg(F.min_by("ancestor", "depth").alias("new_parent"))
     return marked.where("gone is null").select(key).join(nearest, key, "left").select(key, F.col("new_parent").alias(parent))
 

@@ -290,6 +290,17 @@ def test_moves_in_a_large_tree(spark):
     assert {r["reason"]: r["count"] for r in graph.moves(halved(spark, n), asked, "id", "parent").groupBy("reason").count().collect()} == want
 
 
+def test_lifted_in_a_large_tree(spark):
+    n = 130_000
+    got = graph.lifted(halved(spark, n), spark.range(1, n).where("id % 3 = 0"), "id", "parent").where("id IN (1, 4, 6, 7, 13, 97, 125000)").collect()
+
+    def nearest(k):
+        k //= 2
+        return None if k < 1 else nearest(k) if k % 3 == 0 else k
+
+    assert {r["id"]: r["parent"] for r in got} == {k: nearest(k) for k in (1, 4, 7, 13, 97, 125000)}
+
+
 def test_restored_rows(spark):
     df = spark.createDataFrame([(1, "a\n\"b", None), (2, None, 1.5)], "k long, s string, v double")
     assert sorted(snapshots.restored(snapshots.lines({"x": df, "y": df.limit(1)}), "x", df.schema).collect()) == sorted(df.collect())

@@ -49,3 +49,15 @@ def test_crawl_by_hand(spark):
     assert go(known) == {(1, 0, "listed"), (2, 1, "skipped"), (3, 1, "listed"), (5, 2, "skipped"), (6, 2, "file")}
     assert go([]) == {(1, 0, "listed"), (2, 1, "listed"), (3, 1, "listed"), (4, 2, "file"), (5, 2, "listed"), (6, 2, "file"), (7, 3, "file"), (8, 3, "listed"), (9, 4, "file")}
     assert graph.crawl(df, spark.createDataFrame([], "id long, mtime int"), roots.limit(0)).count() == 0
+
+
+def test_crawl_joins_the_known_times_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "cut", lambda df, cut=graph.cut: (plans.append(df._jdf.queryExecution().analyzed().toString()), cut(df))[1])
+    nodes = spark.range(1, 200).selectExpr("id", "CASE WHEN id > 1 THEN id DIV 2 END AS parent", "true AS is_dir", "0 AS mtime")
+    known = spark.range(1, 200).selectExpr("id", "CAST(id % 40 = 39 AS int) - 1 AS mtime")
+    got = {r["id"]: (r["depth"], r["state"]) for r in graph.crawl(nodes, known, nodes.where("parent IS NULL")).collect()}
+    skipped = lambda k: k > 1 and k % 40 == 39
+    want = {k: (k.bit_length() - 1, "skipped" if skipped(k) else "listed") for k in range(1, 200) if not any(skipped(k >> up) for up in range(1, 8))}
+    assert got == want
+    assert sum("LeftOuter" in p for p in plans) == 1 and all("strategy=merge" in p for p in plans if "Join" in p)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,11 +52,8 @@ def hash_of_key(c: Column) -> Column:
 
 def grams(c: Column, n: int, step: int = 1) -> Column:
     """All runs of n characters at every ``step``; none if the text is shorter."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    at = lambda ch: F.sequence(F.lit(1), F.greatest(F.size(ch) - n + 1, F.lit(1)), F.lit(step))
-    # the characters are bound to a variable, so that they are cut once and not for every run
-    runs = F.transform(F.array(chars), lambda ch: F.when(F.size(ch) >= n, F.transform(at(ch), lambda i: F.array_join(F.slice(ch, i, n), ""))).otherwise(F.array().cast("array<string>")))
-    return F.get(runs, F.lit(0))
+    # one pass: looks ahead at a run and goes on by ``step`` whole characters
+    return F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}})).{{1,{step}}}"), F.lit(1))
 
 
 def bigrams(c: Column) -> Column:
@@ -63,6 +64,39 @@ def dice(a: Column, b: Column) -> Column:
     return 2.0 * F.size(F.array_intersect(a, b)) / F.nullif(F.size(a) + F.size(b), F.lit(0))
 
 
+#: Pairs of two letters, and the 64-bit words that hold a bit for each.
+PAIRS, WORDS = 26 * 26, 11
+
+
+def letter_pairs(c: Column) -> Column:
+    """The distinct bigrams of a text of letters a to z only, as array<bigint> with a bit for each of the 676; null is null."""
+
+    @F.pandas_udf("array<bigint>")
+    def bits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            out = []
+            for t in s:
+                if t is None:
+                    out.append(None)
+                    continue
+                x = np.frombuffer(t.encode(), np.uint8).astype(np.int16) - ord("a")
+                has = np.zeros(WORDS * 64, bool)
+                has[x[:-1] * 26 + x[1:]] = True
+                out.append(np.packbits(has).view(np.int64))
+            yield pd.Series(out, index=s.index, dtype=object)
+
+    return bits(c)
+
+
+def bits_in(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0), lambda n, x: n + F.bit_count(x))
+
+
+def dice_of_pairs(a: Column, b: Column) -> Column:
+    """Dice of two results of letter_pairs."""
+    return 2.0 * bits_in(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))) / F.nullif(bits_in(a) + bits_in(b), F.lit(0))
+
+
 def coverage(a: Column, b: Column) -> Column:
     """The share of a's grams that b has."""
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0)), F.lit(0.0))
@@ -283,7 +317,7 @@ def line_recall(reference: Column, read: Column) -> tuple[Column, Column]:
     return F.size(lines), F.size(F.filter(lines, lambda x: line_error(x, flat) <= LINE_ERROR))
 
 
-def similarity(a: Column, b: Column, tags_a: Column, tags_b: Column) -> Column:
-    """Dice of bigrams; where both have tags, 0.7 of it and 0.3 of the tags' Dice."""
-    plain = F.coalesce(dice(a, b), F.lit(0.0))
+def similarity(plain: Column, tags_a: Column, tags_b: Column) -> Column:
+    """Dice of bigrams (null: 0); where both have tags, 0.7 of it and 0.3 of the tags' Dice."""
+    plain = F.coalesce(plain, F.lit(0.0))
     return F.when((F.size(tags_a) > 0) & (F.size(tags_b) > 0), 0.7 * plain + 0.3 * dice(F.array_distinct(tags_a), F.array_distinct(tags_b))).otherwise(plain)

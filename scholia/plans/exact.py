@@ -61,9 +61,9 @@ def judge_stored(t: Tables):
 def similarity_score(t: Tables):
     k = F.regexp_replace(F.lower("text"), "[^a-z]", "")
     tags = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array_compact(F.array("lang", "source", F.substring("text", 1, 1))))
-    g = t.documents.where(F.length(k) > 1).select("doc_id", text.bigrams(k).alias("g"), tags.alias("tags"))
+    g = t.documents.where(F.length(k) > 1).select("doc_id", text.letter_pairs(k).alias("g"), tags.alias("tags"))
     o = g.select((F.col("doc_id") - 1).alias("doc_id"), F.col("g").alias("h"), F.col("tags").alias("other"))
-    return g.join(o, "doc_id").select("doc_id", F.round(text.similarity(F.col("g"), F.col("h"), F.col("tags"), F.col("other")), 6).alias("score"))
+    return g.join(o, "doc_id").select("doc_id", F.round(text.similarity(text.dice_of_pairs(F.col("g"), F.col("h")), F.col("tags"), F.col("other")), 6).alias("score"))
 
 
 @query(

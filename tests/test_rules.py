@@ -304,3 +304,16 @@ def test_lifted_in_a_large_tree(spark):
 def test_restored_rows(spark):
     df = spark.createDataFrame([(1, "a\n\"b", None), (2, None, 1.5)], "k long, s string, v double")
     assert sorted(snapshots.restored(snapshots.lines({"x": df, "y": df.limit(1)}), "x", df.schema).collect()) == sorted(df.collect())
+
+
+def test_letter_pairs_are_sets_of_bigrams(spark):
+    rnd = random.Random(8)
+    words = ["", "a", "ab", "zz", "az", None] + ["".join(rnd.choice("abcxyz") for _ in range(rnd.randrange(2, 60))) for _ in range(40)]
+    rows = [(k, a, b) for k, (a, b) in enumerate(zip(words, words[1:] + words[:1], strict=True))]
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    pairs = lambda s: {s[k : k + 2] for k in range(len(s) - 1)}
+    got = {r["k"]: (r["n"], r["d"]) for r in df.select("k", text.bits_in(text.letter_pairs(F.col("a"))).alias("n"), text.dice_of_pairs(text.letter_pairs(F.col("a")), text.letter_pairs(F.col("b"))).alias("d")).collect()}
+    for k, a, b in rows:
+        n = None if a is None else len(pairs(a))
+        d = None if a is None or b is None or not pairs(a) | pairs(b) else 2 * len(pairs(a) & pairs(b)) / (len(pairs(a)) + len(pairs(b)))
+        assert got[k][0] == n and got[k][1] == (d if d is None else pytest.approx(d))

@@ -169,9 +169,10 @@ def pending_sources(t: Tables):
 )
 def similar_items(t: Tables):
     k = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    d = t.documents.select("doc_id", text.bigrams(k).alias("g")).where(F.size("g") > 0)
-    target = d.join(F.broadcast(d.agg(F.min("doc_id").alias("doc_id"))), "doc_id").select(F.col("g").alias("q")).limit(1)
-    dice = F.round(text.dice(F.col("g"), F.col("q")), 6)
+    d = t.documents.where(F.length(k) >= 2)
+    target = d.join(F.broadcast(d.agg(F.min("doc_id").alias("doc_id"))), "doc_id").select(text.letter_pairs(k).alias("q"))
+    d = d.select("doc_id", text.letter_pairs(k).alias("g"))
+    dice = F.round(text.dice_of_pairs(F.col("g"), F.col("q")), 6)
     return d.join(F.broadcast(target)).select("doc_id", dice.alias("dice")).where("dice >= 0.6")
 
 

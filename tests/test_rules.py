@@ -317,3 +317,12 @@ def test_letter_pairs_are_sets_of_bigrams(spark):
         n = None if a is None else len(pairs(a))
         d = None if a is None or b is None or not pairs(a) | pairs(b) else 2 * len(pairs(a) & pairs(b)) / (len(pairs(a)) + len(pairs(b)))
         assert got[k][0] == n and got[k][1] == (d if d is None else pytest.approx(d))
+
+
+def test_similar_items_of_every_row_with_the_smallest_id(spark, tmp_path):
+    from scholia.queries import QUERIES
+
+    rows = [(1, "abcdef"), (1, "abcdxy"), (2, "abcd"), (0, "x"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, QUERIES["similar_items"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 0.6), (1, 0.6), (1, 1.0), (1, 1.0), (2, 0.75), (2, 0.75)]

@@ -302,19 +302,22 @@ def number_recall(reference: Column, read: Column) -> tuple[Column, Column]:
     return F.size(numbers), F.size(F.filter(numbers, lambda n: F.contains(flat, n)))
 
 
-def line_error(line: Column, read: Column) -> Column:
-    """The least character error of a line against any window of what was read, of three quarters to 1.4 of its length."""
-    n = F.length(line)
+def line_read(line: Column, read: Column) -> Column:
+    """Whether a line comes up in what was read, with a character error of at most LINE_ERROR: in any window of three quarters to 1.4 of its length."""
+    n, most_edits = F.length(line), F.floor(F.length(line) * LINE_ERROR).cast("int")
     least, most = F.greatest(F.lit(1), F.floor(n * 0.75).cast("int")), F.least(F.length(read), F.ceil(n * 1.4).cast("int"))
     sizes = F.when(least <= most, F.sequence(least, most, F.greatest(F.lit(1), F.floor(n / 6).cast("int")))).otherwise(F.array().cast("array<int>"))
-    near = F.array_min(F.flatten(F.transform(sizes, lambda w: F.transform(F.sequence(F.lit(1), F.length(read) - w + 1), lambda i: F.levenshtein(line, F.substring(read, i, w)) / n))))
-    return F.when(F.length(read) == 0, 1.0).when(F.contains(read, line), 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(near, F.lit(1.0))))
+    # distances beyond the allowed edits aren't worked out (-1), and the first window that is near enough ends the search
+    near = lambda w: F.exists(F.sequence(F.lit(1), F.length(read) - w + 1), lambda i: F.call_function("levenshtein", line, F.substring(read, i, w), most_edits) >= 0)
+    return F.contains(read, line) | F.exists(sizes, near)
 
 
 def line_recall(reference: Column, read: Column) -> tuple[Column, Column]:
     """How many lines a reference has, and how many come up in what was read with an error of at most LINE_ERROR."""
-    lines, flat = F.filter(F.transform(F.split(F.coalesce(reference, F.lit("")), "\n"), folded), lambda x: x != ""), folded(read)
-    return F.size(lines), F.size(F.filter(lines, lambda x: line_error(x, flat) <= LINE_ERROR))
+    lines = F.filter(F.transform(F.split(F.coalesce(reference, F.lit("")), "\n"), folded), lambda x: x != "")
+    # both are bound to a variable, so that they are folded once and not for every window
+    hit = F.transform(F.array(F.struct(lines.alias("lines"), folded(read).alias("read"))), lambda b: F.size(F.filter(b["lines"], lambda x: line_read(x, b["read"]))))
+    return F.size(lines), F.get(hit, F.lit(0))
 
 
 def similarity(plain: Column, tags_a: Column, tags_b: Column) -> Column:

@@ -326,3 +326,9 @@ def test_similar_items_of_every_row_with_the_smallest_id(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(map(tuple, QUERIES["similar_items"](spark, str(tmp_path)).collect()))
     assert got == [(1, 0.6), (1, 0.6), (1, 1.0), (1, 1.0), (2, 0.75), (2, 0.75)]
+
+
+def test_lines_that_are_read_with_few_errors(spark):
+    rows = [("abcd", "xxabxdxx"), ("abcd", "xxaxxdxx"), ("abcdefgh", "zabxdexghz"), ("ab", ""), ("abc", "ab"), ("abc", "abc"), ("a", "b")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [r[0] for r in df.select(text.line_read(F.col("a"), F.col("b"))).collect()] == [True, False, True, False, False, True, False]

@@ -92,3 +92,13 @@ def test_rows_and_columns(spark):
     assert [tuple(r)[2:] for r in cut if r["id"] is None] == [(0, 0, "text", "\\pi"), (2, 0, "math", "x"), (2, 1, "text", " y")]
     assert [tuple(r)[2:] for r in cut if r["id"] == 3] == [(0, 0, "text", " plain ")] and not [r for r in cut if r["id"] in (1, 2)]
     assert formulas.pieces(df.drop("line").limit(0), "text").count() == 0
+
+
+def test_the_same_text_is_read_once(monkeypatch):
+    from scholia.functions import formulas as read
+
+    reads = []
+    monkeypatch.setattr(read, "Reader", lambda *a, own=read.Reader: (reads.append(a), own(*a))[1])
+    long = r"$\frac{97}{31}$ " * 40
+    assert [read.readable(r"$\frac{97}{53}$ once") for _ in range(5)] == ["97/53 once"] * 5 and len(reads) == 1
+    assert read.readable(long) == read.readable(long) and read.readable(None) == "" and len(reads) == 2

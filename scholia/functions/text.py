@@ -53,7 +53,8 @@ def hash_of_key(c: Column) -> Column:
 def grams(c: Column, n: int, step: int = 1) -> Column:
     """All runs of n characters at every ``step``; none if the text is shorter."""
     # one pass: looks ahead at a run and goes on by ``step`` whole characters
-    return F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}})).{{1,{step}}}"), F.lit(1))
+    runs = F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}})).{{1,{step}}}"), F.lit(1))
+    return F.coalesce(runs, F.array().cast("array<string>"))
 
 
 def bigrams(c: Column) -> Column:

@@ -332,3 +332,10 @@ def test_lines_that_are_read_with_few_errors(spark):
     rows = [("abcd", "xxabxdxx"), ("abcd", "xxaxxdxx"), ("abcdefgh", "zabxdexghz"), ("ab", ""), ("abc", "ab"), ("abc", "abc"), ("a", "b")]
     df = spark.createDataFrame(rows, "a string, b string")
     assert [r[0] for r in df.select(text.line_read(F.col("a"), F.col("b"))).collect()] == [True, False, True, False, False, True, False]
+
+
+def test_grams_are_cut_between_whole_characters(spark):
+    texts = [None, "", "a", "ab\ncd", "𝔸𝔹c𝔻e\U0001f600f", "甲乙丙丁戊己庚辛"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k long, s string").orderBy("k").select(text.grams(F.col("s"), 2).alias("a"), text.grams(F.col("s"), 4, 3).alias("b")).collect()
+    cut = lambda s, n, step: [s[i : i + n] for i in range(0, len(s or "") - n + 1, step)]
+    assert [tuple(r) for r in got] == [(cut(s, 2, 1), cut(s, 4, 3)) for s in texts]

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import KEPT
+
 
 #: Rows that a join without an equality sends to every task at once.
 SENT_ROWS = 100_000
@@ -22,6 +28,40 @@ def join_small(df: DataFrame, small: DataFrame, on: Column, rows: int | None = N
     return reduce(DataFrame.unionByName, [df.join(F.broadcast(p), on) for p in cut])
 
 
+#: Bytes of UTF-8 that go from a text without Han, and those that the Han characters of ``KEPT`` begin with.
+_OTHER, _HAN = bytes(b for b in range(256) if b > 127 or not chr(b).isalnum()), bytes(range(0xE4, 0xEA))
+_RUNS = re.compile(KEPT + "+")
+
+
+def text_keys(df: DataFrame, column: str, *carried: str) -> DataFrame:
+    """carried, n_key, key: length and md5 of each text as ``text.normalised`` leaves it; null texts have null, rows stay as they are.
+
+    A text is gone through as bytes in one call, unless a byte may begin a Han character; then by a regular expression.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, found = [], []
+            for x in b.column(len(carried)):
+                t = x.as_py()  # one text at a time
+                if t is None:
+                    sizes.append(None)
+                    found.append(None)
+                    continue
+                if len(t.translate(None, _HAN)) < len(t):
+                    kept = _RUNS.sub("", t.decode(errors="replace"))
+                    n, kept = len(kept), kept.encode()
+                else:
+                    kept = t.translate(None, _OTHER)
+                    n = len(kept)
+                sizes.append(n)
+                found.append(hashlib.md5(kept, usedforsecurity=False).hexdigest())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(carried))), pa.array(sizes, pa.int64()), pa.array(found, pa.string())], [*carried, "n_key", "key"])
+
+    kind = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in carried) + "n_key long, key string"
+    return df.select(*carried, F.col(column).cast("binary").alias("__text")).mapInArrow(keys, kind)
+
+
 def any_contains(columns: list[Column], keyword: str) -> Column:
     """Case-insensitive substring search over several columns; a null column doesn't match."""
     return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lit(keyword.lower())), F.lit(False)) for c in columns])

@@ -44,13 +44,12 @@ def quality_counts(t: Tables):
     )
 
 
-#: Texts by the hash of their key; those without a key are one group, which goes once they are counted, so that a key is made once.
+#: Texts by the hash of their key.
 _KEYS = "WITH k AS (SELECT md5(regexp_replace(text, '[^一-龥A-Za-z0-9]', '', 'g')) AS key, count(*) AS c FROM documents WHERE regexp_replace(text, '[^一-龥A-Za-z0-9]', '', 'g') <> '' GROUP BY 1)"
 
 
 def _keys(t: Tables):
-    keyed = t.documents.groupBy(F.md5(text.normalised(F.col("text"))).alias("key")).agg(F.count("*").alias("c"))
-    return keyed.where(F.col("key") != F.md5(F.lit("")))
+    return R.text_keys(t.documents, "text").where("n_key > 0").groupBy("key").agg(F.count("*").alias("c"))
 
 
 @query("dup_summary", _KEYS + " SELECT count(*) AS groups, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS redundant, count(*) FILTER (WHERE c > 1) AS repeated, max(c) AS largest FROM k")

@@ -112,7 +112,7 @@ def size_buckets(t: Tables):
 
 @query("lateral_norm", "SELECT doc_id, length(k) AS n_kept, md5(k) AS digest FROM (SELECT doc_id, regexp_replace(text, '[^一-龥A-Za-z0-9]', '', 'g') AS k FROM documents) WHERE length(k) >= 20")
 def lateral_norm(t: Tables):
-    return t.documents.select("doc_id", text.normalised(F.col("text")).alias("k")).where(F.length("k") >= 20).select("doc_id", F.length("k").cast("long").alias("n_kept"), F.md5("k").alias("digest"))
+    return R.text_keys(t.documents, "text", "doc_id").where("n_key >= 20").select("doc_id", F.col("n_key").alias("n_kept"), F.col("key").alias("digest"))
 
 
 @query(

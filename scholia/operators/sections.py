@@ -11,6 +11,7 @@ All but the repair are joins and windows within pages; the repair is an ordered
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,8 @@ FORMS = [
     rf"[（(]\s*[{HAN}]{{1,3}}\s*[）)]", rf"[{HAN}]{{1,3}}\s*[、，,．.]", "[①-⑳]", r"[Ⅰ-Ⅹ]+\s*\.", r"[（(]\s*\d{1,2}\s*[）)]", r"\d{3,}(?!\d)\s*[.、．)）]",
     r"\d{1,2}(?!\d)\s*[.、．)）](?!\d)", r"\d{1,2}(?!\d)(?=\s+[a-z]{1,5}(?![A-Za-z]))", r"^\d{1,3}(?=[A-Za-z一-龥])", r"\d{1,2}\z",
 ]
+#: What every one of them holds.
+NUMERAL = rf"[\d{HAN}①-⑳Ⅰ-Ⅹ]"
 OPTION = r"(?<![（(])[A-E]\s*[.、，,．)）]"
 UNIT_WORD = r"(?i)(?:unit|section|part|lesson|book|grade|class|page|line|activity|project|topic|module|step|stage)\s*\z"
 YEAR_WORD = r"(?i)\b(?:in|on|at|since|by|for|before|after|during|until)\s*\z"
@@ -48,18 +51,21 @@ LOST = re.compile(r"[.。．、]\s*[A-Za-z一-龥]|[a-z]{2,15}→")
 MISREAD = re.compile(r"[A-Za-z\W_]{1,2}(\d{1,2})")
 
 
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), where c is worked out once and not wherever f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def tokens(s: Column) -> Column:
     """array<at, raw, number>: what looks like numbers of questions in a text, at: characters before; null is empty."""
     s = F.coalesce(s, F.lit(""))
     split = rf"(?s)(.*?)({'|'.join(FORMS)})"
-    option = F.regexp_instr(s, F.lit(OPTION))
-    option_end = F.when(option > 0, option - 1 + F.length(F.regexp_substr(s, F.lit(OPTION))))
 
-    def placed(gaps: Column, raws: Column) -> Column:
-        sizes = F.transform(gaps, lambda g, i: F.length(g) + F.length(F.get(raws, i)))
-        return F.transform(raws, lambda r, i: F.struct((F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, x: a + x) - F.length(r)).alias("at"), r.alias("raw")))
+    def placed(parts: Column) -> Column:
+        end = lambda i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda a, x: a + x["size"])
+        return F.transform(parts, lambda r, i: F.struct((end(i) - F.length(r["raw"])).alias("at"), r["raw"].alias("raw")))
 
-    def known(t: Column) -> Column:
+    def known(t: Column, option_end: Column) -> Column:
         raw, head = t["raw"], F.substring(s, F.lit(1), t["at"])
         rest = F.substring(s, t["at"] + F.length(raw) + 1, F.length(s))
         number, bare = F.regexp_extract(raw, r"\d+", 0).try_cast("int"), raw.rlike(r"\A\d+\z")
@@ -75,8 +81,10 @@ def tokens(s: Column) -> Column:
         value = F.when(han != "", text.han_number(han)).when(raw.rlike("^[①-⑳]$"), circled).when(raw.rlike("^[Ⅰ-Ⅹ]"), F.when(raw.rlike(r"^[Ⅰ-Ⅹ]\s*\.$"), F.instr(F.lit(ROMAN), F.substring(raw, 1, 1))).otherwise(0)).otherwise(F.regexp_extract(raw, r"\d+", 0).try_cast("int"))
         return F.struct(t["at"].alias("at"), F.trim(raw).alias("raw"), value.cast("int").alias("number"))
 
-    found = placed(F.regexp_extract_all(s, F.lit(split), F.lit(1)), F.regexp_extract_all(s, F.lit(split), F.lit(2)))
-    return F.transform(F.filter(found, known), numbered)
+    parts = F.zip_with(F.regexp_extract_all(s, F.lit(split), F.lit(1)), F.regexp_extract_all(s, F.lit(split), F.lit(2)), lambda g, r: F.struct((F.length(g) + F.length(r)).alias("size"), r.alias("raw")))
+    option = _bound(F.regexp_instr(s, F.lit(OPTION)), lambda at: F.when(at > 0, at - 1 + F.length(F.regexp_substr(s, F.lit(OPTION)))))
+    good = _bound(option, lambda end: F.filter(_bound(parts, placed), lambda t: known(t, end)))
+    return F.when(s.rlike(NUMERAL), F.transform(good, numbered)).otherwise(F.array().cast("array<struct<at: int, raw: string, number: int>>"))
 
 
 def _title(s: Column) -> Column:
@@ -87,15 +95,25 @@ def headers(regions: DataFrame) -> DataFrame:
     """page, id, col, y0, y1, kind (section, subsection), roman, title of the lines that are titles."""
     s = F.trim(F.coalesce("body", F.lit("")))
     section = F.coalesce(*(F.nullif(F.regexp_extract(s, p, 1), F.lit("")) for p in TITLES))
-    prefix, named = F.regexp_extract(s, ROMAN_TITLE, 1), _title(F.regexp_extract(s, ROMAN_TITLE, 2))
-    latin, han = (F.length(F.regexp_replace(named, f"[^{c}]", "")) for c in ("A-Za-z", "一-龥"))
-    telling = named.rlike(INSTRUCTION)
-    looks = F.when(prefix.rlike(r"^\d"), telling & (F.length(named) <= 24)).when(latin > han, named.rlike(INSTRUCTION_LATIN)).otherwise(telling | (F.length(named) <= 12))
-    numeral = F.when((prefix != "") & (named != "") & looks, text.roman(prefix))
-    plain = (F.length(s) <= 40) & ~s.rlike(r"^\s*[\d（(]") & s.rlike(INSTRUCTION) & (_title(s) != "") & (F.length(_title(s)) <= 36)
-    kind = F.when(section.isNotNull(), "section").when(numeral.isNotNull() | plain, "subsection")
-    own = F.when(section.isNotNull(), _title(section)).when(numeral.isNotNull(), named).otherwise(_title(s))
-    return regions.select("page", "id", "col", "y0", "y1", kind.alias("kind"), F.when(section.isNull(), numeral).alias("roman"), own.alias("title")).where("kind IS NOT NULL")
+    parts = F.struct(s.alias("s"), section.alias("section"), F.regexp_extract(s, ROMAN_TITLE, 1).alias("prefix"), _title(F.regexp_extract(s, ROMAN_TITLE, 2)).alias("named"))
+
+    def read(x: Column) -> Column:
+        s, prefix, named = x["s"], x["prefix"], x["named"]
+        latin, han = (F.length(F.regexp_replace(named, f"[^{c}]", "")) for c in ("A-Za-z", "一-龥"))
+        telling = named.rlike(INSTRUCTION)
+        looks = F.when(prefix.rlike(r"^\d"), telling & (F.length(named) <= 24)).when(latin > han, named.rlike(INSTRUCTION_LATIN)).otherwise(telling | (F.length(named) <= 12))
+        numeral = F.when((prefix != "") & (named != "") & looks, text.roman(prefix))
+        plain = (F.length(s) <= 40) & ~s.rlike(r"^\s*[\d（(]") & s.rlike(INSTRUCTION) & (_title(s) != "") & (F.length(_title(s)) <= 36)
+        return _bound(numeral, lambda numeral: kinds(x["section"], numeral, plain, named, s))
+
+    def kinds(section: Column, numeral: Column, plain: Column, named: Column, s: Column) -> Column:
+        kind = F.when(section.isNotNull(), "section").when(numeral.isNotNull() | plain, "subsection")
+        own = F.when(section.isNotNull(), _title(section)).when(numeral.isNotNull(), named).otherwise(_title(s))
+        return F.struct(kind.alias("kind"), F.when(section.isNull(), numeral).alias("roman"), own.alias("title"))
+
+    # most lines are no titles by the first look at them, and are looked at no further; outer: nothing is made for a filter first
+    maybe = regions.where(s.rlike("|".join([*TITLES, ROMAN_TITLE, INSTRUCTION])))
+    return maybe.select("page", "id", "col", "y0", "y1", F.explode_outer(F.transform(F.array(parts), read)).alias("t")).where("t.kind IS NOT NULL").select("page", "id", "col", "y0", "y1", "t.*")
 
 
 def tree(regions: DataFrame, height: float, titles: DataFrame | None = None) -> DataFrame:
@@ -141,7 +159,7 @@ def _median(regions: DataFrame) -> DataFrame:
 def units(regions: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """page, id, nth, number, sig (up to two characters before the number, and it), ax, ay, col: numbers in regions that are no titles."""
     titles = headers(regions) if titles is None else titles
-    found = regions.join(titles.select("page", "id"), ["page", "id"], "left_anti").select("*", F.posexplode(tokens(F.col("body"))).alias("nth", "t")).where("t.number IS NOT NULL")
+    found = regions.join(titles.select("page", "id"), ["page", "id"], "left_anti").select("*", F.posexplode_outer(tokens(F.col("body"))).alias("nth", "t")).where("t.number IS NOT NULL")  # outer: tokens aren't made for a filter first
     size = F.greatest(F.length("body"), F.lit(1))
     sig = F.concat(F.substring("body", F.greatest(F.col("t.at") - 1, F.lit(1)), F.least(F.col("t.at"), F.lit(2))), "t.raw")
     return found.select("page", "id", "nth", "t.number", sig.alias("sig"), (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("t.at") / size).alias("ax"), ((F.col("y0") + F.col("y1")) / 2).alias("ay"), "col")

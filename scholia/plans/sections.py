@@ -46,7 +46,7 @@ def _regions(t: Tables):
 
 @query("question_tokens", f"SELECT id, nth::INTEGER AS nth, place::INTEGER AS place, raw, number FROM ({_TOKENS})")
 def question_tokens(t: Tables):
-    return _regions(t).select("id", F.posexplode(sections.tokens(F.col("body"))).alias("nth", "t")).select("id", "nth", F.col("t.at").alias("place"), "t.raw", "t.number")
+    return _regions(t).select("id", F.posexplode_outer(sections.tokens(F.col("body"))).alias("nth", "t")).where("nth IS NOT NULL").select("id", "nth", F.col("t.at").alias("place"), "t.raw", "t.number")
 
 
 def _of_titles(which: int, otherwise: str) -> str:

@@ -141,3 +141,18 @@ def test_odd_pages(spark):
     assert sections.questions(empty, HEIGHT).count() == 0 and sections.repaired(empty, HEIGHT, COLUMNS).count() == 0
     rows = page([(0, 10, 10, None), (0, 10, 40, ""), (1, 510, 10, "1. a"), (1, 510, 10, "1. a")])
     assert len(sections.questions(spark.createDataFrame(rows, SCHEMA), HEIGHT).collect()) == 2
+
+
+def test_a_line_is_read_once(spark):
+    """What is found in a line isn't worked out again for each token, column or filter that names it."""
+    df = spark.createDataFrame(page([(0, 10, 10, "1. a")]), SCHEMA)
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    titles = sections.headers(df)
+    assert plan(titles).count(sections.ROMAN_TITLE + ", 2)") == 1
+    assert plan(sections.units(df, titles.limit(0))).count("regexp_extract_all(") == 2
+
+
+def test_tokens_of_a_long_line(spark):
+    line = " ".join(f"{k % 20 + 1}. word" for k in range(300))
+    got = spark.createDataFrame([(line,)], "s string").select(sections.tokens(F.col("s")).alias("t")).first()["t"]
+    assert [t["number"] for t in got] == [k % 20 + 1 for k in range(300)] and all(line[t["at"] :].startswith(t["raw"]) for t in got)
